@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, canonical, mixing, neighbors, ranking, repetition, split
+from quern.llm import bpe, canonical, mixing, neighbors, ranking, repetition, sentences, split
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": ranking.p1_found,
+        "p2_found": sentences.p2_found,
         "p3_found": neighbors.p3_found,
         "p3_knn": neighbors.p3_knn,
         "p4_found": canonical.p4_found,
