@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, canonical, language, mixing, neighbors, ranking, repetition, sentences, split
+from quern.llm import bpe, canonical, language, mixing, neighbors, ranking, repetition, scans, sentences, split
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": neighbors.p3_found,
         "p3_knn": neighbors.p3_knn,
         "p4_found": canonical.p4_found,
+        "p5_found": scans.p5_found,
         "p6_found": language.p6_found,
         "p6_languages": language.p6_languages,
         "p6_segments": language.p6_segments,
