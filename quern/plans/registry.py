@@ -1,15 +1,313 @@
-"""Queries of the engine's operators, and the SQL that checks them."""
+"""Queries of the engine's operators over the test tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quern import model
+from quern.functions import text as tx
+from quern.operators import answers, chunking, citations, embedding, retrieval, safety
+from quern.plans import sql
+from quern.scope import TenantScope, deliveries
+from quern.streaming import limiter
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _everyone(spark: SparkSession, sf: str) -> TenantScope:
+    """Batches carry their workspace as a join key instead of binding one."""
+    return TenantScope(spark, sf, everyone=True)
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _queries(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "processed_queries").dropDuplicates(["query_id"])
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return deliveries(_t(spark, sf, "chunks"), "chunk_id")
+
+
+def _spread_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """For CPU-bound work: adaptive execution would join small partitions into one task."""
+    return _chunks(spark, sf).repartition(spark.sparkContext.defaultParallelism * 2, "chunk_id")
+
+
+# ---- scope, keys, aggregates
+
+
+def tenant_counts(spark, sf):
+    return _t(spark, sf, "documents").groupBy("workspace_id").agg(F.count("*").alias("documents"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"))
+
+
+def unbound_scope(spark, sf):
+    return TenantScope(spark, sf).table("documents").select("document_id", "workspace_id")
+
+
+def ready_gate(spark, sf):
+    return retrieval.ready_chunks(_everyone(spark, sf)).select("chunk_id", "version_id")
+
+
+def filtered_chunks(spark, sf):
+    return retrieval.ready_chunks(_everyone(spark, sf), language="tam").select("chunk_id")
+
+
+def exact_duplicates(spark, sf):
+    docs = _t(spark, sf, "documents").where("text is not null").select("workspace_id", F.sha2("text", 256).alias("sha256"), "doc_id")
+    return docs.groupBy("workspace_id", "sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+def latest_versions(spark, sf):
+    v = _t(spark, sf, "document_versions")
+    return v.groupBy("document_id").agg(F.max_by("version_id", F.struct("version_number", "version_id")).alias("version_id"), F.max("version_number").alias("version_number"))
+
+
+def order_preserving_lookup(spark, sf):
+    """Chunks of each query in the order they were found; missing ids vanish."""
+    wanted = deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id").select("query_id", "chunk_id", "fused_score")
+    kept = wanted.join(_chunks(spark, sf).select("chunk_id", "chunk_index"), "chunk_id")
+    return retrieval.top_per(kept, "query_id", [F.desc("fused_score"), F.asc("chunk_id")], F.lit(2**31 - 1), "ord").select("query_id", "chunk_id", "chunk_index", "ord")
+
+
+def broken_references(spark, sf):
+    """Rows whose reference has no parent, per table."""
+    parts = []
+    for name, refs in model.FOREIGN.items():
+        for column, parent, key in refs:
+            found = model.orphans(_t(spark, sf, name), column, _t(spark, sf, parent), key)
+            parts.append(found.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), F.lit(column).alias("column_name"), "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def duplicate_keys(spark, sf):
+    return model.duplicate_keys(_t(spark, sf, "chunks"), ("version_id", "chunk_index"))
+
+
+def late_rows(spark, sf):
+    """Pages that were loaded more than a day after they were made."""
+    return _t(spark, sf, "pages").where(F.col("loaded_at") > F.col("created_at") + F.expr("interval 1 day")).groupBy("version_id").agg(F.count("*").alias("late"))
+
+
+# ---- text
+
+
+def normalized_text(spark, sf):
+    return _queries(spark, sf).select("query_id", tx.normalize(F.col("original")).alias("text"))
+
+
+def word_tokens(spark, sf):
+    return _t(spark, sf, "documents").where("text is not null").select("doc_id", tx.token_count(F.col("text")).alias("tokens"), F.size(tx.words(F.lower("text"))).alias("words"))
+
+
+def trigram_features(spark, sf):
+    q = _queries(spark, sf).select("query_id", F.explode(tx.feature_list(F.lower("normalized"))).alias("feature"))
+    return q.groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("feature").alias("n_distinct"), F.min("feature").alias("first_feature"), F.max("feature").alias("last_feature"))
+
+
+def language_decision(spark, sf):
+    d = _queries(spark, sf).withColumn("t", F.lower("normalized"))
+    d = d.withColumn("d", tx.detect_language(F.col("t")))
+    return d.select("query_id", F.col("d.language").alias("language"), F.round("d.confidence", 6).alias("confidence"))
+
+
+def query_variants(spark, sf):
+    q = _queries(spark, sf).withColumn("folded", tx.fold_spelling(F.col("normalized")))
+    return q.select("query_id", "folded", tx.transliterate(F.col("folded")).alias("tamil"))
+
+
+def sentence_spans(spark, sf):
+    d = _t(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("s"))
+    return d.select("doc_id", F.col("s.start").alias("sent_start"), F.length("s.sentence").alias("sent_length"), F.col("s.sentence").alias("sentence"))
+
+
+# ---- chunking
+
+
+def chunk_documents(spark, sf):
+    pages = _t(spark, sf, "pages").dropDuplicates(["page_id"])
+    return chunking.chunk_pages(pages).drop("content")
+
+
+def chunk_provenance(spark, sf):
+    """Chunks that fail a check against their page, with its code."""
+    pages = deliveries(_t(spark, sf, "pages"), "page_id").select("version_id", "page_number", F.col("text").alias("page_text"))
+    c = _chunks(spark, sf).where("page_number is not null").join(pages, ["version_id", "page_number"])
+    return c.withColumn("error", chunking.provenance_error(F.col("page_text"))).where("error is not null").select("chunk_id", "error")
+
+
+# ---- retrieval
+
+
+def lexical_topk(spark, sf):
+    index = retrieval.postings(retrieval.ready_chunks(_everyone(spark, sf)))
+    return retrieval.lexical_search(_queries(spark, sf), index, 10)
+
+
+def dense_topk(spark, sf):
+    v = _t(spark, sf, "embeddings").dropDuplicates(["vec_id"])
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), "label")
+    return retrieval.dense_search(asked, v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label"), ["label"], 10).withColumn("similarity", F.round("similarity", 6))
+
+
+def _ranked_lists(spark, sf):
+    part = lambda name, score, source: retrieval.top_per(
+        deliveries(_t(spark, sf, name), "query_id", "chunk_id"), "query_id", [F.desc(score), F.asc("chunk_id")], retrieval.CANDIDATES
+    ).select("query_id", "chunk_id", "rank", F.lit(source).alias("source"))
+    return part("lexical_matches", "score", "lexical").unionByName(part("vector_matches", "similarity", "dense"))
+
+
+def rrf_fusion(spark, sf):
+    return retrieval.fuse(_ranked_lists(spark, sf)).select("query_id", "chunk_id", "fused_score", "lexical_rank", "dense_rank", "position")
+
+
+def hydrated(spark, sf):
+    pool = retrieval.fuse(_ranked_lists(spark, sf), limit=retrieval.RERANK_POOL)
+    return retrieval.hydrate(pool, _everyone(spark, sf)).select("query_id", "chunk_id", "document_id", "version_id", "position", "page_number", "char_start", "char_end", F.length("content").alias("n_chars"))
+
+
+def rerank_minmax(spark, sf):
+    r = deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id").where("rerank_score is not null").select("query_id", "chunk_id", "rerank_score")
+    n = retrieval.normalized_scores(r, "query_id", "rerank_score", 0.5).withColumn("normalized_score", F.round("normalized_score", 6))
+    return retrieval.top_per(n, "query_id", [F.desc("normalized_score"), F.asc("chunk_id")], 10, "position").select("query_id", "chunk_id", "normalized_score", "position")
+
+
+def _passages(spark, sf):
+    r = deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id")
+    r = retrieval.top_per(r, "query_id", [F.desc("fused_score"), F.asc("chunk_id")], 6).select("query_id", "chunk_id", "fused_score", "rank")
+    q = _queries(spark, sf).select("query_id", F.col("normalized").alias("query"))
+    c = _chunks(spark, sf).select("chunk_id", "content", "ocr_engine", "ocr_confidence")
+    return r.join(q, "query_id").join(c, "chunk_id")
+
+
+def rerank_overlap(spark, sf):
+    return retrieval.rerank_scores(_passages(spark, sf)).select("query_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"))
+
+
+def hybrid_search(spark, sf):
+    """The flagship: lexical search over postings fused with the dense lists, hydrated and
+    reranked, for every query at once."""
+    dense = _ranked_lists(spark, sf).where("source = 'dense'")
+    found = retrieval.hybrid_search(_queries(spark, sf), _everyone(spark, sf), dense)
+    return found.select("query_id", "chunk_id", "document_id", F.round("fused_score", 6).alias("fused_score"), "lexical_rank", "dense_rank", F.round("raw_score", 6).alias("raw_score"), F.round("normalized_score", 6).alias("normalized_score"), "rerank_rank", "page_number")
+
+
+def hashing_embeddings(spark, sf):
+    return embedding.embed(_queries(spark, sf), "query_id", "normalized")
+
+
+# ---- answers
+
+
+def top_claims(spark, sf):
+    return answers.best_claims(_passages(spark, sf)).select("query_id", "chunk_id", "start", "sentence", F.round("overlap", 6).alias("overlap"), "claim_index")
+
+
+def claim_split(spark, sf):
+    d = _t(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("s"))
+    return d.select("doc_id", F.explode(answers.split_claims(F.col("s.sentence"))).alias("claim"))
+
+
+def claim_polarity(spark, sf):
+    d = _t(spark, sf, "documents").where("title is not null").select("doc_id", answers.polarity(F.col("title")).alias("p"))
+    return d.select("doc_id", F.col("p.negated").alias("negated"), F.col("p.conditional").alias("conditional"), F.array_join("p.names", ",").alias("names"))
+
+
+def _verified(spark, sf):
+    rows = _passages(spark, sf)
+    claims = answers.best_claims(rows)
+    back = rows.select("query_id", "chunk_id", "query", "content", "fused_score", "ocr_engine", "ocr_confidence")
+    checked = answers.verify(claims.join(back, ["query_id", "chunk_id"]), "sentence", "content")
+    conf = answers.claim_confidence(F.col("fused_score"), F.lit(None).cast("double"), answers.query_overlap(F.col("query"), F.col("sentence")), F.col("ocr_engine"), F.col("ocr_confidence"))
+    return checked.withColumn("confidence", conf)
+
+
+def verified_claims(spark, sf):
+    return _verified(spark, sf).select("query_id", "chunk_id", "claim_index", "verdict", F.round("coverage", 6).alias("coverage"), "reason", "confidence")
+
+
+def composed_answers(spark, sf):
+    return answers.compose(_queries(spark, sf), _verified(spark, sf))
+
+
+def claim_confidence(spark, sf):
+    r = deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id").join(_chunks(spark, sf).select("chunk_id", "ocr_engine", "ocr_confidence"), "chunk_id")
+    conf = answers.claim_confidence(F.col("fused_score"), F.col("rerank_score"), F.lit(0.5), F.col("ocr_engine"), F.col("ocr_confidence"))
+    return r.select("query_id", "chunk_id", conf.alias("confidence"))
+
+
+def citation_resolve(spark, sf):
+    """Quotes of the first forty characters of each found chunk, some of them off."""
+    r = deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id")
+    q = r.join(_chunks(spark, sf).select("chunk_id", "content"), "chunk_id").select(
+        F.concat_ws("/", "query_id", "chunk_id").alias("ref_id"), "workspace_id", F.col("document_version_id").alias("version_id"), "chunk_id", F.lit(0).alias("quote_start"),
+        F.when(F.coalesce("lexical_rank", F.lit(0)) == 2, F.lit(100000)).otherwise(40).alias("quote_end"),
+        F.when(F.coalesce("lexical_rank", F.lit(0)) == 3, F.lit("not there")).otherwise(F.substring("content", 1, 40)).alias("quote"),
+    )
+    return citations.resolve(q, _everyone(spark, sf))
+
+
+# ---- safety
+
+
+def injection_signals(spark, sf):
+    a = safety.assess(_spread_chunks(spark, sf).select("chunk_id", "content"), "content")
+    return a.select("chunk_id", F.explode("signals").alias("s")).select("chunk_id", F.col("s.rule").alias("rule"), F.col("s.hits").alias("hits"))
+
+
+def injection_rules_hits(spark, sf):
+    """Raw matches of the rules over all document texts."""
+    d = _t(spark, sf, "documents").where("text is not null")
+    cols = [F.regexp_count("text", F.lit("(?i)" + p)).alias(n) for n, _, _, p in safety.RULES if n in sql.PORTABLE_RULES]
+    hits = d.select("doc_id", *cols)
+    return hits.where(" + ".join(sql.PORTABLE_RULES) + " > 0")
+
+
+def invisible_characters(spark, sf):
+    c = _chunks(spark, sf)
+    n = F.length("content") - F.length(F.translate("content", safety.INVISIBLE, ""))
+    return c.select("chunk_id", n.alias("n")).where("n > 0")
+
+
+def document_safety(spark, sf):
+    return safety.scan_documents(_spread_chunks(spark, sf))
+
+
+# ---- streaming, evaluation
+
+
+def rate_limit(spark, sf):
+    e = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.xxhash64("event_type", "value").alias("tie"))
+    timed = e.withColumn("at", F.col("us") / 1e6)
+    return limiter.admit_batch(timed, "user_id", "at", "tie", 3, 86_400.0).groupBy("user_id").agg(F.count_if("admitted").alias("admitted"), F.count_if(~F.col("admitted")).alias("rejected"))
+
+
+def eval_ranking(spark, sf):
+    """Mean reciprocal rank and recall@10 of the fused order against the reranker's first three."""
+    r = deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id").where("rerank_rank is not null")
+    ranked = retrieval.top_per(r, "query_id", [F.desc("fused_score"), F.asc("chunk_id")], F.lit(2**31 - 1), "position")
+    per = ranked.where("rerank_rank <= 3").groupBy("query_id").agg(F.min("position").alias("first"), F.count_if(F.col("position") <= 10).alias("hits"), F.count("*").alias("n"))
+    return per.agg(F.round(F.avg(1 / F.col("first")), 6).alias("mrr"), F.round(F.avg(F.col("hits") / F.col("n")), 6).alias("recall_at_10"), F.count("*").alias("queries"))
+
+
+_ALL: tuple[Query, ...] = (
+    tenant_counts, unbound_scope, ready_gate, filtered_chunks, exact_duplicates, latest_versions, order_preserving_lookup, broken_references, duplicate_keys, late_rows, normalized_text, word_tokens,
+    trigram_features, language_decision, query_variants, sentence_spans, chunk_documents, chunk_provenance, lexical_topk, dense_topk, rrf_fusion, hydrated, rerank_minmax, rerank_overlap, hybrid_search,
+    hashing_embeddings, top_claims, claim_split, claim_polarity, verified_claims, composed_answers, claim_confidence, citation_resolve, injection_signals, injection_rules_hits, invisible_characters,
+    document_safety, rate_limit, eval_ranking,
+)
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracles()
