@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.llm.common import first_delivery, table
+from quern.llm.common import checkpointed, first_delivery, table
 from quern.llm.sentences import plain, token_script
 
 #: Bound of the labelled rows collected to fit the classifier.
@@ -398,7 +398,7 @@ def record_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     done = _summaries(texts.where("text is not null"), ["record_kind", "record_id", "version_id", "label"], "text", samples)
     # Re-delivered rows were tagged alike; they are dropped here, where rows are small.
-    rows = done.groupBy("record_kind", "record_id", "language").agg(*[F.max(c).alias(c) for c in ("version_id", "label", "whole", "letters", "sure")])
+    rows = checkpointed(done.groupBy("record_kind", "record_id", "language").agg(*[F.max(c).alias(c) for c in ("version_id", "label", "whole", "letters", "sure")]))
     of_versions = rows.where("record_kind = 'page'").groupBy("version_id", "language").agg(*[F.sum(c).alias(c) for c in ("whole", "letters", "sure")])
     of_versions = of_versions.join(versions.withColumnRenamed("language", "label"), "version_id").select(F.lit("version").alias("record_kind"), F.col("version_id").alias("record_id"), "label", "language", "whole", "letters", "sure")
     return counted(rows.drop("version_id").unionByName(of_versions))
