@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm.common import table
+from quern.llm.common import checkpointed, table
 
 # Characters that look alike, from Cyrillic, Greek and Tamil.
 LOOKALIKES = {
@@ -89,11 +89,11 @@ def canonicalise(df: DataFrame, key: str, text: str) -> DataFrame:
 def lookalike_pairs(records: DataFrame) -> DataFrame:
     """(record_kind, id_a, id_b) of records (record_kind, id, text) that look the same but are
     not equal as strings. Texts travel as 128-bit digests only."""
-    digests = duckdb_batches(
+    digests = checkpointed(duckdb_batches(
         records.where("text is not null and id is not null").select("record_kind", "id", "text"),
         f"SELECT record_kind, id, md5(text) AS raw, md5({canonical_sql('text')}) AS canon FROM batch",
         "record_kind string, id string, raw string, canon string",
-    ).distinct()
+    ).distinct())
     classes = digests.groupBy("record_kind", "canon").agg(F.collect_set("raw").alias("raws")).where(F.size("raws") > 1)
     one = classes.select("record_kind", "canon", F.explode("raws").alias("raw_a"), "raws")
     links = one.select("record_kind", "raw_a", F.explode("raws").alias("raw_b")).where("raw_a < raw_b")
