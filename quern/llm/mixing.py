@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern.llm.bpe import encode
-from quern.llm.common import table
+from quern.llm.common import checkpointed, table
 
 HASH_STEPS = 1 << 53
 
@@ -32,7 +32,7 @@ def source_rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``counted`` has source and n_tokens. ``needed`` is target_share of a mix as large as the
     whole corpus."""
-    per_source = counted.groupBy(source_key(F.col("source")).alias("source")).agg(F.sum("n_tokens").alias("tokens"))
+    per_source = checkpointed(counted.groupBy(source_key(F.col("source")).alias("source")).agg(F.sum("n_tokens").alias("tokens")))  # read twice
     total = per_source.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     wanted = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats")
     joined = wanted.join(per_source, "source", "left").crossJoin(F.broadcast(total)).fillna(0, ["tokens"])  # total is one row
