@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.llm.common import table
+from quern.llm.common import checkpointed, table
 
 BLOCK_ROWS = 16_384
 SUB_ROWS = 2_048
@@ -36,37 +36,57 @@ SUB_ROWS = 2_048
 SLACK = 1e-5
 
 
-def unit_vectors(df: DataFrame, key: str, vector: str, group: list[str], width: Column | None = None) -> DataFrame:
-    """(key, g, unit): one row per key with a usable vector, scaled to length 1 in double."""
-    usable = F.col(vector).isNotNull() & (F.size(vector) == (width if width is not None else F.size(vector)))
-    rows = df.where(usable & F.col(key).isNotNull()).groupBy(F.col(key).alias("key"), *group).agg(F.first(vector).alias("v"))
-    rows = rows.withColumn("v", F.transform("v", lambda x: x.cast("double")))
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    rows = rows.where("norm > 0 and norm < double('infinity') and not isnan(norm)")
-    return rows.select("key", F.struct(F.size("v").alias("width"), *group).alias("g"), F.expr("transform(v, x -> x / norm)").alias("unit"))
-
+PREPARED = "codes binary, scale float, loss float, unit binary"
 
-def quantised(units: DataFrame) -> DataFrame:
-    """(key, g, codes, scale, loss); codes are int8, one byte each."""
 
-    def run(batches):
+def unit_vectors(df: DataFrame, key: str, vector: str, group: list[str], width: Column | None = None) -> DataFrame:
+    """(key, g, codes, scale, loss, unit): one row per key with a usable vector. ``unit`` is the
+    vector scaled to length 1, as float64 bytes; codes are its int8 values; loss is the length
+    of what their rounding lost."""
+    usable = F.col(vector).isNotNull() & (F.size(vector) == (width if width is not None else F.size(vector))) & (F.size(vector) > 0)
+    rows = df.where(usable & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.struct(F.size(vector).alias("width"), *group).alias("g"), F.col(vector).alias("v"))
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(2)
-            if not batch.num_rows:
-                continue
-            codes, scales, losses = [], [], []
-            flat, offsets = rows.flatten().to_numpy(), rows.offsets.to_numpy() - rows.offsets[0].as_py()
-            for a, b in zip(offsets, offsets[1:]):
+            cells = batch.column(2)
+            flat = cells.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            offsets = cells.offsets.to_numpy() - (cells.offsets[0].as_py() if batch.num_rows else 0)
+            kept, codes, scales, losses, units = [], [], [], [], []
+            for n, (a, b) in enumerate(zip(offsets, offsets[1:])):
                 x = flat[a:b]
+                length = np.sqrt(x @ x)
+                if not (np.isfinite(length) and length > 0):
+                    continue
+                x = x / length
                 scale = np.abs(x).max() / 127
                 q = np.rint(x / scale).astype(np.int8)
+                kept.append(n)
                 codes.append(q.tobytes())
                 scales.append(scale)
                 losses.append(np.linalg.norm(x - q * scale) + SLACK)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary()), pa.array(scales, pa.float32()), pa.array(losses, pa.float32())], ["key", "g", "codes", "scale", "loss"])
+                units.append(x.tobytes())
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(codes, pa.binary()), pa.array(scales, pa.float32()), pa.array(losses, pa.float32()), pa.array(units, pa.binary())],
+                ["key", "g", "codes", "scale", "loss", "unit"],
+            )
+
+    return checkpointed(rows.mapInArrow(run, f"key {kinds['key']}, g {kinds['g']}, {PREPARED}").dropDuplicates(["key"]))
+
 
-    kinds = dict(units.dtypes)
-    return units.mapInArrow(run, f"key {kinds['key']}, g {kinds['g']}, codes binary, scale float, loss float")
+def with_cosine(pairs: DataFrame, x_side: DataFrame, y_side: DataFrame) -> DataFrame:
+    """pairs (x, y) with their cosine, recomputed in double."""
+    x = x_side.select(F.col("key").alias("x"), F.col("unit").alias("ux"))
+    y = y_side.select(F.col("key").alias("y"), F.col("unit").alias("uy"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dots = [float(np.frombuffer(a) @ np.frombuffer(b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dots, pa.float64())], ["x", "y", "similarity"])
+
+    kind = dict(pairs.dtypes)["x"]
+    return pairs.join(x, "x").join(y, "y").select("x", "y", "ux", "uy").mapInArrow(run, f"x {kind}, y {kind}, similarity double")
 
 
 def _matrix(codes: pa.Array) -> np.ndarray:
@@ -95,8 +115,8 @@ def _block_counts(units: DataFrame) -> DataFrame:
 
 
 def _with_blocks(units: DataFrame) -> DataFrame:
-    """The quantised rows with the number of blocks of their group, and their block."""
-    return quantised(units).join(_block_counts(units), "g").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    """The codes with the number of blocks of their group, and their block."""
+    return units.drop("unit").join(_block_counts(units), "g").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
 
 
 def similar_pairs(units: DataFrame, threshold: float) -> DataFrame:
@@ -129,21 +149,15 @@ def similar_pairs(units: DataFrame, threshold: float) -> DataFrame:
 
     kind = dict(units.dtypes)["key"]
     found = tiles.groupBy("g", "i", "j").applyInArrow(tile, f"x {kind}, y {kind}")
-    x = units.select(F.col("key").alias("x"), F.col("unit").alias("ux"))
-    y = units.select(F.col("key").alias("y"), F.col("unit").alias("uy"))
-    exact = found.join(x, "x").join(y, "y").withColumn("similarity", _dot("ux", "uy"))
+    exact = with_cosine(found, units, units)
     return exact.where(F.col("similarity") >= threshold).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
 
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-
-
 def nearest(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """(query_id, neighbor_id, similarity, position): the k most similar rows of each query's
     group, the query itself excluded. ``queries`` are rows of the form of ``units``."""
     rows = _with_blocks(units)
-    asked = quantised(queries).join(_block_counts(units), "g").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(64)))
+    asked = queries.drop("unit").join(_block_counts(units), "g").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(64)))
     # Queries go to every block of their group; a tile holds one block and 1/64 of the queries.
     q_side = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", "block", "part", "key", "codes", "scale", "loss", F.lit(True).alias("asks"))
     parts = asked.select("g", "part").distinct()
@@ -166,9 +180,7 @@ def nearest(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
 
     kind = dict(units.dtypes)["key"]
     found = q_side.unionByName(r_side).groupBy("g", "block", "part").applyInArrow(tile, f"x {kind}, y {kind}").where("x <> y")
-    x = queries.select(F.col("key").alias("x"), F.col("unit").alias("ux"))
-    y = units.select(F.col("key").alias("y"), F.col("unit").alias("uy"))
-    exact = found.join(x, "x").join(y, "y").select("x", "y", F.round(_dot("ux", "uy"), 9).alias("similarity"))
+    exact = with_cosine(found, queries, units).withColumn("similarity", F.round("similarity", 9))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         best = heapq.nsmallest(k, zip(-pdf["similarity"], pdf["y"]))
