@@ -1,0 +1,33 @@
+import pytest
+
+from quern.plans import registry
+
+ORACLES = registry.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_sql(spark, sf, oracle, name):
+    ours, theirs = oracle(registry.queries()[name](spark, sf), ORACLES[name])
+    assert ours == theirs
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(ORACLES)))
+def test_runs(spark, sf, name):
+    assert registry.queries()[name](spark, sf).count() >= 0
+
+
+def test_llm_is_not_imported_by_the_rest():
+    import pathlib
+    import re
+
+    root = pathlib.Path(registry.__file__).parents[1]
+    for p in root.rglob("*.py"):
+        if "llm" not in p.relative_to(root).parts:
+            assert not re.search(r"quern\.llm|from \.+llm", p.read_text()), p
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() > 0
+    assert set(e.oracle_sql()) <= set(e.queries())
