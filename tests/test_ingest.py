@@ -1,4 +1,5 @@
 import io
+import time
 import zipfile
 
 import numpy as np
@@ -71,7 +72,9 @@ def test_limiter_stream(spark, tmp_path):
     spark.createDataFrame([("u", 0.0), ("u", 1.0), ("u", 2.0)], "k string, at double").coalesce(1).write.parquet(src)
     out = limiter.admit_stream(spark.readStream.schema("k string, at double").parquet(src), "k", "at", 2, 10.0)
     q = out.writeStream.format("memory").queryName("admitted").outputMode("append").start()
-    q.processAllAvailable()
+    deadline = time.time() + 40  # the timeout of idle keys keeps the query busy for a window
+    while spark.table("admitted").count() < 3 and time.time() < deadline:
+        time.sleep(0.5)
     q.stop()
     assert sorted((r.at, r.admitted) for r in spark.table("admitted").collect()) == [(0.0, True), (1.0, True), (2.0, False)]
 
