@@ -30,6 +30,7 @@ def oracle(sf):
     import glob
 
     import duckdb
+    import pandas as pd
 
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -37,7 +38,7 @@ def oracle(sf):
         con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
 
     def plain(v):
-        if v is None or v != v:
+        if not isinstance(v, (list, dict)) and pd.isna(v):
             return ""
         return round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
