@@ -119,6 +119,13 @@ def _with_blocks(units: DataFrame) -> DataFrame:
     return units.drop("unit").join(_block_counts(units), "g").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
 
 
+def _by_tile(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows shuffled by tile into a stated number of partitions: a tile is little data and much
+    work, so adaptive execution must not join them."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def similar_pairs(units: DataFrame, threshold: float) -> DataFrame:
     """(id_a, id_b, similarity) of all pairs within a group whose cosine reaches the threshold,
     id_a < id_b."""
@@ -148,7 +155,7 @@ def similar_pairs(units: DataFrame, threshold: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([a.keys.take(pa.array(x)), b.keys.take(pa.array(y))], ["x", "y"])
 
     kind = dict(units.dtypes)["key"]
-    found = tiles.groupBy("g", "i", "j").applyInArrow(tile, f"x {kind}, y {kind}")
+    found = _by_tile(tiles, "g", "i", "j").groupBy("g", "i", "j").applyInArrow(tile, f"x {kind}, y {kind}")
     exact = with_cosine(found, units, units)
     return exact.where(F.col("similarity") >= threshold).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
@@ -179,7 +186,7 @@ def nearest(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
         return pa.table({"x": at(a, left), "y": at(b, right)})
 
     kind = dict(units.dtypes)["key"]
-    found = q_side.unionByName(r_side).groupBy("g", "block", "part").applyInArrow(tile, f"x {kind}, y {kind}").where("x <> y")
+    found = _by_tile(q_side.unionByName(r_side), "g", "block", "part").groupBy("g", "block", "part").applyInArrow(tile, f"x {kind}, y {kind}").where("x <> y")
     exact = with_cosine(found, queries, units).withColumn("similarity", F.round("similarity", 9))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
