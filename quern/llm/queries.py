@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_knn": neighbors.p3_knn,
         "p4_found": canonical.p4_found,
         "p5_found": scans.p5_found,
+        "p5_paragraphs": scans.p5_paragraphs,
         "p6_found": language.p6_found,
         "p6_languages": language.p6_languages,
         "p6_segments": language.p6_segments,
