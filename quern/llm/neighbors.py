@@ -7,8 +7,9 @@ integer sums exactly), and with the stored losses e each product bounds the cosi
 
     |x.y - s_x s_y q_x.q_y|  <=  e_x |y'| + e_y |x'| + e_x e_y
 
-Pairs whose upper bound reaches the threshold (or the k-th best lower bound of their row)
-survive, are joined back to the float vectors and recomputed in double. Bounds are strict, so
+Pairs whose upper bound reaches the threshold survive, are joined back to the float vectors and
+recomputed in double. The k nearest are searched in float32 with the vectors in the tile, and
+those that rounding leaves in doubt are recomputed in double there. Bounds are strict, so
 nothing is lost: recall is 1. A row travels as 64 bytes of codes, its key and two floats, once
 per tile of its block; a group with most of the rows has more blocks, not larger tasks. Work is
 quadratic in the size of a group, as the method is.
@@ -20,18 +21,18 @@ the k nearest, ties go by key. Empty tables give no rows; extra columns are igno
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.llm.common import checkpointed, table
 
 BLOCK_ROWS = 16_384
 SUB_ROWS = 2_048
+#: Queries multiplied at once in a search for the nearest; width of the strips whose maxima bound it.
+ASKED_ROWS, STRIP = 256, 32
 #: float32 rounding of scales and losses, far above its true size.
 SLACK = 1e-5
 
@@ -39,13 +40,15 @@ SLACK = 1e-5
 PREPARED = "codes binary, scale float, loss float, unit binary"
 
 
-def unit_vectors(df: DataFrame, key: str, vector: str, group: list[str], width: Column | None = None) -> DataFrame:
+def unit_vectors(df: DataFrame, key: str, vector: str, group: list[str], width: Column | None = None, floats: bool = False) -> DataFrame:
     """(key, g, codes, scale, loss, unit): one row per key with a usable vector. ``unit`` is the
     vector scaled to length 1, as float64 bytes; codes are its int8 values; loss is the length
-    of what their rounding lost."""
+    of what their rounding lost. With ``floats``, ``unit`` is a float vector as it came: half
+    the bytes, nothing lost."""
     usable = F.col(vector).isNotNull() & (F.size(vector) == (width if width is not None else F.size(vector))) & (F.size(vector) > 0)
     rows = df.where(usable & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.struct(F.size(vector).alias("width"), *group).alias("g"), F.col(vector).alias("v"))
     kinds = dict(rows.dtypes)
+    single = floats and kinds["v"] == "array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +68,7 @@ def unit_vectors(df: DataFrame, key: str, vector: str, group: list[str], width:
                 codes.append(q.tobytes())
                 scales.append(scale)
                 losses.append(np.linalg.norm(x - q * scale) + SLACK)
-                units.append(x.tobytes())
+                units.append(flat[a:b].astype(np.float32).tobytes() if single else x.tobytes())
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(codes, pa.binary()), pa.array(scales, pa.float32()), pa.array(losses, pa.float32()), pa.array(units, pa.binary())],
@@ -110,13 +113,13 @@ def _slack(a: _Side, b: _Side) -> float:
     return ea * (1 + eb) + eb * (1 + ea) + ea * eb
 
 
-def _block_counts(units: DataFrame) -> DataFrame:
-    return units.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
+def _block_counts(units: DataFrame, per: int) -> DataFrame:
+    return units.groupBy("g").agg(F.ceil(F.count("*") / F.lit(per)).cast("int").alias("blocks"))
 
 
 def _with_blocks(units: DataFrame) -> DataFrame:
     """The codes with the number of blocks of their group, and their block."""
-    return units.drop("unit").join(_block_counts(units), "g").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    return units.drop("unit").join(_block_counts(units, BLOCK_ROWS), "g").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
 
 
 def _by_tile(rows: DataFrame, *keys: str) -> DataFrame:
@@ -160,40 +163,72 @@ def similar_pairs(units: DataFrame, threshold: float) -> DataFrame:
     return exact.where(F.col("similarity") >= threshold).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
 
+def _float_units(cells: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of length 1 in double, from float64 or float32 bytes."""
+    raw = cells.to_pylist()
+    v = np.frombuffer(b"".join(raw), dtype=np.float64 if len(raw[0]) == 8 * width else np.float32).reshape(len(raw), width).astype(np.float64)
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def _survivors(product: np.ndarray, most: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cells that may belong to the ``most`` largest of their row. The most-th largest of the
+    maxima of strips is no more than the most-th largest cell, and cheaper to find."""
+    rows, n = product.shape
+    strips = n // STRIP
+    if strips > 4 * most:
+        tops = product[:, : strips * STRIP].reshape(rows, STRIP, strips).max(axis=1)
+        floor = np.partition(tops, strips - most, axis=1)[:, strips - most]
+    else:
+        at = max(0, n - most)
+        floor = np.partition(product, at, axis=1)[:, at]
+    return np.nonzero(product >= (floor - 2 * slack)[:, None])
+
+
 def nearest(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """(query_id, neighbor_id, similarity, position): the k most similar rows of each query's
     group, the query itself excluded. ``queries`` are rows of the form of ``units``."""
-    rows = _with_blocks(units)
-    asked = queries.drop("unit").join(_block_counts(units), "g").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(64)))
-    # Queries go to every block of their group; a tile holds one block and 1/64 of the queries.
-    q_side = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", "block", "part", "key", "codes", "scale", "loss", F.lit(True).alias("asks"))
-    parts = asked.select("g", "part").distinct()
-    r_side = rows.join(parts, "g").select("g", "block", "part", "key", "codes", "scale", "loss", F.lit(False).alias("asks"))
+    per = 2 * BLOCK_ROWS
+    columns = ["g", "block", "part", "key", "unit"]
+    counts = _block_counts(units, per)
+    rows = units.select("key", "g", "unit").join(counts, "g").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    asked = queries.select("key", "g", "unit").join(counts, "g").join(_block_counts(queries, per).withColumnRenamed("blocks", "parts"), "g").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
+    # Queries go to every block of their group; a tile holds one block and one part of the queries.
+    q_side = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, F.lit(True).alias("asks"))
+    r_side = rows.join(asked.select("g", "part").distinct(), "g").select(*columns, F.lit(False).alias("asks"))
 
     def tile(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy(zero_copy_only=False)
-        a, b = _Side(t.filter(pa.array(asks))), _Side(t.filter(pa.array(~asks)))
-        left, right = [], []
+        asks = t.column("asks").to_numpy()
+        a, b = t.filter(pa.array(asks)), t.filter(pa.array(~asks))
+        left, right, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(a) and len(b):
-            slack = _slack(a, b)
-            for s in range(0, len(a), 256):
-                product = (a.q[s : s + 256] @ b.q.T) * b.scale * a.scale[s : s + 256, None]
-                kth = np.partition(product, max(0, len(b) - k - 1), axis=1)[:, max(0, len(b) - k - 1)]  # one more: the query itself
-                x, y = np.nonzero(product >= (kth - 2 * slack)[:, None])
-                left.append(x + s)
-                right.append(y)
-        at = lambda side, found: side.keys.take(pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-        return pa.table({"x": at(a, left), "y": at(b, right)})
+            width = key[0].as_py()["width"]
+            slack = (width + 8) * 2.0**-23
+            u, v = _float_units(a.column("unit"), width), _float_units(b.column("unit"), width)
+            at = {x: n for n, x in enumerate(b.column("key").to_pylist())}
+            own = np.array([at.get(x, -1) for x in a.column("key").to_pylist()])
+            u32, v32 = u.astype(np.float32), np.ascontiguousarray(v.astype(np.float32).T)
+            for s in range(0, len(a), ASKED_ROWS):
+                x, y = _survivors(u32[s : s + ASKED_ROWS] @ v32, k + 1, slack)  # one more: the query itself
+                x = x + s
+                other = y != own[x]
+                x, y = x[other], y[other]
+                exact = np.einsum("ij,ij->i", u[x], v[y])
+                order = np.lexsort((-exact, x))
+                x, y, exact = x[order], y[order], exact[order]
+                first = np.searchsorted(x, x)  # of the rows of the same query
+                kth = exact[np.minimum(first + k, np.searchsorted(x, x, "right")) - 1]
+                near = exact >= kth - 2e-9  # rounding may tie what lies closer
+                left.append(x[near])
+                right.append(y[near])
+                found.append(exact[near])
+        take = lambda side, n: side.column("key").combine_chunks().take(pa.array(np.concatenate(n)))
+        return pa.table({"x": take(a, left), "y": take(b, right), "similarity": np.concatenate(found)})
 
     kind = dict(units.dtypes)["key"]
-    found = _by_tile(q_side.unionByName(r_side), "g", "block", "part").groupBy("g", "block", "part").applyInArrow(tile, f"x {kind}, y {kind}").where("x <> y")
-    exact = with_cosine(found, queries, units).withColumn("similarity", F.round("similarity", 9))
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = heapq.nsmallest(k, zip(-pdf["similarity"], pdf["y"]))
-        return pd.DataFrame([(pdf["x"].iat[0], y, -s, n) for n, (s, y) in enumerate(best, 1)], columns=["query_id", "neighbor_id", "similarity", "position"])
-
-    return exact.groupBy("x").applyInPandas(merge, f"query_id {kind}, neighbor_id {kind}, similarity double, position int")
+    best = _by_tile(q_side.unionByName(r_side), "g", "block", "part").groupBy("g", "block", "part").applyInArrow(tile, f"x {kind}, y {kind}, similarity double")
+    rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("similarity"), "y"))
+    ranked = best.withColumn("similarity", F.round("similarity", 9)).withColumn("position", rank).where(F.col("position") <= k)
+    return ranked.select(F.col("x").alias("query_id"), F.col("y").alias("neighbor_id"), "similarity", "position")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +242,12 @@ def p3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(units.where(F.col("key") % 20 == 0), units, 5).withColumn("similarity", F.round("similarity", 6))
 
 
+def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every chunk embedding among those of its model and version."""
+    units = unit_vectors(table(spark, sf_dir, "chunk_embeddings"), "embedding_id", "embedding", ["model", "model_version"], F.col("dimensions"), floats=True)
+    return nearest(units, units, 5).withColumn("similarity", F.round("similarity", 6))
+
+
 ORACLE_FOUND = """
 WITH e AS (
   SELECT embedding_id, any_value(model) AS m, any_value(model_version) AS mv, any_value(embedding::DOUBLE[]) AS v
@@ -225,3 +266,15 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, neighbor_id) AS position FROM s)
 SELECT query_id, neighbor_id, round(sim, 6) AS similarity, position::INT AS position FROM r WHERE position <= 5
 """
+
+ORACLE_NEAREST = """
+WITH e AS (
+  SELECT embedding_id, any_value(model) AS m, any_value(model_version) AS mv, any_value(embedding::DOUBLE[]) AS v
+  FROM chunk_embeddings WHERE embedding IS NOT NULL AND len(embedding) = dimensions GROUP BY embedding_id),
+u AS (SELECT * FROM e WHERE list_dot_product(v, v) > 0),
+s AS (
+  SELECT q.embedding_id AS query_id, n.embedding_id AS neighbor_id, round(list_cosine_similarity(q.v, n.v), 9) AS sim
+  FROM u q JOIN u n ON q.m = n.m AND q.mv = n.mv AND q.embedding_id <> n.embedding_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, neighbor_id) AS position FROM s)
+SELECT query_id, neighbor_id, round(sim, 6) AS similarity, position::INT AS position FROM r WHERE position <= 5
+"""

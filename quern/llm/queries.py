@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": sentences.p2_found,
         "p3_found": neighbors.p3_found,
         "p3_knn": neighbors.p3_knn,
+        "p3_nearest": neighbors.p3_nearest,
         "p4_found": canonical.p4_found,
         "p5_found": scans.p5_found,
         "p5_paragraphs": scans.p5_paragraphs,
@@ -37,5 +38,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": ranking.ORACLE,
         "p3_found": neighbors.ORACLE_FOUND,
         "p3_knn": neighbors.ORACLE_KNN,
+        "p3_nearest": neighbors.ORACLE_NEAREST,
         "p4_found": canonical.oracle_found(),
     }

@@ -36,3 +36,23 @@ def test_pairs_against_brute_force(spark):
 def test_empty(spark):
     units = N.unit_vectors(spark.createDataFrame([], "id string, v array<float>"), "id", "v", [])
     assert N.similar_pairs(units, 0.9).count() == 0
+
+
+def test_nearest_of_every_chunk_embedding(spark, sf):
+    import duckdb
+
+    from quern.llm.queries import queries
+
+    e = duckdb.sql(f"SELECT embedding_id, any_value(model) AS m, any_value(model_version) AS mv, any_value(dimensions) AS d, any_value(embedding) AS v FROM '{sf}/chunk_embeddings.parquet' GROUP BY embedding_id").fetchall()
+    usable = {k: ((m, mv), np.asarray(v, float) / np.linalg.norm(v)) for k, m, mv, d, v in e if v is not None and len(v) == d and np.linalg.norm(v) > 0}
+    assert 0 < len(usable) < len(e)
+    small, N.BLOCK_ROWS = N.BLOCK_ROWS, 20
+    try:
+        rows = queries()["p3_nearest"](spark, sf).collect()
+    finally:
+        N.BLOCK_ROWS = small
+    got = {}
+    for r in sorted(rows, key=lambda r: r.position):
+        got.setdefault(r.query_id, []).append(r.neighbor_id)
+    exact = {k: [y for _, y in sorted((-round(float(v @ w), 9), y) for y, (h, w) in usable.items() if h == g and y != k)[:5]] for k, (g, v) in usable.items()}
+    assert got == {k: ys for k, ys in exact.items() if ys}
