@@ -17,6 +17,7 @@ Nothing is grouped by version, so one long version does not burden one task.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ LOCAL_WORDS = 500_000
 SHARD_WORDS, BLOCKS = 250_000, 24
 #: A misread form is so many times rarer than the word it stands for.
 RARER = 10
+#: Share of the misread forms sure by their count that a misreading has at least to be a usual one.
+USUAL = 0.01
 #: Neighbouring pages compared, line forms kept for fuzzy comparison, and their likeness.
 REACH, MAX_FORMS, LIKE = 4, 100_000, 0.75
 #: Letters of a running line known from its neighbours only; words of a labelled page number.
@@ -347,23 +350,34 @@ def corrections(types: DataFrame, words: DataFrame, size: int) -> DataFrame:
     return found.join(least, ["type", "distance"])
 
 
+def edits(word: str, form: str) -> list[str]:
+    """What of a word was read as what."""
+    return [f"{word[i:j]}>{form[k:n]}" for op, i, j, k, n in SequenceMatcher(None, word, form, autojunk=False).get_opcodes() if op != "equal"]
+
+
 # ---------------------------------------------------------------- lines to rows
 
 
+def text_id(lines: list[str]) -> int:
+    """The same for all copies of a text, whatever their running and blank lines."""
+    return int.from_bytes(hashlib.blake2b("\n".join(x.strip() for x in lines).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def _doubtful(token: str, known: set) -> str:
     t = word_type(token)
     return "" if not t or masked(t) in known or is_code(t) else t
 
 
 def _rows(pdf: pd.DataFrame, known: set) -> Iterator[tuple]:
-    """(page_id, line_no, kind, type, other, part, before, after): 'running' lines; 'word': a
-    word to be looked up; 'break': a line end within a word, joined (type) or hyphened (other)."""
+    """(page_id, line_no, kind, type, other, part, before, after, text_id): 'running' lines; 'word':
+    a word to be looked up; 'break': a line end within a word, joined (type) or hyphened (other)."""
     for page, text, top_no, top_runs, bottom_no, bottom_runs, next_word, previous in zip(*(pdf[c] for c in ("page_id", "text", "top_no", "top_runs", "bottom_no", "bottom_runs", "next_word", "previous_word"))):
         rows = text.split("\n")
         running = {n for n, r in ((top_no, top_runs), (bottom_no, bottom_runs)) if r}
-        for n in sorted(running):
-            yield page, n, "running", "", "", 0, "", ""
         solid = [i for i, x in enumerate(rows) if x.strip() and i + 1 not in running]
+        own = text_id([rows[i] for i in solid])
+        for n in sorted(running):
+            yield page, n, "running", "", "", 0, "", "", own
         tokens = [rows[i].split() for i in solid]
         carried = previous if previous is not None and previous[-1:] in BREAK_MARKS and len(previous) > 1 else None
         for k, (i, ts) in enumerate(zip(solid, tokens)):
@@ -373,7 +387,7 @@ def _rows(pdf: pd.DataFrame, known: set) -> Iterator[tuple]:
                 joined = word_type(carried[:-1] + ts[0])
                 whole = carried[:-1] + "-" + ts[0]
                 if joined and masked(joined) not in known and masked(word_type(whole)) not in known:
-                    yield page, no, "word", joined, word_type(whole), len(word_type("x" + carried[:-1])) - 1, "", ""
+                    yield page, no, "word", joined, word_type(whole), len(word_type("x" + carried[:-1])) - 1, "", "", own
                 start = 1
                 carried = None
             stop = len(ts)
@@ -382,19 +396,19 @@ def _rows(pdf: pd.DataFrame, known: set) -> Iterator[tuple]:
                 following = tokens[k + 1][0] if k + 1 < len(tokens) else next_word
                 if following is not None and following[:1].isalpha() or following is not None and following[:1] in "@0123456789" and len(following) > 1:
                     joined, whole = word_type(last[:-1] + following), word_type(last[:-1] + "-" + following)
-                    yield page, no, "break", joined, whole, len(word_type("x" + last[:-1])) - 1, last[-1], ""
+                    yield page, no, "break", joined, whole, len(word_type("x" + last[:-1])) - 1, last[-1], "", own
                     if joined and masked(joined) not in known and masked(whole) not in known:
-                        yield page, no, "word", joined, whole, -(len(word_type("x" + last[:-1])) - 1) or -1, "", ""
+                        yield page, no, "word", joined, whole, -(len(word_type("x" + last[:-1])) - 1) or -1, "", "", own
                     carried = last
                 elif last[-1] in "¬­":
-                    yield page, no, "break", "", "", 0, last[-1], ""
+                    yield page, no, "break", "", "", 0, last[-1], "", own
                 stop -= 1
             for j in range(start, stop):
                 if t := _doubtful(ts[j], known):
-                    yield page, no, "word", t, "", 0, word_type(ts[j - 1]) if j else "", word_type(ts[j + 1]) if j + 1 < len(ts) else ""
+                    yield page, no, "word", t, "", 0, word_type(ts[j - 1]) if j else "", word_type(ts[j + 1]) if j + 1 < len(ts) else "", own
 
 
-ROWS = "page_id string, line_no int, kind string, type string, other string, part int, before string, after string"
+ROWS = "page_id string, line_no int, kind string, type string, other string, part int, before string, after string, text_id long"
 
 
 class ScanRepair:
@@ -442,13 +456,23 @@ class ScanRepair:
         return checkpointed(corrections(rows.where("kind = 'word'").select("type").distinct(), self.words, self.size))
 
     def misread(self, rows: DataFrame, nearest: DataFrame) -> DataFrame:
-        """Rows of doubtful words that were misread: far rarer than a word nearby, or oddly made."""
+        """Rows of doubtful words that were misread: far rarer than a word nearby, oddly made, or
+        no more frequent than a word nearby and misread from it in usual ways. Copies of a scan
+        count once, and all is in proportion, so the size of the corpus does not matter."""
         doubtful = rows.where("kind = 'word'")
-        counts = doubtful.groupBy("type").agg(F.count("*").alias("times"))
-        best = nearest.groupBy("type").agg(F.max("n").alias("n"))
+        per_text = doubtful.groupBy("type", "text_id", "page_id").count().groupBy("type", "text_id").agg(F.max("count").alias("times"))
+        counts = per_text.groupBy("type").agg(F.sum("times").alias("times"))
+        best = nearest.groupBy("type").agg(F.max("n").alias("n"), F.max_by("word", F.struct("n", "word")).alias("word"))
         odd = F.col("type").rlike(r"[@]|\p{L}\d|\d\p{L}")
-        verdict = counts.join(best, "type", "left").where((F.col("n") >= F.col("times") * RARER) | odd | F.col("n").isNotNull() & (F.col("times") <= 2)).select("type")
-        return doubtful.join(verdict, "type")
+        told = checkpointed(counts.join(best, "type", "left").withColumn("sure", odd | (F.col("n") >= F.col("times") * RARER)))
+        split = F.udf(edits, "array<string>")
+        rarer = told.where(F.col("n") >= F.col("times") * RARER)
+        ways = rarer.select(F.explode(F.array_distinct(split("word", "type"))).alias("way")).groupBy("way").count()
+        usual = [r.way for r in ways.where(F.col("count") >= F.lit(USUAL * rarer.count())).collect()]  # a few to each 1 / USUAL
+        unsure = told.where(~F.coalesce("sure", F.lit(False))).select("type", "times").join(nearest.select("type", "word", "n"), "type").where("n >= times")
+        taken = F.array(*[F.lit(w) for w in usual]) if usual else F.lit(None).cast("array<string>")
+        likely = unsure.where(F.size(F.array_except(split("word", "type"), taken)) == 0).select("type").distinct()
+        return doubtful.join(told.where("sure").select("type").unionByName(likely), "type")
 
     def breaks(self, rows: DataFrame) -> DataFrame:
         """Line ends within a word that is written without a hyphen."""

@@ -57,3 +57,34 @@ def test_repaired_paragraphs(spark):
 def test_no_pages(spark):
     assert S.repaired(spark.createDataFrame([], SCHEMA)).count() == 0
     assert S.ScanRepair(spark.createDataFrame([], SCHEMA)).found().count() == 0
+
+
+def misread_pages(size, copies):
+    """A corpus in ``size`` times the same proportions; one scan held under ``copies`` ids."""
+    count = "abcdefghijklmnop"
+    rows = [(f"c{k}{i}", f"c{k}{i}", 1, f"The {count[k]}oo crew changed the revised layout of the building and counted every voucher before the evening meeting about the village ledger.", None, None, "x") for k in range(size) for i in range(12)]
+    rows += [(f"r{k}", f"r{k}", 1, f"The {count[k]}oo warden closed the granary of the old building and every voucher was kept in the long room.", None, None, "x") for k in range(size)]
+    for k in range(size):
+        rows += [(f"s{k}-{j}", f"s{k}-{j}", 1, f"The crcw cbanged the revised layout of\nthe {count[k]}oo building and closed the\nold granary. The wardcn kept a voucher.", "engine", 0.8, "x") for j in range(copies)]
+    return rows
+
+
+def misread_lines(spark, size, copies):
+    found = S.ScanRepair(spark.createDataFrame(misread_pages(size, copies), SCHEMA)).found().where("kind = 'misread'").collect()
+    return {(r.page_id, r.line_no) for r in found}
+
+
+def test_misread_words_of_copied_pages(spark):
+    got = misread_lines(spark, 1, 40)
+    assert got == {(f"s0-{j}", n) for j in range(40) for n in (1, 3)}
+
+
+def test_misread_words_whatever_the_size(spark):
+    for size in (1, 4):
+        assert misread_lines(spark, size, 1) == {(f"s{k}-0", n) for k in range(size) for n in (1, 3)}
+
+
+def test_words_as_common_as_their_neighbours_are_no_misreadings(spark):
+    rows = misread_pages(1, 1) + [(f"t{k}", f"t{k}", 1, f"Every wardens meeting was held in the\nlong room. Number {k} was kept.", "engine", 0.8, "x") for k in range(2)]
+    found = S.ScanRepair(spark.createDataFrame(rows, SCHEMA)).found().where("kind = 'misread'").collect()
+    assert not {r.page_id for r in found} & {"t0", "t1"}
