@@ -19,10 +19,11 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -40,8 +41,8 @@ SHARD_WORDS, BLOCKS = 250_000, 24
 RARER = 10
 #: Share of the misread forms sure by their count that a misreading has at least to be a usual one.
 USUAL = 0.01
-#: Neighbouring pages compared, line forms kept for fuzzy comparison, and their likeness.
-REACH, MAX_FORMS, LIKE = 4, 100_000, 0.75
+#: Neighbouring pages compared, line forms of one shard of the fuzzy comparison, and their likeness.
+REACH, SHARD_FORMS, LIKE = 4, 100_000, 0.75
 #: Letters of a running line known from its neighbours only; words of a labelled page number.
 MAX_HEADER, LABEL_WORDS, BESIDE = 50, 4, 0.85
 #: Scripts without spaces, whose words this check does not find.
@@ -200,26 +201,48 @@ def _like(a: str, b: str, least: float = LIKE) -> bool:
     return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
 
 
+def _letters(f: str) -> np.ndarray:
+    return np.bincount([ord(c) % 64 for c in f], minlength=64).astype(np.uint16)
+
+
+def _common(places: dict[str, int], n: int, g: str) -> int:
+    """Length of the longest common subsequence of g and a string of n letters with the places."""
+    v = full = (1 << n) - 1
+    for c in g:
+        u = v & places.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
 class Forms:
-    """Line forms, with a search for like ones by shared letter triples."""
+    """Line forms, with a search for like ones. Only what likeness implies (near lengths, letters
+    and a subsequence in common) decides which forms are compared, so none is missed."""
 
     def __init__(self, forms: list[str]):
         self.known = set(forms)
-        self.forms = forms
-        self.index: dict[str, list[int]] = defaultdict(list)
-        for i, f in enumerate(forms):
-            for g in {f[k : k + 3] for k in range(len(f) - 2)}:
-                self.index[g].append(i)
+        self.forms = sorted((f for f in self.known if len(f) >= 6), key=len)
+        self.lengths = np.array([len(f) for f in self.forms], np.int64)
+        self.letters = np.stack([_letters(f) for f in self.forms]) if self.forms else np.zeros((0, 64), np.uint16)
         self._memo: dict[str, bool] = {}
 
     def has_like(self, f: str) -> bool:
         if f in self.known:
             return True
         if (known := self._memo.get(f)) is None:
-            hits = Counter(i for g in {f[k : k + 3] for k in range(len(f) - 2)} for i in self.index.get(g, ()))
-            known = self._memo[f] = any(n * 4 >= len(f) and _like(f, self.forms[i]) for i, n in hits.most_common(20))
+            known = self._memo[f] = len(f) >= 6 and self._search(f)
         return known
 
+    def _search(self, f: str) -> bool:
+        n = len(f)
+        a, b = np.searchsorted(self.lengths, [int(n * 0.7) - 1, int(n / 0.7) + 2])
+        letters = np.minimum(self.letters[a:b], _letters(f)).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(2 * letters >= LIKE * (self.lengths[a:b] + n))
+        places: dict[str, int] = {}
+        for k, c in enumerate(f):
+            places[c] = places.get(c, 0) | 1 << k
+        candidates = (self.forms[a + i] for i in near[np.argsort(-letters[near], kind="stable")])
+        return any(2 * _common(places, n, g) >= LIKE * (n + len(g)) and _like(f, g) for g in candidates)
+
 
 SUMMARY = "page_id string, version_id string, page_number int, top_no int, top string, top_gap boolean, bottom_no int, bottom string, bottom_gap boolean, first_1 string, first_2 string, last_1 string, last_2 string, apart array<string>"
 
@@ -249,35 +272,63 @@ def summaries(pages: DataFrame) -> DataFrame:
     return pages.select(*columns).mapInPandas(run, SUMMARY).dropDuplicates(["page_id"])
 
 
-def edge_forms(edges: DataFrame) -> tuple[list[str], list[str]]:
-    """Forms of headers and of labelled page numbers that recur in at least two versions, and
-    more often there than as lines standing alone within pages."""
+def edge_forms(edges: DataFrame) -> DataFrame:
+    """(edge, form) of headers and of labelled page numbers that recur in at least two versions,
+    and more often there than as lines standing alone within pages."""
     make = F.udf(lambda x: None if x is None or TERMINATED.search(x) and not x.rstrip().endswith(".") else form(x), "string")
     top = edges.where("top_gap").select(F.lit("top").alias("edge"), make("top").alias("form"), F.col("top").alias("line"), "version_id")
     bottom = edges.select(F.lit("bottom").alias("edge"), make("bottom").alias("form"), F.col("bottom").alias("line"), "version_id").where(F.col("line").rlike(r"\d") & (F.size(F.split("form", " ")) <= LABEL_WORDS))
     ends = F.col("line").rlike(r"[.!?।॥。！？][\"'”’)\]]*$")
     seen = top.unionByName(bottom).where(~ends & F.col("form").isNotNull() & (F.length("form") >= 4)).groupBy("edge", "form").agg(F.approx_count_distinct("version_id").alias("n"))
     within = edges.select(F.explode("apart").alias("form")).groupBy("form").agg(F.count("*").alias("m"))
-    kept = seen.join(within, "form", "left").where((F.col("n") >= 2) & (F.coalesce("m", F.lit(0)) < F.col("n")))
-    rows = kept.orderBy(F.desc("n"), "form").limit(MAX_FORMS).collect()
-    return [r.form for r in rows if r.edge == "top"], [r.form for r in rows if r.edge == "bottom"]
+    return seen.join(within, "form", "left").where((F.col("n") >= 2) & (F.coalesce("m", F.lit(0)) < F.col("n"))).select("edge", "form")
+
+
+def like_forms(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows (edge, form) of ``asked`` that are like a known form of their edge. Asked forms are
+    dealt into blocks and known ones into shards; each cell of that grid is a task."""
+    shards = max(1, -(-known.count() // SHARD_FORMS))
+    left = asked.select("edge", "form", F.pmod(F.xxhash64("form"), F.lit(BLOCKS)).alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = known.select("edge", "form", F.pmod(F.xxhash64("form"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+
+    def search(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        forms = {edge: Forms(list(g["form"])) for edge, g in known.groupby("edge")} if len(asked) else {}
+        return pd.DataFrame([(e, f) for e, f in zip(asked["edge"], asked["form"]) if e in forms and forms[e].has_like(f)], columns=["edge", "form"])
+
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "edge string, form string").distinct()
+
+
+def _asked(line: str | None, at: str) -> str | None:
+    """The form of an edge line where it depends on its form whether the line runs."""
+    if line is None or page_numbers(line) or TERMINATED.search(line) and at == "top":
+        return None
+    f = form(line)
+    return f if len(f) >= 4 else None
 
 
 def running_lines(edges: DataFrame) -> DataFrame:
     """edges with ``top_runs`` and ``bottom_runs``."""
-    spark = edges.sparkSession
-    tops, bottoms = edge_forms(edges)
-    apart_forms = edges.select(F.explode("apart").alias("form")).groupBy("form").agg(F.count("*").alias("m")).orderBy(F.desc("m"), "form").limit(MAX_FORMS).collect()
-    shared = spark.sparkContext.broadcast((tops, bottoms, {r.form: r.m for r in apart_forms}))
+    known = checkpointed(edge_forms(edges))
+    make = F.udf(_asked, "string")
+    asking = edges.withColumn("top_form", make("top", F.lit("top"))).withColumn("bottom_form", make("bottom", F.lit("bottom")))
+    asked = checkpointed(asking.select(F.inline(F.array(*[F.struct(F.lit(e).alias("edge"), F.col(f"{e}_form").alias("form")) for e in ("top", "bottom")]))).where("form is not null").distinct())
+    exact = asked.join(known, ["edge", "form"], "left_semi")
+    like = exact.unionByName(like_forms(asked.join(known, ["edge", "form"], "left_anti"), known)).withColumn("like", F.lit(True))
+    apart = edges.select(F.explode("apart").alias("form")).groupBy("form").agg(F.count("*").alias("m")).where("m >= 2").select("form", F.lit(True).alias("apart"))
+    facts = checkpointed(asked.join(like, ["edge", "form"], "left").join(apart, "form", "left").fillna(False, ["like", "apart"]))
     steps = F.explode(F.array(*[F.lit(k) for k in range(-REACH, REACH + 1) if k]))
     # Keyed by version and page, so that neighbours meet without gathering a version.
     told = edges.select("version_id", steps.alias("step"), F.col("page_number").alias("of"), "top", "bottom").select(
         "version_id", (F.col("of") + F.col("step")).alias("page_number"), F.struct(F.col("step").alias("step"), "top", "bottom").alias("other")
     )
     others = told.groupBy("version_id", "page_number").agg(F.collect_list("other").alias("others"))
-    joined = edges.drop("apart").join(others, ["version_id", "page_number"], "left")
+    joined = asking.drop("apart").join(others, ["version_id", "page_number"], "left")
+    for e in ("top", "bottom"):
+        of = facts.where(F.col("edge") == e).select(F.col("form").alias(f"{e}_key"), F.col("like").alias(f"{e}_like"), F.col("apart").alias(f"{e}_apart"))
+        # Lines that ask nothing are spread by their page.
+        joined = joined.withColumn(f"{e}_key", F.coalesce(f"{e}_form", F.concat(F.lit("\0"), "page_id"))).join(of, f"{e}_key", "left").drop(f"{e}_key", f"{e}_form").fillna(False, [f"{e}_like", f"{e}_apart"])
 
-    def decide(line: str, forms: Forms, apart: dict, others: list, at: str) -> bool:
+    def decide(line: str, like: bool, apart: bool, others: list, at: str) -> bool:
         own = page_numbers(line)
         beside = [(o["step"], o[at]) for o in others]
         if own:
@@ -286,27 +337,27 @@ def running_lines(edges: DataFrame) -> DataFrame:
                 return any(n - m == k for k, ms in numbers for m in ms for n in own)
             return min(own) < 1000
         f = form(line)
-        if len(f) < 4 or TERMINATED.search(line) and not (at == "bottom" and forms.has_like(f)):
+        if len(f) < 4 or TERMINATED.search(line) and not (at == "bottom" and like):
             return False
-        if forms.has_like(f):
+        if like:
             return True
-        if apart.get(f, 0) >= 2:
+        if apart:
             return False
         if len(line) > MAX_HEADER or SENTENCE_WITHIN.search(line) or line[0] in "#|":
             return False
         return any(_like(f, form(x), BESIDE) for _, x in beside if not TERMINATED.search(x))
 
+    told_columns = ["others", "top_like", "top_apart", "bottom_like", "bottom_apart"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tops, bottoms, apart = shared.value
-        top_forms, bottom_forms = Forms(tops), Forms(bottoms)
         for pdf in batches:
             others = [list(o) if o is not None else [] for o in pdf["others"]]
-            yield pdf.drop(columns="others").assign(
-                top_runs=[decide(x, top_forms, apart, o, "top") for x, o in zip(pdf["top"], others)],
-                bottom_runs=[b != a and decide(x, bottom_forms, apart, o, "bottom") for x, o, a, b in zip(pdf["bottom"], others, pdf["top_no"], pdf["bottom_no"])],
+            yield pdf.drop(columns=told_columns).assign(
+                top_runs=[decide(x, like, apart, o, "top") for x, like, apart, o in zip(pdf["top"], pdf["top_like"], pdf["top_apart"], others)],
+                bottom_runs=[b != a and decide(x, like, apart, o, "bottom") for x, like, apart, o, a, b in zip(pdf["bottom"], pdf["bottom_like"], pdf["bottom_apart"], others, pdf["top_no"], pdf["bottom_no"])],
             )
 
-    columns = [f"{n} {t}" for n, t in joined.drop("others").dtypes]
+    columns = [f"{n} {t}" for n, t in joined.drop(*told_columns).dtypes]
     return joined.mapInPandas(run, ", ".join([*columns, "top_runs boolean", "bottom_runs boolean"]))
 
 

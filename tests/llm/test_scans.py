@@ -88,3 +88,24 @@ def test_words_as_common_as_their_neighbours_are_no_misreadings(spark):
     rows = misread_pages(1, 1) + [(f"t{k}", f"t{k}", 1, f"Every wardens meeting was held in the\nlong room. Number {k} was kept.", "engine", 0.8, "x") for k in range(2)]
     found = S.ScanRepair(spark.createDataFrame(rows, SCHEMA)).found().where("kind = 'misread'").collect()
     assert not {r.page_id for r in found} & {"t0", "t1"}
+
+
+def test_like_forms_are_all_compared():
+    random.seed(4)
+    right = "minutes of the ward council"
+    longer = [f"{right} and {right} held by member {''.join(random.choice('abcdefgh') for _ in range(6))}" for _ in range(200)]
+    assert S.Forms([*longer, right]).has_like("rninutcs of thc ward council") and not S.Forms(longer).has_like("rninutcs of thc ward council")
+    word = lambda: "".join(random.choice("abc ") for _ in range(random.randint(4, 14)))
+    forms = [word() for _ in range(60)]
+    for f in (word() for _ in range(200)):
+        assert S.Forms(forms).has_like(f) == any(S._like(f, g) for g in forms)
+
+
+def test_running_lines_with_many_shards(spark):
+    edges = S.summaries(spark.createDataFrame(pages(), SCHEMA).where("text is not null and text <> ''"))
+    whole = {tuple(r) for r in S.running_lines(edges).select("page_id", "top_runs", "bottom_runs").collect()}
+    small, S.SHARD_FORMS = S.SHARD_FORMS, 1
+    try:
+        assert {tuple(r) for r in S.running_lines(edges).select("page_id", "top_runs", "bottom_runs").collect()} == whole and any(t for _, t, _ in whole)
+    finally:
+        S.SHARD_FORMS = small
