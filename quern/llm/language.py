@@ -409,10 +409,29 @@ def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_languages(spark, sf_dir).select("record_kind", "record_id", "language", "confidence")
 
 
+def record_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_kind, record_id, page_id, seg_start, seg_end, language, confidence) of every chunk,
+    page and version; the segments of a version are those of its pages. page_id is null for
+    chunks; offsets are those of the chunk's content or the page's text."""
+    samples = fit_rows(table(spark, sf_dir, "language_samples"))
+    chunks = first_delivery(table(spark, sf_dir, "chunks"), ["chunk_id"], ["content"]).where("content is not null")
+    pages = table(spark, sf_dir, "pages")
+    versions = table(spark, sf_dir, "document_versions").select("version_id").distinct()
+    of_version = first_delivery(pages, ["page_id"], ["version_id"]).join(versions, "version_id")
+    pages = first_delivery(pages, ["page_id"], ["text"]).where("text is not null").join(of_version, "page_id", "left")
+    none = F.lit(None).cast("string")
+    texts = chunks.select(F.struct("chunk_id", none.alias("page_id"), none.alias("version_id")).alias("of"), F.col("content").alias("text")).unionByName(
+        pages.select(F.struct(none.alias("chunk_id"), "page_id", "version_id").alias("of"), "text")
+    )
+    records = F.array(*[F.struct(F.lit(k).alias("record_kind"), F.col(f"of.{k}_id").alias("record_id")) for k in ("chunk", "page", "version")])
+    found = language_segments(texts, "of", "text", samples)
+    rest = [F.col("of.page_id").alias("page_id"), "seg_start", "seg_end", "language", "confidence"]
+    return found.select(F.inline(F.filter(records, lambda r: r["record_id"].isNotNull())), *rest)
+
+
 def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language segments of every chunk, as offsets into content."""
-    chunks = first_delivery(table(spark, sf_dir, "chunks"), ["chunk_id"], ["content"])
-    return language_segments(chunks, "chunk_id", "content", fit_rows(table(spark, sf_dir, "language_samples")))
+    """Language segments of every chunk, page and version, as offsets into the content or text."""
+    return record_segments(spark, sf_dir)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,17 @@ def test_labels(spark):
     rows = [("EN",), ("ta-Latn",), ("ta_IN",), (" ",), (None,), ("und",), ("Tanglish",), ("fra",), ("zh",)]
     got = [r.x for r in spark.createDataFrame(rows, "l string").select(L.label_language(F.col("l")).alias("x")).collect()]
     assert got == ["eng", "tanglish", "tam", None, None, None, "tanglish", "fra", "zho"]
+
+
+def test_segments_of_all_records(spark, sf):
+    import duckdb
+
+    from quern.llm.queries import queries
+
+    got = {(r.record_kind, r.record_id) for r in queries()["p6_segments"](spark, sf).select("record_kind", "record_id").distinct().collect()}
+    languages = {(r.record_kind, r.record_id) for r in L.record_languages(spark, sf).select("record_kind", "record_id").distinct().collect()}
+    assert {k for k, _ in got} == {"chunk", "page", "version"} and languages <= got
+    rows = L.record_segments(spark, sf).where("record_kind <> 'chunk'").collect()
+    texts = dict(duckdb.sql(f"SELECT DISTINCT page_id, text FROM '{sf}/pages.parquet'").fetchall())
+    assert rows and all(texts[r.page_id][r.seg_start : r.seg_end].strip() for r in rows)
+    assert len({tuple(r) for r in rows}) == len(rows)
