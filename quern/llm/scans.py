@@ -498,8 +498,10 @@ class ScanRepair:
         if self.size <= LOCAL_WORDS:
             return rows
         # Words beyond the local ones: those known after all are not doubtful.
-        known = self.words.select(F.col("type").alias("masked"))
-        doubtful = rows.where("kind = 'word'").withColumn("masked", F.regexp_replace("type", r"\d+", "0")).join(known, "masked", "left_anti").drop("masked")
+        mask = F.udf(masked, "string")
+        doubtful = rows.where("kind = 'word'").withColumn("joined", mask("type")).withColumn("hyphened", mask("other"))
+        for way in ("joined", "hyphened"):
+            doubtful = doubtful.join(self.words.select(F.col("type").alias(way)), way, "left_anti").drop(way)
         return rows.where("kind <> 'word'").unionByName(doubtful)
 
     def candidates(self, rows: DataFrame) -> DataFrame:

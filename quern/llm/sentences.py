@@ -55,6 +55,8 @@ TOKEN = re.compile(r"\S+")
 RUN = re.compile(r"[.!?।॥。！？…]+")
 WEB = re.compile(r"^(?:https?://|www\.)|@", re.I)
 LONGEST_HEADING = 60
+#: Characters before a mark that are looked at.
+TOKEN_REACH = 80
 _LIKE = {ord(a): b for a, b in LOOKALIKES.items()}
 
 
@@ -355,7 +357,7 @@ class Segmenter:
             return True
         run, after = text[a:b], text[at]
         following = TOKEN.match(text, at, end).group()
-        token = text[max((m.start() for m in TOKEN.finditer(text, max(start, a - 80), a)), default=a) : a]
+        token = text[max((m.start() for m in TOKEN.finditer(text, max(start, a - TOKEN_REACH), a)), default=a) : a]
         if closed >= 0:
             led_in = text[start:closed].rstrip()[-1:] in (",", ":", "，", "：")
             if after.islower():
@@ -417,6 +419,24 @@ class _Shift:
 # ---------------------------------------------------------------- operator
 
 
+@functools.lru_cache(1 << 14)
+def _asked_for(token: str) -> frozenset[str]:
+    """All words that the segmenter may look up for a token: what starts it or follows a mark,
+    closing or odd character within it, and what stands before each mark, whole and from its
+    last period on. The model has no words of Han or without letters."""
+    out = set()
+    marks = list(RUN.finditer(token))
+    after = {0, *(m.end() for m in marks), *(i + 1 for i, c in enumerate(token) if c in CLOSERS or INVISIBLE.match(c))}
+    for at in after:
+        rest = token[at:]
+        if next((s for c in rest if (s := script(c))), "Han") != "Han":
+            out |= {_parts(rest)[1], _core(plain(rest)).rstrip(".…!?।॥")}
+    for m in marks:
+        lower = plain(token[max(0, m.start() - TOKEN_REACH) : m.start()]).lstrip(OPENERS).lower()
+        out |= {lower, lower.rpartition(".")[2]}
+    return frozenset(w for w in out if token_script(w) not in ("", "Han"))
+
+
 def _needed(texts: DataFrame, key: str, column: str, model: DataFrame) -> DataFrame:
     """(key, model) with the entries that a text can use, for models too large to broadcast."""
 
@@ -426,9 +446,8 @@ def _needed(texts: DataFrame, key: str, column: str, model: DataFrame) -> DataFr
             for k, text in zip(pdf[key], pdf[column]):
                 for a, b in blocks(text or ""):
                     rows |= {(k, heading_key(text[s:e])) for s, e in lines(text, a, b) if e - s <= LONGEST_HEADING}
-                    for t in map(plain, TOKEN.findall(text[a:b])):
-                        w = _core(t).rstrip(".…!?।॥")
-                        rows |= {(k, w), (k, w.lower()), (k, t.lstrip(OPENERS).partition(".")[0].lower())}
+                    for t in TOKEN.findall(text[a:b]):
+                        rows |= {(k, w) for w in _asked_for(t)}
             yield pd.DataFrame(sorted(rows), columns=[key, "a"])
 
     used = texts.mapInPandas(run, f"`{key}` string, a string").distinct().join(model, "a")

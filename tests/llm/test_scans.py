@@ -109,3 +109,17 @@ def test_running_lines_with_many_shards(spark):
         assert {tuple(r) for r in S.running_lines(edges).select("page_id", "top_runs", "bottom_runs").collect()} == whole and any(t for _, t, _ in whole)
     finally:
         S.SHARD_FORMS = small
+
+
+def test_words_beyond_the_local_ones(spark):
+    rows = pages() + [("d", "d", 1, "The ward has ledger अ१२ and a cross-check.", None, None, "x"), ("w", "w", 1, "The auditor counted ledger अ३४\nin the presence of the committee.", "engine", 0.8, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    columns = ["page_id", "line_no", "kind", "type", "other", "part"]
+    whole = S.ScanRepair(df)
+    want, found = set(whole.rows().select(*columns).collect()), set(whole.found().collect())
+    small, S.LOCAL_WORDS = S.LOCAL_WORDS, 0
+    try:
+        joined = S.ScanRepair(df)
+        assert set(joined.rows().select(*columns).collect()) == want and set(joined.found().collect()) == found
+    finally:
+        S.LOCAL_WORDS = small

@@ -68,3 +68,35 @@ def test_learned_without_labels(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id string, t string")
     assert S.sentence_units(df, "id", "t", S.learn(df, "t")).count() == 0
+
+
+def test_joined_model_gives_the_same_units(spark):
+    texts = ["Entry S.No. 12 was signed. The end.", "See S.No.12 there. It ended.", "He waited…The gate shut. (No. 7 is here.)", "It ended.”kadai moodi… The end.", "Is it p.m.? “The gate, Dr. Devi said.” The rest, U.No. Kumar came."]
+    df = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "id string, t string")
+    rows = [("s", "Latin", "The", ""), ("s", "Latin", "kadai", ""), ("a", "Latin", "no", ""), ("a", "Latin", "dr", ""), ("a", "Latin", "p.m", ""), ("c", "Latin", "u.no", "Kumar")]
+    model = spark.createDataFrame(rows, "kind string, script string, a string, b string")
+    whole = sorted(S.sentence_units(df, "id", "t", model).collect())
+    small, S.BROADCAST_ENTRIES = S.BROADCAST_ENTRIES, 0
+    try:
+        assert sorted(S.sentence_units(df, "id", "t", model).collect()) == whole
+    finally:
+        S.BROADCAST_ENTRIES = small
+
+
+def test_every_word_looked_up_is_asked_for(spark, sf):
+    import duckdb
+
+    asked = set()
+
+    class Seen(set):
+        def __contains__(self, x):
+            asked.add(x[1])
+            return False
+
+    model = S.Model([])
+    model.starters = model.abbreviations = model.collocations = Seen()
+    for (text,) in duckdb.sql(f"SELECT content FROM '{sf}/chunks.parquet' WHERE content IS NOT NULL").fetchall():
+        asked.clear()
+        list(S.Segmenter(model).units(text))
+        given = {w for t in S.TOKEN.findall(text) for w in S._asked_for(t)}
+        assert {w for w in asked if S.token_script(w) not in ("", "Han")} <= given
