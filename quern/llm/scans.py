@@ -430,6 +430,7 @@ def _rows(pdf: pd.DataFrame, known: set) -> Iterator[tuple]:
         for n in sorted(running):
             yield page, n, "running", "", "", 0, "", "", own
         tokens = [rows[i].split() for i in solid]
+        beside = lambda k, j: word_type(tokens[k][j]) if 0 <= k < len(tokens) and len(tokens[k]) > 1 else ""
         carried = previous if previous is not None and previous[-1:] in BREAK_MARKS and len(previous) > 1 else None
         for k, (i, ts) in enumerate(zip(solid, tokens)):
             no = i + 1
@@ -438,7 +439,7 @@ def _rows(pdf: pd.DataFrame, known: set) -> Iterator[tuple]:
                 joined = word_type(carried[:-1] + ts[0])
                 whole = carried[:-1] + "-" + ts[0]
                 if joined and masked(joined) not in known and masked(word_type(whole)) not in known:
-                    yield page, no, "word", joined, word_type(whole), len(word_type("x" + carried[:-1])) - 1, "", "", own
+                    yield page, no, "word", joined, word_type(whole), len(word_type("x" + carried[:-1])) - 1, beside(k - 1, -2), beside(k, 1), own
                 start = 1
                 carried = None
             stop = len(ts)
@@ -449,7 +450,7 @@ def _rows(pdf: pd.DataFrame, known: set) -> Iterator[tuple]:
                     joined, whole = word_type(last[:-1] + following), word_type(last[:-1] + "-" + following)
                     yield page, no, "break", joined, whole, len(word_type("x" + last[:-1])) - 1, last[-1], "", own
                     if joined and masked(joined) not in known and masked(whole) not in known:
-                        yield page, no, "word", joined, whole, -(len(word_type("x" + last[:-1])) - 1) or -1, "", "", own
+                        yield page, no, "word", joined, whole, -(len(word_type("x" + last[:-1])) - 1) or -1, beside(k, -2), beside(k + 1, 1), own
                     carried = last
                 elif last[-1] in "¬­":
                     yield page, no, "break", "", "", 0, last[-1], "", own
@@ -542,8 +543,8 @@ class ScanRepair:
         bad = self.misread(rows, nearest)
         # A joined word belongs to two lines; the one that differs from the nearest word counts.
         split = bad.where("part <> 0")
-        top = nearest.groupBy("type").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
-        split = split.join(top, "type", "left")
+        best = ranked_candidates(split, nearest, neighbours(self.pages))
+        split = split.join(best, ["page_id", "line_no", "type"], "left")
         left_same = F.expr("word is not null and substring(word, 1, abs(part)) = substring(type, 1, abs(part))")
         right_same = F.expr("word is not null and length(type) > abs(part) and right(word, length(type) - abs(part)) = substring(type, abs(part) + 1, length(type))")
         own = split.where(F.when(F.col("part") < 0, ~left_same | F.col("word").isNull()).otherwise(~right_same | F.col("word").isNull())).drop("word")

@@ -123,3 +123,13 @@ def test_words_beyond_the_local_ones(spark):
         assert set(joined.rows().select(*columns).collect()) == want and set(joined.found().collect()) == found
     finally:
         S.LOCAL_WORDS = small
+
+
+def test_split_word_judged_by_its_neighbours(spark):
+    """'bac|her' is as near to 'baccer' as to the more frequent 'bather'; the neighbours tell that
+    the second half was misread, not the first."""
+    clean = [(f"a{k}", f"a{k}", 1, "The lone bather came along the road to the evening market by the old mill, and everybody who stood there saw it.", None, None, "x") for k in range(60)]
+    clean += [(f"b{k}", f"b{k}", 1, "The clerk and the careful baker kept every ledger in the presence of the auditor, and the ward meeting was closed by the careful baccer also.", None, None, "x") for k in range(20)]
+    scan = [("s", "s", 1, "It was the clerk and the careful bac-\nher also who came along the road", "engine", 0.8, "x")]
+    got = {(r.page_id, r.line_no) for r in S.ScanRepair(spark.createDataFrame(clean + scan, SCHEMA)).found().where("kind = 'misread'").collect()}
+    assert got == {("s", 2)}
