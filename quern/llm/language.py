@@ -144,7 +144,7 @@ class Classifier:
         return s, out
 
 
-ENDS, LINE, ITEM, UNMARKED_SCRIPT = 1, 2, 4, 8
+ENDS, LINE, ITEM, UNMARKED_SCRIPT, SHORT_END = 1, 2, 4, 8, 16
 
 
 class Tagger:
@@ -179,6 +179,8 @@ class Tagger:
                 lone = m.group()[0] == "." and m.group()[1:2] != "."
                 if not (lone and 0 < size < (SHORT_LATIN if script == "Latin" else SHORT_OTHER)) and not (flags & ITEM):
                     flags |= ENDS
+                elif script in UNMARKED:
+                    flags |= SHORT_END
             if script in UNMARKED:
                 flags |= UNMARKED_SCRIPT
         values = tuple(-FOREIGN if row is None or x not in row else row[x] for x in self.states) if row is not None else (0.0,) * len(self.states)
@@ -303,6 +305,11 @@ class Tagger:
         is_unmarked = np.add.reduceat(thai.astype(np.int64), u) > 0
         closed = ((flags[tail] & ENDS) > 0) | item_line[u]
         enough = np.where(is_unspaced, unit_letters >= MIN_UNSPACED, words >= MIN_WORDS)
+        # Without marks, an abbreviation that ends a unit closes it, if the unit began a sentence.
+        solid = np.where((flags & LINE) > 0, -1, np.arange(n))
+        last = np.maximum(np.maximum.accumulate(solid)[tail], u)
+        begins = new_text | ended | np.concatenate([[True], (flags[:-1] & LINE) > 0])
+        closed |= ((flags[last] & SHORT_END) > 0) & begins[u]
         whole = enough & closed | is_unmarked & (unit_letters >= MIN_UNMARKED)
         sums = np.add.reduceat(emit, u, axis=0)
         own = sums[np.arange(len(u)), lang]
@@ -312,9 +319,8 @@ class Tagger:
         keep = unit_letters > 0
         out = {"text": text_of[u], "language": lang, "letters": unit_letters, "whole": whole, "confidence": 1 / (1 + np.exp(-np.clip(gap, -30, 30)))}
         if starts:
-            solid = np.where((flags & LINE) > 0, -1, np.arange(n))
             out["start"] = np.asarray(starts)[u]
-            out["end"] = np.asarray(ends)[np.maximum(np.maximum.accumulate(solid)[tail], u)]
+            out["end"] = np.asarray(ends)[last]
         return {k: v[keep] for k, v in out.items()}
 
 

@@ -70,3 +70,14 @@ def test_segments_of_all_records(spark, sf):
     texts = dict(duckdb.sql(f"SELECT DISTINCT page_id, text FROM '{sf}/pages.parquet'").fetchall())
     assert rows and all(texts[r.page_id][r.seg_start : r.seg_end].strip() for r in rows)
     assert len({tuple(r) for r in rows}) == len(rows)
+
+
+def test_short_thai_sentence_ending_in_an_abbreviation(samples):
+    tagger = L.Tagger(L.Classifier(samples))
+    thai = "การประชุมเลิกเวลา 10.30 น."
+    english = next(t for t, x in samples if x == "eng")
+    for text in (f"{english}\n{thai}", f"{english}\n{thai}\n{english}", f"{thai} {english}", f"{english} {thai}"):
+        u = tagger.units([text])
+        assert {tagger.states[x] for x, w in zip(u["language"], u["whole"]) if w} == {"eng", "tha"}
+    u = tagger.units(["The clerk of the ward wrote down เวลา 10.30 น. as the hour of the meeting."])
+    assert {tagger.states[x] for x, w in zip(u["language"], u["whole"]) if w} == {"eng"}
