@@ -254,6 +254,14 @@ def citation_resolve(spark, sf):
     return citations.resolve(q, _everyone(spark, sf))
 
 
+def citation_sentences(spark, sf):
+    """The claims of each query as quotes: whole sentences at their own offsets."""
+    r = deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id").select("query_id", "chunk_id", "workspace_id", F.col("document_version_id").alias("version_id"))
+    claims = answers.best_claims(_passages(spark, sf)).select("query_id", "chunk_id", F.col("start").alias("quote_start"), (F.col("start") + F.length("sentence")).alias("quote_end"), F.col("sentence").alias("quote"))
+    q = claims.join(r, ["query_id", "chunk_id"]).withColumn("ref_id", F.concat_ws("/", "query_id", "chunk_id")).drop("query_id")
+    return citations.resolve(q, _everyone(spark, sf))
+
+
 # ---- safety
 
 
@@ -300,7 +308,7 @@ def eval_ranking(spark, sf):
 _ALL: tuple[Query, ...] = (
     tenant_counts, unbound_scope, ready_gate, filtered_chunks, exact_duplicates, latest_versions, order_preserving_lookup, broken_references, duplicate_keys, late_rows, normalized_text, word_tokens,
     trigram_features, language_decision, query_variants, sentence_spans, chunk_documents, chunk_provenance, lexical_topk, dense_topk, rrf_fusion, hydrated, rerank_minmax, rerank_overlap, hybrid_search,
-    hashing_embeddings, top_claims, claim_split, claim_polarity, verified_claims, composed_answers, claim_confidence, citation_resolve, injection_signals, injection_rules_hits, invisible_characters,
+    hashing_embeddings, top_claims, claim_split, claim_polarity, verified_claims, composed_answers, claim_confidence, citation_resolve, citation_sentences, injection_signals, injection_rules_hits, invisible_characters,
     document_safety, rate_limit, eval_ranking,
 )
 
