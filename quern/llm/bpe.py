@@ -156,8 +156,9 @@ def _encoder(ranks_file: bytes, pattern: str) -> BacktrackingBpe:
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", count_only: bool = False) -> DataFrame:
-    """(key, ids), or (key, n_tokens) with ``count_only``; one narrow stage, no shuffle beyond
-    spreading the rows. The vocabulary file (under 1 MB, a fixed size) is broadcast once."""
+    """(key, ids), or (key, n_tokens) with ``count_only``; one narrow stage, without a shuffle where
+    the scan has a split for each core. The vocabulary file (under 1 MB, a fixed size) is broadcast
+    once."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_file(vocabulary))
     kind = dict(df.dtypes)[key]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,16 +31,23 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
     return df.mapInArrow(run, schema)
 
 
-def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
-    """Spread the few file splits of a table over all cores before CPU-heavy Python work."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism * 2, 8), *keys)
+def spread(df: DataFrame) -> DataFrame:
+    """A scan before CPU-heavy work. One with at least as many splits as there are cores stays as
+    it is, so large tables are never shuffled; few splits are dealt out anew. For scans and what is
+    narrow over them only: the count of splits would run whatever else comes before."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(max(cores * 2, 8))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set (tests)."""
+    """The folder that all executors share. Where none is set, one is made for a local session;
+    on a cluster that is an error, as a folder of one machine would not serve the others."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     import tempfile
 
     made = "file://" + tempfile.mkdtemp(prefix="quern-")
