@@ -1,26 +1,30 @@
 """Splitting oversized texts at natural boundaries (problem 7).
 
-One scan of the text gives sorted arrays of boundary offsets by rank (paragraph, line, sentence,
-clause, word) and, where sizes are in tokens, prefix sums of the units' sizes. A piece starts at
-a boundary; its end is found by binary search as the last boundary whose prefix sum stays under
-the limit, best rank first; without any boundary in reach the text is cut hard at the limit.
-The next piece starts up to ``overlap`` before that end, at the first boundary there.
+One scan of the text gives the offsets of its tokens (words, letters of scripts without spaces,
+white space), the prefix sums of their sizes, and sorted arrays of boundary offsets by rank
+(paragraph, line, sentence, clause, word). How far a piece reaches is found by binary search in
+the prefix sums, its end by binary search for the last boundary under that, best rank first;
+without any boundary in reach the text is cut hard there. The next piece starts ``overlap``
+before that end. Sizes are code points unless another measure of a token is given.
 
 Results: null and blank texts give no pieces; texts within the limit give one. Pieces cover all
-non-blank text, are at most ``limit`` long, and are exact slices content[start:end]. Texts may
-be of any length (linear scan, logarithmic search). Repeated chunk rows are split once per key.
+non-blank text, are at most ``limit`` long, and are exact slices content[start:end]. In code
+points the overlap is exact; in another measure it is the whole tokens that fit into it, and a
+token above the limit is cut within. Texts may be of any length (linear scan, logarithmic
+search). Repeated chunk rows are split once per key.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm.common import first_delivery, spread, table
+from quern.llm.common import first_delivery, table
 
 LIMIT, OVERLAP = 1200, 150
 
@@ -29,6 +33,7 @@ PARAGRAPH_BREAK = re.compile(r"(?:\r\n|\n|\r)(?:[ \t]*(?:\r\n|\n|\r))+|[ \t]*[\f
 LINE_BREAK = re.compile(r"\r\n|[\n\r\v\x85\u2028]")
 SENTENCE_END = re.compile(r"[.!?।॥。！？…]+[\"'”’)\]」』]*(?=\s|$|[⺀-鿿])")
 CLAUSE_END = re.compile(r"[,;:、，；：](?=\s|$|[⺀-鿿])")
+TOKEN = re.compile(r"\s+|[฀-๿⺀-鿿]|[^\s฀-๿⺀-鿿]+")
 WORD_END = re.compile(r"(?<=\S)(?=\s)|(?<=[฀-๿⺀-鿿])(?=[฀-๿⺀-鿿])")
 
 
@@ -47,24 +52,36 @@ def paragraphs(text: str) -> tuple[list[int], list[int]]:
 
 
 class Boundaries:
-    """Boundary offsets of one text, ranked; a cut at offset e ends a piece there."""
-
-    def __init__(self, text: str, sizes: list[int] | None = None):
-        self.text = text
-        self.starts, para_ends = paragraphs(text)
-        self.ranks = [para_ends] + [sorted({m.start() if p is LINE_BREAK or p is WORD_END else m.end() for m in p.finditer(text)}) for p in (LINE_BREAK, SENTENCE_END, CLAUSE_END, WORD_END)]
-        #: sums[i] = size of the first i code points; None: one each.
-        self.sums = None
-        if sizes is not None:
-            self.sums = [0]
-            for s in sizes:
-                self.sums.append(self.sums[-1] + s)
+    """Token offsets, their prefix sums and the boundary offsets of one text, ranked; a cut at
+    offset e ends a piece there."""
+
+    def __init__(self, text: str, size: Callable[[str], int] | None = None):
+        self.text, self.size = text, size
+        self.starts, self.ends = paragraphs(text)
+        self.ranks = [self.ends] + [sorted({m.start() if p is LINE_BREAK or p is WORD_END else m.end() for m in p.finditer(text)}) for p in (LINE_BREAK, SENTENCE_END, CLAUSE_END, WORD_END)]
+        tokens = TOKEN.findall(text)
+        self.offsets = list(accumulate(map(len, tokens), initial=0))
+        #: sums[k] = size of the first k tokens.
+        self.sums = self.offsets if size is None else list(accumulate(map(size, tokens), initial=0))
+
+    def before(self, at: int) -> int:
+        """Size of the text before an offset; a token that it parts counts as far as it goes in
+        code points, else not."""
+        k = bisect_right(self.offsets, at) - 1
+        return self.sums[k] + (at - self.offsets[k] if self.size is None else 0)
 
     def reach(self, start: int, limit: int) -> int:
         """The farthest end such that text[start:end] stays within the limit."""
-        if self.sums is None:
-            return min(len(self.text), start + limit)
-        return max(start + 1, bisect_right(self.sums, self.sums[start] + limit) - 1)
+        most = self.before(start) + limit
+        k = bisect_right(self.sums, most) - 1
+        end = self.offsets[k]
+        if self.size is None:
+            return min(len(self.text), end + most - self.sums[k])
+        if end <= start:  # a token above the limit
+            end = self.offsets[bisect_right(self.offsets, start)]
+            while end > start + 1 and self.size(self.text[start:end]) > limit:
+                end = start + (end - start) // 2
+        return end
 
     def last_under(self, rank: int, start: int, reach: int) -> int:
         """The last boundary of a rank in (start, reach], or -1."""
@@ -83,25 +100,23 @@ class Boundaries:
                 return end, kind
         return reach, "hard"
 
-    def step_back(self, start: int, end: int, overlap: int) -> int:
-        """Start of the next piece: the first natural boundary within ``overlap`` before end."""
-        lowest = max(start + 1, end - overlap)
-        if self.sums is not None:
-            lowest = max(lowest, bisect_left(self.sums, self.sums[end] - overlap))
-        for rank in (0, 2, 3, 4):
-            k = bisect_left(self.ranks[rank], lowest)
-            if k < len(self.ranks[rank]) and self.ranks[rank][k] < end:
-                return self.ranks[rank][k]
-        return lowest if overlap else end
+    def step_back(self, start: int, end: int, overlap: int, limit: int) -> int:
+        """Start of the piece after one from start to end."""
+        if not overlap:
+            return end
+        if self.size is None:
+            return max(start + 1, end - overlap)
+        at = self.offsets[bisect_left(self.sums, self.before(end) - overlap)]
+        return at if start < at < end and self.reach(at, limit) > end else end
 
 
-def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, sizes: list[int] | None = None) -> Iterator[tuple[int, int, str]]:
+def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, size: Callable[[str], int] | None = None) -> Iterator[tuple[int, int, str]]:
     """(start, end, boundary kind) of each piece."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     if not text or not text.strip():
         return
-    b = Boundaries(text, sizes)
+    b = Boundaries(text, size)
     start, end, last = b.starts[0], 0, len(text.rstrip())
     while start < last:
         end, kind = b.cut(start, limit, end)
@@ -109,19 +124,21 @@ def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, sizes:
         yield start, end, kind if end < last else "end"
         if end >= last:
             return
-        start = b.step_back(start, end, overlap)
-        while start < last and text[start].isspace():
+        start = b.step_back(start, end, overlap, limit)
+        while start >= end and text[start].isspace():  # white space between pieces belongs to none
             start += 1
 
 
 def forced_cuts(text: str, limit: int = LIMIT) -> list[int]:
-    """Ends of the paragraphs whose successor does not fit into one piece with them: a search
-    for the last paragraph boundary under the limit, from each paragraph's start, stops there."""
-    b = Boundaries.__new__(Boundaries)
-    b.text, b.sums = text, None
-    b.starts, ends = paragraphs(text)
-    b.ranks = [ends]
-    return [e for s, e in zip(b.starts[:-1], ends) if e >= b.last_under(0, s, b.reach(s, limit))]
+    """Ends of the paragraphs whose successor does not fit into one piece with them: the piece
+    that starts with such a paragraph is cut at its end, or already within it."""
+    b = Boundaries(text)
+
+    def forced(start: int, end: int) -> bool:
+        at, kind = b.cut(start, limit)
+        return kind != "end" and not (kind == "paragraph" and at > end)
+
+    return [e for s, e in zip(b.starts[:-1], b.ends) if forced(s, e)]
 
 
 def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -138,7 +155,7 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
             ]
             yield pd.DataFrame(rows, columns=["chunk_id", "piece_no", "content", "char_start", "char_end", "page_number", "boundary"]).astype({"page_number": "Int64"})
 
-    return spread(chunks.select("chunk_id", "content", "char_start", "page_number")).mapInPandas(
+    return chunks.select("chunk_id", "content", "char_start", "page_number").mapInPandas(
         run, "chunk_id string, piece_no int, content string, char_start long, char_end long, page_number int, boundary string"
     )
 

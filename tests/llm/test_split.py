@@ -26,8 +26,26 @@ def test_natural_cuts_and_hard_ones():
 
 
 def test_sizes_in_tokens():
-    sizes = [1 if i % 10 == 0 else 0 for i in range(100)]
-    assert all(sum(sizes[s:e]) <= 3 for s, e, _ in P.pieces("abcdefghi " * 10, 3, 1, sizes))
+    text, size = "abcdefghi " * 10, lambda t: 0 if t.isspace() else 1
+    out = list(P.pieces(text, 3, 1, size))
+    assert [text[s:e].split() for s, e, _ in out] == [["abcdefghi"] * 3] * 4 + [["abcdefghi"] * 2]
+    long = list(P.pieces("x" * 90 + " y", 20, 5, len))  # a token above the limit is cut within
+    assert all(0 < e - s <= 20 for s, e, _ in long) and long[0][0] == 0 and long[-1][1] == 92
+
+
+def test_overlap_is_exact():
+    text = "one two three. four five, six seven eight nine ten " * 80
+    out = list(P.pieces(text))
+    assert len(out) > 3 and {a[1] - b[0] for a, b in zip(out, out[1:])} == {150}
+    assert {kind for _, _, kind in out[:-1]} == {"sentence"}
+
+
+@settings(max_examples=200, deadline=None)
+@given(WORDS, st.integers(1, 200))
+def test_forced_cuts_by_brute_force(parts, limit):
+    text = " ".join(parts)
+    starts, ends = P.paragraphs(text)
+    assert P.forced_cuts(text, limit) == [ends[k] for k in range(len(ends) - 1) if ends[k + 1] - starts[k] > limit]
 
 
 @pytest.mark.parametrize("sep", ["\n\n", "\n \t\n", "\r\n\r\n", "\f", " "])
