@@ -42,14 +42,20 @@ def source_rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
     ).withColumn("reachable", F.col("tokens") * F.col("max_repeats") >= needed)
 
 
-def emit_copies(counted: DataFrame, rates: DataFrame, key: str, seed: int = 17) -> DataFrame:
-    """(key, source, n_tokens, copies) of each document that is taken at least once."""
+def copies_of(counted: DataFrame, rates: DataFrame, key: str, seed: int = 17) -> DataFrame:
+    """(key, source, n_tokens, copies) of each document that is taken at least once. The rates
+    are one row per target, which is a small stated list."""
     docs = counted.withColumn("source", source_key(F.col("source")))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(HASH_STEPS)) / F.lit(float(HASH_STEPS))
     copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
     return docs.join(rates.select("source", "rate"), "source").select(key, "source", "n_tokens", copies.alias("copies")).where("copies > 0")
 
 
+def emit_copies(taken: DataFrame) -> DataFrame:
+    """One row per copy, numbered from 1."""
+    return taken.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+
+
 def counted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # The source travels as part of the key through the encoder, which saves a join.
@@ -63,16 +69,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix itself: doc_id, source and copies."""
-    counted = counted_documents(spark, sf_dir)
-    return emit_copies(counted, source_rates(counted, table(spark, sf_dir, "mix_targets")), "doc_id").select("doc_id", "source", "copies")
+    """The mix itself: a row for each copy taken."""
+    counted = checkpointed(counted_documents(spark, sf_dir))  # read for the rates and for the copies
+    taken = copies_of(counted, source_rates(counted, table(spark, sf_dir, "mix_targets")), "doc_id")
+    return emit_copies(taken).select("doc_id", "source", "copy_no")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share reached by each source of the mix, beside its target."""
-    counted = counted_documents(spark, sf_dir)
+    counted = checkpointed(counted_documents(spark, sf_dir))
     rates = source_rates(counted, table(spark, sf_dir, "mix_targets"))
-    taken = emit_copies(counted, rates, "doc_id").groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"))
+    taken = checkpointed(copies_of(counted, rates, "doc_id").groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens")))
     report = rates.join(taken, "source", "left").fillna(0, ["mixed_tokens"])
     size = taken.agg(F.sum("mixed_tokens").alias("mix_total"))  # one row
     return report.crossJoin(F.broadcast(size)).select(

@@ -11,12 +11,14 @@ def test_rates_shares_and_caps(spark):
     got = {r.source: r for r in rates.collect()}
     assert got["big"].total == 10_010 and got["big"].reachable and not got["never"].reachable and got["never"].rate == 0.0
     assert abs(got["small"].rate - 2502.5 / 1000) < 1e-9
-    taken = M.emit_copies(counted, rates, "doc_id").collect()
+    taken = M.copies_of(counted, rates, "doc_id").collect()
     assert {r.copies for r in taken if r.source == "small"} <= {2, 3} and {r.copies for r in taken if r.source == "big"} == {1}
     small = sum(r.copies for r in taken if r.source == "small")
     assert 235 <= small <= 265
-    again = M.emit_copies(counted, rates, "doc_id").collect()
+    again = M.copies_of(counted, rates, "doc_id").collect()
     assert sorted(map(tuple, taken)) == sorted(map(tuple, again))
+    rows = M.emit_copies(M.copies_of(counted, rates, "doc_id")).collect()
+    assert len(rows) == sum(r.copies for r in taken) and len({(r.doc_id, r.copy_no) for r in rows}) == len(rows)
 
 
 def test_unreachable_by_cap_and_empty(spark):
