@@ -3,13 +3,14 @@
 A text is reduced to its letters (case folded, marks kept; digits and punctuation give way to
 single spaces). Polynomial rolling hashes of every window of the n-gram lengths are compared in
 numpy; the characters under a window that already stood earlier count as repeated, as do whole
-lines and sentences that stood earlier. Loops of a short phrase repeat themselves at the
-distance of their period and so are covered too.
+lines and sentences that stood earlier.
 
-The lengths are chosen so that stock phrases recurring within different sentences stay below
-them: 32 letters where words are spaced, 12 in scripts written without spaces, where a
-character carries about as much as a syllable or word. Equal hashes of 64 bits are taken as
-equal text.
+Each length has its own reach, as a short window says less. One of 32 letters counts wherever it
+stood before: stock phrases that recur within different sentences stay below that. One of 16
+counts only where it stood at most 32 letters before: a word or short phrase said over and over,
+too short a loop for the long window. In scripts written without spaces, where a character
+carries about as much as a syllable or word, the lengths are 12 and 6. Equal hashes of 64 bits
+are taken as equal text.
 
 Results: null, empty and letterless texts have share 0. Texts of any length are measured whole;
 time is n log n. Repeated documents are measured each on its own; extra columns are ignored.
@@ -17,7 +18,6 @@ time is n log n. Repeated documents are measured each on its own; extra columns
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import numpy as np
@@ -26,17 +26,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm.common import map_batches, spread, table
 
-SPACED_LENGTHS, UNSPACED_LENGTHS = (32, 64), (12, 24)
+#: (length, how far before at most; None: anywhere) of the windows.
+SPACED, UNSPACED = ((32, None), (16, 32)), ((12, None), (6, 12))
 THRESHOLD = 1 / 3
-UNIT = re.compile(r"[^.!?।॥。！？\n\r\f\v\x85\u2028\u2029]+")
+#: Marks that end a sentence or line.
+ENDS = ".!?।॥。！？\n\r\f\v\x85\u2028\u2029"
 BASE = np.uint64(6364136223846793005)
 
 
 class _Letters(dict):
-    """Translation that keeps letters and marks and turns all else into a space."""
+    """Translation that keeps letters and marks, turns ends into line feeds and all else into
+    a space."""
 
     def __missing__(self, code: int) -> str:
-        kept = chr(code) if unicodedata.category(chr(code))[0] in "LM" else " "
+        kept = chr(code) if unicodedata.category(chr(code))[0] in "LM" else "\n" if chr(code) in ENDS else " "
         self[code] = kept
         return kept
 
@@ -44,8 +47,10 @@ class _Letters(dict):
 _letters = _Letters()
 
 
-def reduced(text: str) -> str:
-    return " ".join(unicodedata.normalize("NFKC", text).casefold().translate(_letters).split())
+def reduced(text: str) -> list[str]:
+    """The sentences and lines of a text, reduced to letters; those without any left out."""
+    parts = unicodedata.normalize("NFKC", text).casefold().translate(_letters).split("\n")
+    return [" ".join(words) for p in parts if (words := p.split())]
 
 
 def _codes(s: str) -> np.ndarray:
@@ -80,24 +85,27 @@ def rolling_hashes(codes: np.ndarray, length: int) -> np.ndarray:
 
 
 def _cover(n: int, at: np.ndarray, length: int) -> np.ndarray:
-    edges = np.zeros(n + 1, np.int64)
-    np.add.at(edges, at, 1)
-    np.add.at(edges, at + length, -1)
+    edges = np.bincount(at, minlength=n + 1) - np.bincount(at + length, minlength=n + 1)
     return np.cumsum(edges[:-1]) > 0
 
 
-def repeated_mask(codes: np.ndarray, length: int) -> np.ndarray:
-    """Characters under windows that already stood earlier."""
+def repeated_mask(codes: np.ndarray, length: int, reach: int | None = None) -> np.ndarray:
+    """Characters under windows that already stood earlier, at most ``reach`` letters before."""
     if len(codes) <= length:
         return np.zeros(len(codes), bool)
-    _, first, group = np.unique(rolling_hashes(codes, length), return_index=True, return_inverse=True)
-    return _cover(len(codes), np.flatnonzero(first[group] != np.arange(len(group))), length)
+    hashes = rolling_hashes(codes, length)
+    ordered = np.sort(hashes)
+    if not (ordered[1:] == ordered[:-1]).any():  # most texts: no need to know where
+        return np.zeros(len(codes), bool)
+    order = np.argsort(hashes, kind="stable")
+    again = hashes[order[1:]] == hashes[order[:-1]]
+    if reach is not None:
+        again &= order[1:] - order[:-1] <= reach
+    return _cover(len(codes), order[1:][again], length)
 
 
 def repetition_share(text: str | None) -> float:
-    if not text:
-        return 0.0
-    units = [r for u in UNIT.findall(text) if (r := reduced(u))]
+    units = reduced(text) if text else []
     if not units:
         return 0.0
     seen: set[str] = set()
@@ -106,16 +114,16 @@ def repetition_share(text: str | None) -> float:
     at = 0
     for u in units:  # whole sentences and lines; lone words do not count
         size = len(u)
-        if u in seen and (" " in u or size >= UNSPACED_LENGTHS[0]):
+        if u in seen and (" " in u or size >= UNSPACED[0][0]):
             mask[at : at + size] = True
         seen.add(u)
         at += size + 1
-    for length in SPACED_LENGTHS:
-        mask |= repeated_mask(codes, length)
+    for length, reach in SPACED:
+        mask |= repeated_mask(codes, length, reach)
     loose = _unspaced(codes)
     if loose.any():
-        for length in UNSPACED_LENGTHS:
-            mask |= repeated_mask(codes, length) & loose
+        for length, reach in UNSPACED:
+            mask |= repeated_mask(codes, length, reach) & loose
     letters = codes != 32
     return float((mask & letters).sum() / letters.sum())
 
