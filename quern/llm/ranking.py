@@ -1,10 +1,11 @@
 """One ranking from several differently scaled scores (problem 1).
 
-TOPSIS per query: each score is winsorised at two percentiles of the query's candidates,
-moved to start at its lower bound and vector-normalised; a candidate's relative closeness is
-d(anti-ideal) / (d(ideal) + d(anti-ideal)) under weighted distances. The weight of a score is
-its importance (alike by default) over the spread it keeps after normalisation, so neither the
-range nor the distribution of a score gives it more say.
+TOPSIS per query: each score is winsorised at two percentiles of the query's candidates, centred
+on the middle of these bounds and vector-normalised; a candidate's relative closeness is
+d(anti-ideal) / (d(ideal) + d(anti-ideal)) under weighted distances, all weights being 1 by
+default. The norm is divided by the root of the count, as a score may be absent from many
+candidates. Centred on their lower bound, or not at all, scores would weigh the more the more
+evenly they are spread or the narrower their band lies.
 
 Nothing is done per query in one task: percentiles are mergeable sketches, norms are partial
 sums, and only a few numbers per query are joined back, so a query with most of the rows is
@@ -48,29 +49,22 @@ def closeness(df: DataFrame, query: str, scores: list[str], importance: dict[str
     """df with ``closeness``, in [0, 1]."""
     weights = {s: (importance or {}).get(s, 1.0) for s in scores}
     bounds = df.groupBy(query).agg(*[F.percentile_approx(s, [LOW, HIGH], ACCURACY).alias(f"b_{s}") for s in scores])
-    clipped = df.join(bounds, query).select(
-        *df.columns, *[(F.when(F.col(s).isNotNull(), F.least(F.greatest(F.col(s), F.col(f"b_{s}")[0]), F.col(f"b_{s}")[1])) - F.col(f"b_{s}")[0]).alias(f"w_{s}") for s in scores]
-    )
-    stats = clipped.groupBy(query).agg(
-        *[F.sqrt(F.sum(F.col(f"w_{s}") * F.col(f"w_{s}"))).alias(f"n_{s}") for s in scores],
-        *[F.max(f"w_{s}").alias(f"m_{s}") for s in scores],
-    )
-
-    def normal(c: str, s: str) -> Column:
-        return F.when(F.col(f"n_{s}") > 0, F.col(c) / F.col(f"n_{s}"))
+    low, high = (lambda s: F.col(f"b_{s}")[0]), (lambda s: F.col(f"b_{s}")[1])
+    clipped = df.join(bounds, query).select(*df.columns, *[F.when(F.col(s).isNotNull(), F.least(F.greatest(F.col(s), low(s)), high(s))).alias(f"w_{s}") for s in scores], *[f"b_{s}" for s in scores])
+    centred = {s: F.col(f"w_{s}") - (low(s) + high(s)) / 2 for s in scores}
+    norms = clipped.groupBy(query).agg(*[F.sqrt(F.avg(F.when(high(s) > low(s), centred[s] * centred[s]))).alias(f"n_{s}") for s in scores])
 
     def distance(to: str) -> Column:
-        """Weighted root mean square over the present scores to their ideal or anti-ideal (0)."""
+        """Weighted root mean square over the present scores to their ideal or anti-ideal."""
         terms, shares = [], []
         for s in scores:
-            ideal = normal(f"m_{s}", s)
-            gap = (ideal - normal(f"w_{s}", s)) if to == "ideal" else normal(f"w_{s}", s)
-            terms.append(F.coalesce(F.pow(gap * F.lit(weights[s]) / ideal, 2), F.lit(0.0)))
+            gap = (high(s) - F.col(f"w_{s}") if to == "ideal" else F.col(f"w_{s}") - low(s)) / F.col(f"n_{s}")
+            terms.append(F.coalesce(F.pow(gap * F.lit(weights[s]), 2), F.lit(0.0)))
             shares.append(F.when(gap.isNotNull(), F.lit(weights[s])).otherwise(0.0))
         return F.sqrt(sum(terms[1:], terms[0]) / F.nullif(sum(shares[1:], shares[0]), F.lit(0.0)))
 
     worst, best = distance("anti"), distance("ideal")
-    return clipped.join(stats, query).select(*df.columns, F.round(worst / F.nullif(worst + best, F.lit(0.0)), 9).alias("closeness"))
+    return clipped.join(norms, query).select(*df.columns, F.round(worst / F.nullif(worst + best, F.lit(0.0)), 9).alias("closeness"))
 
 
 SCORES = ["fused", "rerank", "lexical", "vector"]
@@ -99,10 +93,12 @@ placed AS (
          count(*) OVER (PARTITION BY query_id, kind) AS n FROM long),
 bounds AS (
   SELECT query_id, kind, min(x) FILTER (WHERE place >= ceil(0.1 * n)) AS lo, min(x) FILTER (WHERE place >= ceil(0.9 * n)) AS hi FROM placed GROUP BY 1, 2),
-z AS (
-  SELECT query_id, chunk_id, (least(greatest(x, lo), hi) - lo) / (hi - lo) AS z
+w AS (
+  SELECT query_id, kind, chunk_id, least(greatest(x, lo), hi) AS w, lo, hi
   FROM long JOIN bounds USING (query_id, kind) WHERE hi > lo),
-d AS (SELECT query_id, chunk_id, sqrt(avg(z * z)) AS worst, sqrt(avg((1 - z) * (1 - z))) AS best FROM z GROUP BY 1, 2),
+norms AS (SELECT query_id, kind, sqrt(avg((w - (lo + hi) / 2) ** 2)) AS norm FROM w GROUP BY 1, 2),
+z AS (SELECT query_id, chunk_id, (w - lo) / norm AS up, (hi - w) / norm AS down FROM w JOIN norms USING (query_id, kind)),
+d AS (SELECT query_id, chunk_id, sqrt(avg(up * up)) AS worst, sqrt(avg(down * down)) AS best FROM z GROUP BY 1, 2),
 o AS (
   SELECT c.query_id, c.chunk_id, row_number() OVER (
     PARTITION BY c.query_id ORDER BY round(worst / nullif(worst + best, 0), 9) DESC NULLS LAST, c.chunk_id) AS position
