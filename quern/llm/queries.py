@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_knn": neighbors.p3_knn,
         "p3_nearest": neighbors.p3_nearest,
         "p4_found": canonical.p4_found,
+        "p4_classes": canonical.p4_classes,
         "p5_found": scans.p5_found,
         "p5_paragraphs": scans.p5_paragraphs,
         "p6_found": language.p6_found,
@@ -40,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_knn": neighbors.ORACLE_KNN,
         "p3_nearest": neighbors.ORACLE_NEAREST,
         "p4_found": canonical.oracle_found(),
+        "p4_classes": canonical.oracle_classes(),
     }
