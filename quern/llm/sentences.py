@@ -11,10 +11,12 @@ log-likelihood ratios over counts gathered in one pass:
   are never parted;
 * heading lines: lines without a closing mark that stand alone somewhere in the corpus.
 
-Statistics are kept per script, since the language labels cannot be trusted and English and
-romanised Tamil share texts (and abbreviations). Each period is then classified with them;
-scripts without periods have their own marks, Thai its spaces. Headings, list items and table
-lines are units by layout.
+Statistics are kept per language. As labels cannot be trusted, the language of a paragraph is
+told by its script, and where languages share one, by the word scores of the classifier that
+``quern.llm.language`` fits on the labelled samples. What a whole script has in common (written
+abbreviations above all) is kept beside it, for languages with little text. Each period is then
+classified with these statistics; scripts without periods have their own marks, Thai its spaces.
+Headings, list items and table lines are units by layout.
 
 Results: null and blank texts give no units. Units are exact slices, in order, without overlap;
 only white space lies between them. Texts may be of any length (one linear scan). Re-delivered
@@ -34,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern.llm.canonical import LOOKALIKES
-from quern.llm.common import checkpointed, first_delivery, spread, table
+from quern.llm.common import checkpointed, first_delivery, table
 
 #: Log-likelihood ratio that a statistic must reach (chi-square, one degree, p = 0.005).
 SIGNIFICANT = 7.88
@@ -55,8 +57,6 @@ TOKEN = re.compile(r"\S+")
 RUN = re.compile(r"[.!?।॥。！？…]+")
 WEB = re.compile(r"^(?:https?://|www\.)|@", re.I)
 LONGEST_HEADING = 60
-#: Characters before a mark that are looked at.
-TOKEN_REACH = 80
 _LIKE = {ord(a): b for a, b in LOOKALIKES.items()}
 
 
@@ -127,12 +127,37 @@ def _parts(raw: str) -> tuple[str, str, str, bool, bool]:
     return core, word, token_script(word), core.endswith(".") and not core.endswith(".."), sure
 
 
+class Teller:
+    """Tells the language of a paragraph for each script that several languages share."""
+
+    def __init__(self, samples: list[tuple[str, str]]):
+        from quern.llm.language import Classifier
+
+        self._model = Classifier(samples)
+        self.shared = {s for s, langs in self._model.of_script.items() if len(langs) > 1}
+        self._row = functools.lru_cache(1 << 17)(self._scores)
+
+    def _scores(self, token: str) -> tuple[str, list[tuple[str, float]]] | None:
+        script, row = self._model.scores(token)
+        return (script, list(row.items())) if script in self.shared and row else None
+
+    def __call__(self, tokens: list[str]) -> dict[str, str]:
+        sums: dict[str, dict[str, float]] = {}
+        for row in map(self._row, tokens):
+            if row:
+                of = sums.setdefault(row[0], {})
+                for language, x in row[1]:
+                    of[language] = of.get(language, 0.0) + x
+        return {script: max(sorted(of), key=of.__getitem__) for script, of in sums.items()}
+
+
 # ---------------------------------------------------------------- statistics
 
 
-def events(text: str | None) -> Iterator[tuple[str, str, str, str]]:
-    """(kind, script, a, b): s = a starts a sentence, w = word a, p = a with period before b,
-    n = a without period, h = heading line a seen alone. A digit after a period counts as #."""
+def events(text: str | None, tell: Teller | None = None) -> Iterator[tuple[str, str, str, str]]:
+    """(kind, script or script/language, a, b): s = a starts a sentence, w = word a, p = a with
+    period before b, n = a without period, h = heading line a seen alone. A digit after a period
+    counts as #."""
     for start, end in blocks(text or ""):
         rows = lines(text, start, end)
         first = text[rows[0][0] : rows[0][1]]
@@ -141,9 +166,11 @@ def events(text: str | None) -> Iterator[tuple[str, str, str, str]]:
             yield "h", token_script(heading_key(first)), heading_key(first), ""
         sure = True
         tokens = [t for a, b in rows if text[a] != "|" for t in TOKEN.findall(text[a:b])]
+        told = {script: f"{script}/{language}" for script, language in tell(tokens).items()} if tell else {}
         for k, raw in enumerate(tokens):
             core, word, kind, period, ends = _parts(raw)
             if kind and kind != "Han":
+                kind = told.get(kind, kind)
                 yield "w", kind, word, ""
                 if sure:
                     yield "s", kind, word, ""
@@ -166,19 +193,23 @@ def _llr(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return 2 * (part(k1, n1, k1 / n1) + part(k2, n2, k2 / n2) - part(k1, n1, p) - part(k2, n2, p))
 
 
-def learn(texts: DataFrame, column: str) -> DataFrame:
-    """The model, as rows (kind, script, a, b): starter, abbreviation, collocation, heading.
-    Counts are merged per batch before their shuffle; every text of the corpus is counted."""
+def learn(texts: DataFrame, column: str, samples: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The model, as rows (kind, script or script/language, a, b): starter, abbreviation,
+    collocation, heading. Counts are merged per batch before their shuffle; every text of the
+    corpus is counted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tell = Teller(samples) if samples else None
         for pdf in batches:
             counts: Counter = Counter()
             for text in pdf[column]:
-                counts.update(events(text))
+                counts.update(events(text, tell))
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "script", "a", "b", "n"])
 
     events_of = texts.select(column).mapInPandas(run, "kind string, script string, a string, b string, n long")
-    counts = checkpointed(events_of.groupBy("kind", "script", "a", "b").agg(F.sum("n").alias("n")))  # read several times below
+    told = checkpointed(events_of.groupBy("kind", "script", "a", "b").agg(F.sum("n").alias("n")))  # read several times below
+    of_scripts = told.withColumn("script", F.split("script", "/")[0]).groupBy("kind", "script", "a", "b").agg(F.sum("n").alias("n"))
+    counts = of_scripts.unionByName(told.where("script like '%/%'"))
     words = counts.where("kind in ('w', 's')").groupBy("script", "a").agg(F.sum(F.when(F.col("kind") == "w", F.col("n"))).alias("n"), F.coalesce(F.sum(F.when(F.col("kind") == "s", F.col("n"))), F.lit(0)).alias("k"))
     sums = words.groupBy("script").agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
     w = words.join(sums, "script")
@@ -186,13 +217,19 @@ def learn(texts: DataFrame, column: str) -> DataFrame:
     starters = w.where((F.col("k") / F.col("n") > rest_k / rest_n) & (_llr(F.col("k"), F.col("n"), rest_k, rest_n) >= SIGNIFICANT)).select("script", "a")
 
     pairs = counts.where("kind = 'p'").select("script", F.col("a").alias("type"), F.col("b").alias("next"), "n")
-    known = starters.select("script", F.col("a").alias("next"), F.lit(1).alias("starts"))
+    # A language knows the starters of its script too.
+    languages = told.where("script like '%/%'").select(F.col("script").alias("language"), F.split("script", "/")[0].alias("script")).distinct()
+    lent = starters.join(F.broadcast(languages), "script").select(F.col("language").alias("script"), "a")  # a few languages
+    known = starters.unionByName(lent).distinct().select("script", F.col("a").alias("next"), F.lit(1).alias("starts"))
     leads = pairs.join(known, ["script", "next"], "left").withColumn("on", F.when(F.col("starts").isNull(), F.col("n")).otherwise(0))
     types = leads.groupBy("script", "type").agg(F.sum("n").alias("n"), F.sum("on").alias("k"))
     bare = counts.where("kind = 'n'").select("script", F.col("a").alias("type"), F.col("n").alias("bare"))
-    # Against all scripts together: in some, only abbreviations have periods at all.
-    all_types = types.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
-    t = types.crossJoin(F.broadcast(all_types)).join(bare, ["script", "type"], "left").fillna(0, ["bare"])  # one row of sums
+    # A language against its own types, a script against all scripts together: in some, only
+    # abbreviations have periods at all.
+    own, sums = F.when(F.col("script").contains("/"), F.col("script")).otherwise(""), (F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
+    of_languages = types.where("script like '%/%'").groupBy(F.col("script").alias("own")).agg(*sums)
+    all_types = of_languages.unionByName(types.where("script not like '%/%'").agg(*sums).select(F.lit("").alias("own"), "all_n", "all_k"))
+    t = types.withColumn("own", own).join(F.broadcast(all_types), "own").drop("own").join(bare, ["script", "type"], "left").fillna(0, ["bare"])  # a row for each language
     rest_n, rest_k = F.greatest(F.col("all_n") - F.col("n"), F.lit(1)), F.col("all_k") - F.col("k")
     abbreviations = t.where(
         (F.col("k") / F.col("n") >= LEADS_ON) & (F.col("n") / (F.col("n") + F.col("bare")) >= KEEPS_PERIOD) & (F.col("k") / F.col("n") > rest_k / rest_n)
@@ -200,7 +237,7 @@ def learn(texts: DataFrame, column: str) -> DataFrame:
     ).select("script", F.col("type"), "n")
 
     nexts = pairs.groupBy("script", "next").agg(F.sum("n").alias("next_n"))
-    c = pairs.where("next <> '#'").join(abbreviations.withColumnRenamed("n", "type_n"), ["script", "type"]).join(nexts, ["script", "next"]).crossJoin(F.broadcast(all_types.select("all_n")))
+    c = pairs.where("next <> '#'").join(abbreviations.withColumnRenamed("n", "type_n"), ["script", "type"]).join(nexts, ["script", "next"]).withColumn("own", own).join(F.broadcast(all_types.select("own", "all_n")), "own").drop("own")
     rest_k, rest_n = F.col("next_n") - F.col("n"), F.greatest(F.col("all_n") - F.col("type_n"), F.lit(1))
     collocations = c.where((F.col("n") > 1) & (F.col("n") / F.col("type_n") > rest_k / rest_n) & (_llr(F.col("n"), F.col("type_n"), rest_k, rest_n) >= SIGNIFICANT)).join(
         known, ["script", "next"], "left_anti"
@@ -210,7 +247,7 @@ def learn(texts: DataFrame, column: str) -> DataFrame:
         starters.select(F.lit("s").alias("kind"), "script", "a", empty)
         .unionByName(abbreviations.select(F.lit("a").alias("kind"), "script", F.col("type").alias("a"), empty))
         .unionByName(collocations.select(F.lit("c").alias("kind"), "script", F.col("type").alias("a"), F.col("next").alias("b")))
-        .unionByName(counts.where("kind = 'h'").select(F.lit("h").alias("kind"), "script", "a", empty))
+        .unionByName(told.where("kind = 'h'").select(F.lit("h").alias("kind"), "script", "a", empty))
     )
 
 
@@ -220,6 +257,8 @@ class Model:
         self.abbreviations = {(s, a) for k, s, a, _ in rows if k == "a"}
         self.collocations = {(s, a, b) for k, s, a, b in rows if k == "c"}
         self.headings = {a for k, _, a, _ in rows if k == "h"}
+        #: Scripts with entries by language.
+        self.parted = {s.partition("/")[0] for k, s, _, _ in rows if k != "h" and "/" in s}
 
 
 # ---------------------------------------------------------------- segmentation
@@ -246,12 +285,33 @@ def _quotes(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 class Segmenter:
-    def __init__(self, model: Model):
-        self.m = model
+    def __init__(self, model: Model, tell: Teller | None = None):
+        self.m, self.tell = model, tell
 
     def units(self, text: str | None) -> Iterator[tuple[int, int]]:
         for start, end in blocks(text or ""):
-            yield from self._paragraph(text, lines(text, start, end))
+            rows = lines(text, start, end)
+            self._rows, self._told, self._tokens = (text, rows), None, None
+            yield from self._paragraph(text, rows)
+
+    def _has(self, entries: set[tuple], script: str, *words: str) -> bool:
+        """Whether the model has an entry for the script or for the paragraph's language in it."""
+        if (script, *words) in entries:
+            return True
+        if self.tell is None or script not in self.m.parted:
+            return False
+        if self._told is None:
+            text, rows = self._rows
+            self._told = self.tell([t for a, b in rows if text[a] != "|" for t in TOKEN.findall(text[a:b])])
+        return (f"{script}/{self._told.get(script)}", *words) in entries
+
+    def _token_before(self, text: str, at: int, start: int, end: int) -> str:
+        """What stands of a token before an offset in it."""
+        if self._tokens is None or self._tokens[0] != start:
+            self._tokens = (start, [m.start() for m in TOKEN.finditer(text, start, end)])
+        k = bisect_right(self._tokens[1], at) - 1
+        token = text[self._tokens[1][k] : at] if k >= 0 else ""
+        return "" if token and token[-1].isspace() else token
 
     def _layout(self, text: str, rows: list[tuple[int, int]], k: int, run_on: bool) -> bool:
         """Whether a line is a unit by layout: table line, list item or heading."""
@@ -357,19 +417,21 @@ class Segmenter:
             return True
         run, after = text[a:b], text[at]
         following = TOKEN.match(text, at, end).group()
-        token = text[max((m.start() for m in TOKEN.finditer(text, max(start, a - TOKEN_REACH), a)), default=a) : a]
         if closed >= 0:
-            led_in = text[start:closed].rstrip()[-1:] in (",", ":", "，", "：")
+            led_in = text[max(start, closed - 1) : closed] if closed > start else ""
+            led_in = (led_in if led_in.strip() else text[start:closed].rstrip())[-1:] in (",", ":", "，", "：")
             if after.islower():
-                return led_in and (token_script(following), _parts(following)[1]) in self.m.starters
+                return led_in and self._has(self.m.starters, token_script(following), _parts(following)[1])
             return closed > self._begin or after.isupper()
-        if not spaced and WEB.search(token + run + following):
+        plain_mark = run[0].isascii() or after.isascii()  # between others a text without spaces may be long
+        token = self._token_before(text, a, start, end) if plain_mark or "…" in run else ""
+        if not spaced and plain_mark and WEB.search(token + run + following):
             return False
         if any(c in HARD for c in run):
             return spaced or not (after.isascii() and (after.islower() or not after.isalnum())) or after in OPENERS
         if "…" in run or len(run) > 2:
             attached = a > start and not text[a - 1].isspace()
-            goes_on = after.islower() and (token_script(following), _parts(following)[1]) not in self.m.starters
+            goes_on = after.islower() and not self._has(self.m.starters, token_script(following), _parts(following)[1])
             return attached and not goes_on and (after.isupper() or after in "“\"" or token_script(following) not in ("", token_script(token)) or after.islower())
         if len(run) == 2:
             return spaced or after.isalpha()
@@ -383,7 +445,7 @@ class Segmenter:
         following = _core(plain(following)).rstrip(".…!?।॥")
         letters = sum(unicodedata.category(c)[0] == "L" for c in piece)
         short = letters <= 1 and not piece[:1].isdigit()
-        known = (kind, lower) in self.m.abbreviations or (kind, piece) in self.m.abbreviations or ("." in lower and short)
+        known = ("." in lower and short) or self._has(self.m.abbreviations, kind, lower) or self._has(self.m.abbreviations, kind, piece)
         if not spaced:
             if word[-1:].isdigit() and after.isdigit():
                 return False
@@ -397,12 +459,12 @@ class Segmenter:
                 return not after.islower() and not (after.isupper() and letters <= 2)
             return bool(letters > 1 or word[-1:].isdigit())
         if len(piece) == 1 and word[-1:].isupper():  # an initial
-            return (kind, following) in self.m.starters
+            return self._has(self.m.starters, kind, following)
         if not known:
             return True
-        if (kind, lower, following) in self.m.collocations or after.isdigit() or after.islower():
+        if after.isdigit() or after.islower() or self._has(self.m.collocations, kind, lower, following):
             return False
-        return (token_script(following), following) in self.m.starters or token_script(following) not in ("", kind)
+        return token_script(following) not in ("", kind) or self._has(self.m.starters, token_script(following), following)
 
 
 class _Shift:
@@ -432,7 +494,7 @@ def _asked_for(token: str) -> frozenset[str]:
         if next((s for c in rest if (s := script(c))), "Han") != "Han":
             out |= {_parts(rest)[1], _core(plain(rest)).rstrip(".…!?।॥")}
     for m in marks:
-        lower = plain(token[max(0, m.start() - TOKEN_REACH) : m.start()]).lstrip(OPENERS).lower()
+        lower = plain(token[: m.start()]).lstrip(OPENERS).lower()
         out |= {lower, lower.rpartition(".")[2]}
     return frozenset(w for w in out if token_script(w) not in ("", "Han"))
 
@@ -454,8 +516,8 @@ def _needed(texts: DataFrame, key: str, column: str, model: DataFrame) -> DataFr
     return used.groupBy(key).agg(F.collect_list(F.struct("kind", "script", "a", "b")).alias("model"))
 
 
-def sentence_units(texts: DataFrame, key: str, column: str, model: DataFrame) -> DataFrame:
-    """(key, sent_start, sent_end) of each unit of each text."""
+def sentence_units(texts: DataFrame, key: str, column: str, model: DataFrame, samples: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(key, sent_start, sent_end) of each unit of each text; ``samples`` as given to ``learn``."""
     schema = f"`{key}` string, sent_start int, sent_end int"
     head = model.limit(BROADCAST_ENTRIES + 1).collect()
     shared = None
@@ -465,9 +527,10 @@ def sentence_units(texts: DataFrame, key: str, column: str, model: DataFrame) ->
         texts = texts.join(_needed(texts, key, column, model), key, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = Segmenter(Model(shared.value)) if shared else None
+        tell = Teller(samples) if samples else None
+        one = Segmenter(Model(shared.value), tell) if shared else None
         for pdf in batches:
-            own = [one] * len(pdf) if one else [Segmenter(Model([tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in (m if m is not None else [])])) for m in pdf["model"]]
+            own = [one] * len(pdf) if one else [Segmenter(Model([tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in (m if m is not None else [])]), tell) for m in pdf["model"]]
             rows = [(k, s, e) for k, t, g in zip(pdf[key], pdf[column], own) for s, e in g.units(t)]
             yield pd.DataFrame(rows, columns=[key, "sent_start", "sent_end"])
 
@@ -475,5 +538,8 @@ def sentence_units(texts: DataFrame, key: str, column: str, model: DataFrame) ->
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = spread(first_delivery(table(spark, sf_dir, "chunks"), ["chunk_id"], ["content"]))
-    return sentence_units(chunks, "chunk_id", "content", learn(chunks, "content"))
+    from quern.llm.language import fit_rows
+
+    samples = fit_rows(table(spark, sf_dir, "language_samples"))
+    chunks = first_delivery(table(spark, sf_dir, "chunks"), ["chunk_id"], ["content"])
+    return sentence_units(chunks, "chunk_id", "content", learn(chunks, "content", samples), samples)
