@@ -56,6 +56,7 @@ ENDS = re.compile(r"[.!?।॥。！？…][\"'”’)\]}»」』]*$")
 TOKEN = re.compile(r"\S+")
 RUN = re.compile(r"[.!?।॥。！？…]+")
 WEB = re.compile(r"^(?:https?://|www\.)|@", re.I)
+THAI = re.compile("[฀-๿]")
 LONGEST_HEADING = 60
 _LIKE = {ord(a): b for a, b in LOOKALIKES.items()}
 
@@ -137,18 +138,23 @@ class Teller:
         self.shared = {s for s, langs in self._model.of_script.items() if len(langs) > 1}
         self._row = functools.lru_cache(1 << 17)(self._scores)
 
-    def _scores(self, token: str) -> tuple[str, list[tuple[str, float]]] | None:
+    def _scores(self, token: str) -> tuple[tuple[tuple[str, str], float], ...] | None:
+        """((script, language), score above the least) of a token of a shared script."""
         script, row = self._model.scores(token)
-        return (script, list(row.items())) if script in self.shared and row else None
+        if script not in self.shared or not row:
+            return None
+        return tuple(((script, language), x - min(row.values())) for language, x in row.items())
 
     def __call__(self, tokens: list[str]) -> dict[str, str]:
-        sums: dict[str, dict[str, float]] = {}
-        for row in map(self._row, tokens):
-            if row:
-                of = sums.setdefault(row[0], {})
-                for language, x in row[1]:
-                    of[language] = of.get(language, 0.0) + x
-        return {script: max(sorted(of), key=of.__getitem__) for script, of in sums.items()}
+        sums: dict[tuple[str, str], float] = {}
+        for row, n in Counter(map(self._row, tokens)).items():
+            for key, x in row or ():
+                sums[key] = sums.get(key, 0.0) + n * x
+        best: dict[str, tuple[float, str]] = {}
+        for (script, language), x in sorted(sums.items()):
+            if script not in best or x > best[script][0]:
+                best[script] = x, language
+        return {script: language for script, (_, language) in best.items()}
 
 
 # ---------------------------------------------------------------- statistics
@@ -209,7 +215,7 @@ def learn(texts: DataFrame, column: str, samples: list[tuple[str, str]] | None =
     events_of = texts.select(column).mapInPandas(run, "kind string, script string, a string, b string, n long")
     told = checkpointed(events_of.groupBy("kind", "script", "a", "b").agg(F.sum("n").alias("n")))  # read several times below
     of_scripts = told.withColumn("script", F.split("script", "/")[0]).groupBy("kind", "script", "a", "b").agg(F.sum("n").alias("n"))
-    counts = of_scripts.unionByName(told.where("script like '%/%'"))
+    counts = checkpointed(of_scripts.unionByName(told.where("script like '%/%'")))
     words = counts.where("kind in ('w', 's')").groupBy("script", "a").agg(F.sum(F.when(F.col("kind") == "w", F.col("n"))).alias("n"), F.coalesce(F.sum(F.when(F.col("kind") == "s", F.col("n"))), F.lit(0)).alias("k"))
     sums = words.groupBy("script").agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
     w = words.join(sums, "script")
@@ -220,7 +226,7 @@ def learn(texts: DataFrame, column: str, samples: list[tuple[str, str]] | None =
     # A language knows the starters of its script too.
     languages = told.where("script like '%/%'").select(F.col("script").alias("language"), F.split("script", "/")[0].alias("script")).distinct()
     lent = starters.join(F.broadcast(languages), "script").select(F.col("language").alias("script"), "a")  # a few languages
-    known = starters.unionByName(lent).distinct().select("script", F.col("a").alias("next"), F.lit(1).alias("starts"))
+    known = checkpointed(starters.unionByName(lent).distinct().select("script", F.col("a").alias("next"), F.lit(1).alias("starts")))
     leads = pairs.join(known, ["script", "next"], "left").withColumn("on", F.when(F.col("starts").isNull(), F.col("n")).otherwise(0))
     types = leads.groupBy("script", "type").agg(F.sum("n").alias("n"), F.sum("on").alias("k"))
     bare = counts.where("kind = 'n'").select("script", F.col("a").alias("type"), F.col("n").alias("bare"))
@@ -231,10 +237,10 @@ def learn(texts: DataFrame, column: str, samples: list[tuple[str, str]] | None =
     all_types = of_languages.unionByName(types.where("script not like '%/%'").agg(*sums).select(F.lit("").alias("own"), "all_n", "all_k"))
     t = types.withColumn("own", own).join(F.broadcast(all_types), "own").drop("own").join(bare, ["script", "type"], "left").fillna(0, ["bare"])  # a row for each language
     rest_n, rest_k = F.greatest(F.col("all_n") - F.col("n"), F.lit(1)), F.col("all_k") - F.col("k")
-    abbreviations = t.where(
+    abbreviations = checkpointed(t.where(
         (F.col("k") / F.col("n") >= LEADS_ON) & (F.col("n") / (F.col("n") + F.col("bare")) >= KEEPS_PERIOD) & (F.col("k") / F.col("n") > rest_k / rest_n)
         & (_llr(F.col("k"), F.col("n"), rest_k, rest_n) >= SIGNIFICANT)
-    ).select("script", F.col("type"), "n")
+    ).select("script", F.col("type"), "n"))
 
     nexts = pairs.groupBy("script", "next").agg(F.sum("n").alias("next_n"))
     c = pairs.where("next <> '#'").join(abbreviations.withColumnRenamed("n", "type_n"), ["script", "type"]).join(nexts, ["script", "next"]).withColumn("own", own).join(F.broadcast(all_types.select("own", "all_n")), "own").drop("own")
@@ -284,6 +290,19 @@ def _quotes(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _token_before(text: str, at: int, start: int) -> str:
+    """What stands of a token before an offset in it."""
+    first = at
+    while first > start and not text[first - 1].isspace():
+        first -= 1
+    return text[first:at]
+
+
+@functools.lru_cache(1 << 14)
+def _letter_count(piece: str) -> int:
+    return sum(unicodedata.category(c)[0] == "L" for c in piece)
+
+
 class Segmenter:
     def __init__(self, model: Model, tell: Teller | None = None):
         self.m, self.tell = model, tell
@@ -291,7 +310,7 @@ class Segmenter:
     def units(self, text: str | None) -> Iterator[tuple[int, int]]:
         for start, end in blocks(text or ""):
             rows = lines(text, start, end)
-            self._rows, self._told, self._tokens = (text, rows), None, None
+            self._rows, self._told = (text, rows), None
             yield from self._paragraph(text, rows)
 
     def _has(self, entries: set[tuple], script: str, *words: str) -> bool:
@@ -305,14 +324,6 @@ class Segmenter:
             self._told = self.tell([t for a, b in rows if text[a] != "|" for t in TOKEN.findall(text[a:b])])
         return (f"{script}/{self._told.get(script)}", *words) in entries
 
-    def _token_before(self, text: str, at: int, start: int, end: int) -> str:
-        """What stands of a token before an offset in it."""
-        if self._tokens is None or self._tokens[0] != start:
-            self._tokens = (start, [m.start() for m in TOKEN.finditer(text, start, end)])
-        k = bisect_right(self._tokens[1], at) - 1
-        token = text[self._tokens[1][k] : at] if k >= 0 else ""
-        return "" if token and token[-1].isspace() else token
-
     def _layout(self, text: str, rows: list[tuple[int, int]], k: int, run_on: bool) -> bool:
         """Whether a line is a unit by layout: table line, list item or heading."""
         line = text[rows[k][0] : rows[k][1]]
@@ -363,7 +374,7 @@ class Segmenter:
         self._begin = start
         closing = {b: a for a, b in quotes}
         marks = [(m.start(), m.end(), True) for m in RUN.finditer(text, start, end)]
-        if any("฀" <= c <= "๿" for c in text[start:end]):
+        if THAI.search(text, start, end):
             marks += [(m.start(), m.end(), False) for m in re.finditer(r"\s+", text[start:end]) for m in [_Shift(m, start)]]
             marks.sort()
         for a, b, is_run in marks:
@@ -424,7 +435,7 @@ class Segmenter:
                 return led_in and self._has(self.m.starters, token_script(following), _parts(following)[1])
             return closed > self._begin or after.isupper()
         plain_mark = run[0].isascii() or after.isascii()  # between others a text without spaces may be long
-        token = self._token_before(text, a, start, end) if plain_mark or "…" in run else ""
+        token = _token_before(text, a, start) if plain_mark or "…" in run else ""
         if not spaced and plain_mark and WEB.search(token + run + following):
             return False
         if any(c in HARD for c in run):
@@ -443,7 +454,7 @@ class Segmenter:
         lower = word.lower()
         piece = lower.rpartition(".")[2]
         following = _core(plain(following)).rstrip(".…!?।॥")
-        letters = sum(unicodedata.category(c)[0] == "L" for c in piece)
+        letters = _letter_count(piece)
         short = letters <= 1 and not piece[:1].isdigit()
         known = ("." in lower and short) or self._has(self.m.abbreviations, kind, lower) or self._has(self.m.abbreviations, kind, piece)
         if not spaced:
