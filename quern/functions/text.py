@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 
 import pandas as pd
@@ -67,6 +69,11 @@ def normalize(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(c, F.lit("…"), F.lit("...")), SPACES, " "))
 
 
+def strip(c: Column) -> Column:
+    """Without the white space at its ends, of any kind."""
+    return F.regexp_replace(c, f"^{SPACES}|{SPACES}$", "")
+
+
 def normalize_for_match(c: Column) -> Column:
     return casefold(normalize(c))
 
@@ -157,23 +164,69 @@ def fold_spelling(c: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.coalesce(table[F.lower(p)], p)), "")
 
 
+#: The letter groups, longest first, so that the first alternative that fits is the longest.
+_GROUPS = re.compile("|".join(sorted(ROMAN_TO_TAMIL, key=len, reverse=True)))
+
+
 @pandas_udf(T.StringType())
 def transliterate(s: pd.Series) -> pd.Series:
-    longest = max(map(len, ROMAN_TO_TAMIL))
+    """Romanised words in Tamil letters; letters without an entry stay as they are."""
 
     def word(w: str) -> str:
-        low, out, at = w.casefold(), [], 0
-        if len(low) != len(w) or not any("a" <= ch <= "z" for ch in low):
+        low = w.casefold()
+        if len(low) != len(w) or not re.search("[a-z]", low):
             return w
-        while at < len(w):
-            size = next((n for n in range(min(longest, len(w) - at), 0, -1) if low[at : at + n] in ROMAN_TO_TAMIL), 0)
-            out.append(ROMAN_TO_TAMIL[low[at : at + size]] if size else w[at])
-            at += size or 1
-        return "".join(out)
+        # Group by group in the folded word; what stands between keeps its own case.
+        out, at = [], 0
+        for m in _GROUPS.finditer(low):
+            out += [w[at : m.start()], ROMAN_TO_TAMIL[m.group()]]
+            at = m.end()
+        return "".join([*out, w[at:]])
 
     return s.map(lambda x: x if x is None else " ".join(map(word, x.split(" "))))
 
 
+# ---- the same in Python, for operators that need whole feature sets per text
+
+_TOKEN = re.compile(r"[^\W_]+")
+_TRANSLATED = str.maketrans({**{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}})
+_PUNCTUATION = str.maketrans(PUNCTUATION)
+
+
+def match_form(text: str) -> str:
+    """normalize_for_match of one string."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text.translate(_TRANSLATED)).translate(_PUNCTUATION)
+    return " ".join(text.split()).casefold()
+
+
+def tokens_of(text: str) -> list[str]:
+    return _TOKEN.findall(match_form(text))
+
+
+@functools.lru_cache(1 << 13)
+def features_of(text: str) -> frozenset[str]:
+    """Words and letter triples of a text, as feature_set gives them."""
+    found = set(tokens_of(text))
+    return frozenset(found.union(*[[f"#{t}#"[i : i + 3] for i in range(len(t))] for t in found]))
+
+
 def slug(c: Column) -> Column:
     s = F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9-]+", "-")
     return F.substring(F.regexp_replace(F.regexp_replace(s, "-{2,}", "-"), "^-+|-+$", ""), 1, 80)
+
+
+def unique_slug(c: Column, seed: Column) -> Column:
+    """A slug with six digits drawn from a seed (an id): the same on every run."""
+    return F.concat_ws("-", F.nullif(slug(c), F.lit("")), F.substring(F.sha2(seed.cast("string"), 256), 1, 6))
+
+
+def email_key(c: Column) -> Column:
+    """The form under which mail addresses are compared."""
+    return F.lower(F.trim(c))
+
+
+def limitations(c: Column) -> Column:
+    """What a decision of detect_language cannot tell, as codes."""
+    p = script_profile(c)
+    return F.array_compact(F.array(F.when(p["letters"] == 0, "no_letters"), F.when((p["letters"] > 0) & (p["letters"] < 3), "short_text"), F.when((p["tamil"] > 0) & (p["latin"] > 0), "mixed_script")))

@@ -1,14 +1,16 @@
-"""Extractive claims, their signals, entailment against evidence, and composed answers."""
+"""Extractive claims, their facts, entailment against evidence, and composed answers."""
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quern.functions.text import WORDS, feature_set, normalize_for_match, sentences, words
+from quern.functions.text import WORDS, features_of, normalize_for_match, strip, tokens_of, words
 
 # Words that carry numbers, dates, polarity, conditions, or no content.
 NUMBER_WORDS = {
@@ -20,34 +22,66 @@ MODIFIERS = "business calendar working full whole net".split()
 NEGATIONS = "not no never without cannot cant wont dont doesnt didnt isnt arent wasnt werent neither nor none excluding".split()
 CONDITIONS = "unless except if provided subject when whenever until only".split()
 STOPWORDS = "a an the of to in on at by for and or is are was were be been being it its this that these those with as from will shall may must can within into per".split()
-# Thresholds and weights.
+# Thresholds, weights and the text of a refusal.
 MIN_OVERLAP, MAX_CLAIMS, MIN_CLAUSE_WORDS, SUPPORT, PARTIAL = 0.1, 3, 3, 0.9, 0.5
 WEIGHTS = {"fused": 0.25, "rerank": 0.35, "overlap": 0.30, "ocr": 0.10}
 CLAIM_FLOOR, ANSWER_CONFIDENCE, LOW_OCR = 0.3, 0.6, 0.5
+EVIDENCE_FLOOR, MAX_EVIDENCE, MIN_EVIDENCE = 0.0, 6, 1
+ABSTENTION = "I don't have enough evidence in this workspace to answer that. Try rephrasing, narrowing to a document, or uploading a source."
 
-_WORD = re.compile(r"[^\W_]+")
+_RAW_WORD = re.compile(r"[^\W_]+")
 _ISO = re.compile(r"\b\d{4}-\d{2}-\d{2}\b")
 _SENTENCE = re.compile(r"[^.!?।॥\n]+[.!?।॥]?")
+_NEAR = 3
+
+
+# ---------------------------------------------------------------- evidence and claims
+
+
+def sufficient_evidence(passages: DataFrame, floor: float = EVIDENCE_FLOOR, most: int = MAX_EVIDENCE) -> DataFrame:
+    """The first ``most`` passages of each query whose fused score reaches the floor, by rank."""
+    kept = passages.where(F.col("fused_score") >= floor)
+    return kept.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id"))).where(F.col("_n") <= most).drop("_n")
+
+
+@functools.lru_cache(1 << 11)
+def _sentences(text: str) -> tuple[tuple[int, str, frozenset[str]], ...]:
+    """(start, sentence, features) of each sentence; a passage serves many queries."""
+    return tuple((m.start(), m.group(), features_of(m.group())) for m in _SENTENCE.finditer(text) if m.group().strip())
 
 
 def best_claims(rows: DataFrame, limit: int = MAX_CLAIMS) -> DataFrame:
     """Per query the best sentence of each passage, then the best passages. ``rows`` has
     query_id, query, chunk_id, content and rank (of the passage)."""
-    q = rows.select("query_id", "chunk_id", "rank", "content", feature_set(normalize_for_match(F.col("query"))).alias("qf"))
-    s = q.select("query_id", "chunk_id", "rank", "qf", F.posexplode(sentences(F.col("content"))).alias("at", "s"))
-    s = s.select("query_id", "chunk_id", "rank", "at", "qf", F.col("s.start").alias("start"), F.col("s.sentence").alias("sentence"))
-    s = s.withColumn("sf", feature_set(normalize_for_match(F.col("sentence"))))
-    s = s.withColumn("overlap", F.when(F.size("qf") > 0, F.round(F.size(F.array_intersect("qf", "sf")) / F.size("qf"), 9)).otherwise(0.0)).where(F.col("overlap") >= MIN_OVERLAP)
-    best = s.groupBy("query_id", "chunk_id", "rank").agg(F.max_by(F.struct("start", "sentence", "overlap"), F.struct("overlap", -F.col("at"))).alias("b"))
+
+    def best(query: str | None, text: str | None) -> tuple[int, str, float] | None:
+        asked = features_of(query) if query else ()
+        if not asked or not text:
+            return None
+        share, start, sentence = max(((len(asked & f) / len(asked), -at, s) for at, s, f in _sentences(text)), default=(0.0, 0, ""))
+        return (-start, sentence, round(share, 9)) if share >= MIN_OVERLAP else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [best(q, t) for q, t in zip(pdf["query"], pdf["content"])]
+            hit = [f is not None for f in found]
+            out = pdf.loc[hit, ["query_id", "chunk_id", "rank"]]
+            for k, name in enumerate(("start", "sentence", "overlap")):
+                out[name] = [f[k] for f in found if f]
+            yield out
+
+    kinds = dict(rows.dtypes)
+    columns = ["query_id", "chunk_id", "rank", "query", "content"]
+    claims = rows.select(*columns).mapInPandas(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, rank {kinds['rank']}, start int, sentence string, overlap double")
     w = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "rank", "chunk_id")
-    return best.select("query_id", "chunk_id", "rank", "b.*").withColumn("claim_index", F.row_number().over(w) - 1).where(F.col("claim_index") < limit)
+    return claims.withColumn("claim_index", F.row_number().over(w) - 1).where(F.col("claim_index") < limit)
 
 
 def split_claims(c: Column) -> Column:
     """Clauses of a sentence, if every one has enough words; else the sentence."""
-    parts = F.filter(F.transform(F.split(c, r"(?i);|\band\b"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, r"(?i);|\band\b"), lambda x: strip(x)), lambda x: x != "")
     whole = F.forall(parts, lambda x: F.regexp_count(x, F.lit(WORDS)) >= MIN_CLAUSE_WORDS)
-    return F.when((F.size(parts) >= 2) & whole, parts).otherwise(F.array(F.trim(c)))
+    return F.when((F.size(parts) >= 2) & whole, parts).otherwise(F.array(strip(c)))
 
 
 def polarity(c: Column) -> Column:
@@ -61,80 +95,106 @@ def polarity(c: Column) -> Column:
     )
 
 
-class Signals:
-    """What a span asserts: content words, numbers by unit, dates, polarity, names."""
+# ---------------------------------------------------------------- facts and entailment
+
+
+def as_number(token: str) -> float | None:
+    return float(token) if token.isdecimal() else NUMBER_WORDS.get(token)
+
+
+@dataclass
+class Facts:
+    """What a span asserts. Quantities are (unit, value), unit None for bare numbers."""
 
-    def __init__(self, text: str):
-        tokens = self.tokens(text)
-        self.units: dict[str, set[float]] = {}
-        self.bare: set[float] = set()
-        counted = self.tokens(_ISO.sub(" ", text))
-        for k, t in enumerate(counted):
-            if (value := self.number(t)) is None:
-                continue
+    words: frozenset[str] = frozenset()
+    content: set[str] = field(default_factory=set)
+    quantities: set[tuple[str | None, float]] = field(default_factory=set)
+    dates: set[str] = field(default_factory=set)
+    names: set[str] = field(default_factory=set)
+    negated: bool = False
+    conditional: bool = False
+
+    def values(self, unit: str | None) -> set[float]:
+        return {v for u, v in self.quantities if u == unit}
+
+
+@functools.lru_cache(1 << 13)
+def facts(text: str) -> Facts:
+    """One walk from the last token to the first. The unit of a number is the nearest word that
+    the walk has passed since the last number, if at most three tokens away."""
+    tokens = tokens_of(text)
+    undated = tokens_of(_ISO.sub(" ", text)) if _ISO.search(text) else tokens
+    out = Facts(words=frozenset(tokens), dates=set(_ISO.findall(text)))
+    unit, unit_at = None, 0
+    for at in range(len(undated) - 1, -1, -1):
+        token = undated[at]
+        value = as_number(token)
+        if value is not None:
+            out.quantities.add((unit if unit is not None and unit_at - at <= _NEAR else None, float(value)))
             unit = None
-            for nxt in counted[k + 1 : k + 4]:
-                if self.number(nxt) is not None:
-                    break
-                if nxt not in MODIFIERS and nxt not in STOPWORDS:
-                    unit = nxt
-                    break
-            (self.bare if unit is None else self.units.setdefault(unit, set())).add(value)
-        self.dates = set(_ISO.findall(text))
-        for k, t in enumerate(tokens):
-            if t in MONTHS:
-                year = next((y for y in tokens[k + 1 : k + 3] if len(y) == 4 and y.isdigit()), None)
-                self.dates.add(f"{year or 'month'}-{MONTHS[t]:02d}")
-        self.negated = any(t in NEGATIONS for t in tokens)
-        self.conditional = any(t in CONDITIONS for t in tokens)
-        raw = _WORD.findall(text)
-        self.names = {t.casefold() for t in raw[1:] if t[0].isupper() and t.lower() not in NUMBER_WORDS}
-        self.content = {t for t in counted if t not in STOPWORDS and t not in NEGATIONS and self.number(t) is None}
-
-    @staticmethod
-    def tokens(text: str) -> list[str]:
-        import unicodedata
-
-        return _WORD.findall(unicodedata.normalize("NFC", text).replace("’", "'").casefold())
-
-    @staticmethod
-    def number(t: str) -> float | None:
-        return float(t) if t.isdecimal() else float(NUMBER_WORDS[t]) if t in NUMBER_WORDS else None
+            continue
+        if token not in STOPWORDS:
+            if token not in MODIFIERS:
+                unit, unit_at = token, at
+            if token not in NEGATIONS:
+                out.content.add(token)
+    years = [t if len(t) == 4 and t.isdigit() else None for t in tokens] + [None, None]
+    out.dates |= {f"{years[k + 1] or years[k + 2] or 'month'}-{MONTHS[t]:02d}" for k, t in enumerate(tokens) if t in MONTHS}
+    out.negated, out.conditional = not out.words.isdisjoint(NEGATIONS), not out.words.isdisjoint(CONDITIONS)
+    out.names = {t.casefold() for t in _RAW_WORD.findall(text)[1:] if t[0].isupper() and t.lower() not in NUMBER_WORDS}
+    return out
+
+
+def _plain_numbers(values: set[float]) -> str:
+    return ", ".join(f"{v:g}" for v in sorted(values))
 
 
 def entail(claim: str, evidence: str) -> tuple[str, float, str]:
-    """(verdict, coverage, reason) of a claim against the evidence sentence nearest to it."""
-    c = Signals(claim)
-    if not c.content and not c.units:
+    """(verdict, coverage, reason) of a claim against the evidence sentence nearest to it: the
+    first finding that holds, in order, decides."""
+    c = facts(claim)
+    if not c.content and all(u is None for u, _ in c.quantities):
         return "unsupported", 0.0, "empty claim"
-    spans = [s for m in _SENTENCE.findall(evidence) if (s := m.strip())]
-    nearest = max(spans, key=lambda s: len(c.content & set(Signals.tokens(s))), default=evidence)
-    e = Signals(nearest)
+    spans = [s for s in map(str.strip, _SENTENCE.findall(evidence)) if s] or [evidence]
+    e = facts(max(spans, key=lambda s: len(c.content & facts(s).words)))
     coverage = len(c.content & e.content) / len(c.content) if c.content else 1.0
-    if coverage >= PARTIAL:
-        clash = next((u for u, v in c.units.items() if e.units.get(u) and not v & e.units[u]), None)
-        if clash is not None:
-            return "contradicted", coverage, f"number mismatch: {clash}"
-        if c.dates and e.dates and not c.dates & e.dates:
-            return "contradicted", coverage, "date mismatch"
-        if coverage >= SUPPORT and c.negated != e.negated:
-            return "contradicted", coverage, "negation mismatch"
-    numbers = all(v <= e.units.get(u, set()) for u, v in c.units.items()) and c.bare <= e.bare
-    checks = (("numbers", numbers), ("dates", c.dates <= e.dates), ("names", c.names <= e.names))
-    if coverage >= SUPPORT and all(ok for _, ok in checks):
-        return "supported", coverage, "confirmed"
-    if coverage < PARTIAL:
-        return "unsupported", coverage, "too few terms"
-    failed = next((f"{n} not confirmed" for n, ok in checks if not ok), None)
-    return "partial", coverage, failed or ("condition omitted" if e.conditional and not c.conditional else "terms not confirmed")
-
-
-def verify(claims: DataFrame, claim: str, evidence: str) -> DataFrame:
-    """claims with verdict, coverage and reason; null texts are unsupported."""
+    near, close = coverage >= PARTIAL, coverage >= SUPPORT
+    clashes = [u for u, _ in sorted(c.quantities, key=str) if u is not None and e.values(u) and c.values(u).isdisjoint(e.values(u))]
+    missing = {"numbers": c.quantities - e.quantities, "dates": c.dates - e.dates, "names": c.names - e.names}
+    unmet = [what for what, rest in missing.items() if rest]
+    findings: tuple[tuple[bool, str, Callable[[], str]], ...] = (
+        (near and bool(clashes), "contradicted", lambda: f"number mismatch: {_plain_numbers(c.values(clashes[0]))} against {_plain_numbers(e.values(clashes[0]))} {clashes[0]}"),
+        (near and bool(c.dates) and bool(e.dates) and c.dates.isdisjoint(e.dates), "contradicted", lambda: "date mismatch"),
+        (close and c.negated != e.negated, "contradicted", lambda: "negation mismatch"),
+        (close and not unmet, "supported", lambda: "confirmed"),
+        (not near, "unsupported", lambda: "too few terms"),
+        (bool(unmet), "partial", lambda: f"{unmet[0]} not confirmed"),
+        (e.conditional and not c.conditional, "partial", lambda: "condition omitted"),
+        (True, "partial", lambda: "terms not confirmed"),
+    )
+    return next((verdict, coverage, reason()) for holds, verdict, reason in findings if holds)
+
+
+#: Analysers by name: (claim, evidence) to (verdict, coverage, reason).
+ANALYSERS: dict[str, Callable[[str, str], tuple[str, float, str]]] = {"lexical": entail}
+
+
+def verify(claims: DataFrame, claim: str, evidence: str, start: str | None = None, analyser: str = "lexical") -> DataFrame:
+    """claims with verdict, coverage and reason; null texts are unsupported. With ``start``, the
+    offset of the claim in the evidence, a claim that does not stand there word for word is
+    unsupported whatever the evidence says."""
+    judge = ANALYSERS[analyser]
+
+    def one(c: object, e: object, at: object) -> tuple[str, float, str]:
+        if not isinstance(c, str) or not isinstance(e, str):
+            return "unsupported", 0.0, "empty claim"
+        if start is not None and (not c or at is None or at != at or at < 0 or e[int(at) : int(at) + len(c)] != c):
+            return "unsupported", 0.0, "offsets do not recover the quote"
+        return judge(c, e)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [entail(c, e) if isinstance(c, str) and isinstance(e, str) else ("unsupported", 0.0, "empty claim") for c, e in zip(pdf[claim], pdf[evidence])]
+            out = [one(c, e, at) for c, e, at in zip(pdf[claim], pdf[evidence], pdf[start] if start else [None] * len(pdf))]
             yield pdf.assign(verdict=[o[0] for o in out], coverage=[o[1] for o in out], reason=[o[2] for o in out])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in claims.dtypes)
@@ -158,39 +218,83 @@ def query_overlap(query: Column, span: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, s)) / F.size(q)).otherwise(0.0)
 
 
+def with_confidence(checked: DataFrame, confidence: Column) -> DataFrame:
+    """Verified claims with their confidence. Only supported ones have any; one below the floor
+    hardly bears on the query and is ambiguous, as is one that is supported in part."""
+    c = checked.withColumn("confidence", F.when(F.col("verdict") == "supported", confidence).otherwise(0.0))
+    weak = (F.col("verdict") == "supported") & (F.col("confidence") < CLAIM_FLOOR)
+    return c.withColumn("reason", F.when(weak, "weakly connected to the query").otherwise(F.col("reason"))).withColumn(
+        "verdict", F.when(weak | (F.col("verdict") == "partial"), "ambiguous").otherwise(F.col("verdict"))
+    )
+
+
+def citation(c: str = "") -> Column:
+    """The passage that a claim cites, as one struct."""
+    name = lambda n, source=None: F.col(f"{c}{source or n}").alias(n)
+    return F.struct(
+        name("chunk_id"), name("document_id"), name("version_id"), name("quote", "sentence"), name("quote_start", "start"), (F.col(f"{c}start") + F.length(f"{c}sentence")).alias("quote_end"),
+        name("page_number"), name("section"), name("language"), name("char_start"), name("char_end"), name("ocr_engine"), name("ocr_confidence"),
+    )
+
+
+# ---------------------------------------------------------------- decisions and answers
+
+
 def decide(df: DataFrame) -> DataFrame:
-    """df with decision and warnings, from counts per query: supported, contradicted, partial,
-    unsupported, dropped, evidence, confidence, min_ocr, ocr_unknown."""
+    """df with decision, its reason and warnings, from counts per query: supported, contradicted,
+    ambiguous, unsupported, dropped, evidence, confidence, min_ocr, ocr_unknown."""
     c = F.col
     conf = F.coalesce(c("confidence"), F.lit(0.0))
     warnings = F.concat_ws(
         "; ", F.when(conf < ANSWER_CONFIDENCE, "supporting confidence is moderate"),
-        F.when((c("partial") > 0) | (c("unsupported") > 0) | (c("dropped") > 0), "some proposed claims were dropped as unverifiable"),
+        F.when((c("ambiguous") > 0) | (c("unsupported") > 0) | (c("dropped") > 0), "some proposed claims were dropped as unverifiable"),
         F.when(c("min_ocr") < LOW_OCR, "cited evidence has low OCR reliability"), F.when(c("ocr_unknown"), "cited evidence has OCR of unknown reliability"),
     )
+    some = c("supported") > 0
     decision = (
         F.when(c("contradicted") > 0, "escalate_for_review")
-        .when((c("supported") == 0) & (c("evidence") == 0), "abstain")
-        .when(c("supported") == 0, "ask_for_clarification")
+        .when(~some & (c("evidence") == 0), "abstain")
+        .when(~some, "ask_for_clarification")
         .when(warnings != "", "answer_with_warning")
         .otherwise("answer")
     )
-    return df.withColumn("warnings", F.when(c("supported") > 0, warnings).otherwise("")).withColumn("decision", decision)
+    reason = (
+        F.when(some & (c("contradicted") > 0), "supported and contradicted claims coexist in the evidence")
+        .when(c("contradicted") > 0, "evidence contradicts the query and no claim could be supported")
+        .when(~some & (c("evidence") == 0), "insufficient_evidence")
+        .when(~some, "evidence was retrieved but no claim could be verified")
+        .when(warnings != "", warnings)
+        .otherwise("well-supported by cited evidence")
+    )
+    return df.withColumn("warnings", F.when(some, warnings).otherwise("")).withColumn("decision", decision).withColumn("decision_reason", reason)
 
 
-def compose(queries: DataFrame, claims: DataFrame) -> DataFrame:
-    """One row per query, answered or not: supported claims as a list, and the decision.
-    ``claims`` has query_id, claim_index, sentence, verdict, confidence, ocr_engine and
-    ocr_confidence."""
+def compose(queries: DataFrame, claims: DataFrame, evidence: DataFrame, drafts: DataFrame | None = None) -> DataFrame:
+    """One row per query, answered or not: supported claims as a list, the decision and its
+    reason. ``claims`` are verified (query_id, claim_index, sentence, verdict, confidence,
+    ocr_engine, ocr_confidence), ``evidence`` the passages kept. ``drafts`` are the claims
+    proposed, by default those verified: what is missing among the verified cites a passage
+    outside the evidence and counts as dropped without a verdict."""
     is_ = lambda v: F.count_if(F.col("verdict") == v).alias(v)
     ok = F.col("verdict") == "supported"
+    read = ok & F.col("ocr_engine").isNotNull()
     per = claims.groupBy("query_id").agg(
-        is_("supported"), is_("contradicted"), is_("partial"), is_("unsupported"), F.count("*").alias("evidence"), F.lit(0).alias("dropped"), F.round(F.avg(F.when(ok, F.col("confidence"))), 6).alias("confidence"),
-        F.min(F.when(ok, F.col("ocr_confidence"))).alias("min_ocr"), F.coalesce(F.bool_or(ok & F.col("ocr_engine").isNotNull() & F.col("ocr_confidence").isNull()), F.lit(False)).alias("ocr_unknown"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("claim_index", "sentence")))), lambda x: F.concat(F.lit("- "), F.trim(x["sentence"]))), "\n").alias("answer"),
+        is_("supported"), is_("contradicted"), is_("ambiguous"), is_("unsupported"), F.count("*").alias("verified"), F.round(F.avg(F.when(ok, F.col("confidence"))), 6).alias("confidence"),
+        F.min(F.when(read, F.col("ocr_confidence"))).alias("min_ocr"), F.coalesce(F.bool_or(read & F.col("ocr_confidence").isNull()), F.lit(False)).alias("ocr_unknown"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("claim_index", "sentence")))), lambda x: F.concat(F.lit("- "), strip(x["sentence"]))), "\n").alias("answer"),
     )
-    full = queries.select("query_id").join(per, "query_id", "left").fillna(0, ["supported", "contradicted", "partial", "unsupported", "evidence", "dropped"]).fillna({"ocr_unknown": False})
-    out = decide(full)
+    kept = evidence.groupBy("query_id").agg(F.count("*").alias("evidence"))
+    full = queries.select("query_id").join(kept, "query_id", "left").join(per, "query_id", "left")
+    if drafts is None:
+        full = full.withColumn("proposed", F.col("verified"))
+    else:
+        full = full.join(drafts.groupBy("query_id").agg(F.count("*").alias("proposed")), "query_id", "left")
+    full = full.fillna(0, ["supported", "contradicted", "ambiguous", "unsupported", "verified", "evidence", "proposed"]).fillna({"ocr_unknown": False})
+    out = decide(full.withColumn("dropped", F.col("proposed") - F.col("supported")))
     answered = F.col("decision").isin("answer", "answer_with_warning")
-    status = F.when(~answered, "abstained").when((F.col("partial") + F.col("unsupported") + F.col("dropped")) > 0, "partial").otherwise("answered")
-    return out.select("query_id", "decision", status.alias("status"), F.when(answered, F.col("answer")).alias("answer"), F.when(answered, F.col("confidence")).alias("confidence"), "warnings")
+    status = F.when(~answered, "abstained").when(F.col("dropped") > 0, "partial").otherwise("answered")
+    why = F.when(~answered, F.when(F.col("evidence") < MIN_EVIDENCE, "insufficient_evidence").otherwise(F.col("decision")))
+    return out.select(
+        "query_id", "decision", "decision_reason", status.alias("status"), F.when(answered, F.col("answer")).otherwise(ABSTENTION).alias("answer"),
+        F.when(answered, F.col("confidence")).otherwise(0.0).alias("confidence"), "warnings", why.alias("abstention_reason"), "evidence", "supported", "dropped",
+    )

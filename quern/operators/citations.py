@@ -16,7 +16,8 @@ def resolve(references: DataFrame, scope: TenantScope) -> DataFrame:
     """references (ref_id, workspace_id, version_id, chunk_id, quote_start, quote_end, quote) with
     error, document_id, page_number, page_quote_start, page_quote_end and reliability. What is
     missing, foreign, not ready or of another version gets one and the same code."""
-    chunks = deliveries(scope.table("chunks"), "chunk_id").select("chunk_id", "workspace_id", "version_id", "content", "page_number", "char_start", "ocr_engine", "ocr_confidence")
+    cited = references.select("chunk_id").distinct()
+    chunks = deliveries(scope.table("chunks").join(cited, "chunk_id", "left_semi"), "chunk_id", columns=("workspace_id", "version_id", "content", "page_number", "char_start", "ocr_engine", "ocr_confidence"))
     ready = scope.ready_versions().select("version_id", "document_id", "workspace_id")
     known = chunks.join(ready, ["version_id", "workspace_id"]).withColumn("found", F.lit(True))
     joined = references.join(known, ["workspace_id", "version_id", "chunk_id"], "left")

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable, Iterator
 
-from quern.functions.text import feature_set, index_terms, normalize_for_match
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from quern.functions.text import features_of, index_terms
 from quern.scope import TenantScope, deliveries
 
 # Limits and constants of the search pipeline.
 CANDIDATES, RRF_K, RERANK_POOL, TOP_K, MAX_TOP_K, OCCURRENCE = 50, 60, 30, 10, 50, 0.1
+ANSWER_TOP_K, MAX_ANSWER_TOP_K = 8, 20
+#: Vectors of one tile of a dense search; shards of a kept index.
+BLOCK_ROWS, INDEX_SHARDS = 8_192, 64
+
+
+def clamp_top_k(asked: int | None, default: int = TOP_K, most: int = MAX_TOP_K) -> int:
+    """How many results to give; the caps of a search and of an answer differ."""
+    if asked is not None and asked < 1:
+        raise ValueError("top_k must be at least 1")
+    return min(default if asked is None else asked, most)
 
 
 def top_per(df: DataFrame, group: str, order: list[Column], limit: int | Column, name: str = "rank") -> DataFrame:
@@ -16,13 +31,33 @@ def top_per(df: DataFrame, group: str, order: list[Column], limit: int | Column,
     return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(name) <= limit)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(workspace_id, term, chunk_id, tf): the inverted index. Materialise it bucketed by
-    workspace and term to serve many batches."""
+def postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(workspace_id, term, chunk_id, tf): the inverted index. With ``asked`` (workspace_id, term)
+    only the postings of these terms are counted, and the others never shuffled where the terms
+    are few enough to be broadcast."""
     exploded = chunks.select("workspace_id", "chunk_id", F.explode(index_terms(F.col("content"))).alias("term"))
+    if asked is not None:
+        exploded = exploded.join(asked.select("workspace_id", "term").distinct(), ["workspace_id", "term"], "left_semi")
     return exploded.groupBy("workspace_id", "term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
+def _shard(shards: int) -> Column:
+    return F.pmod(F.xxhash64("workspace_id", "term"), F.lit(shards)).cast("int")
+
+
+def save_index(index: DataFrame, path: str, shards: int = INDEX_SHARDS) -> None:
+    """Keep an inverted index for later batches, in shards by workspace and term. A shard is
+    sorted by both, so the row groups that a term does not touch are skipped."""
+    index.withColumn("shard", _shard(shards)).repartition("shard").sortWithinPartitions("workspace_id", "term", "chunk_id").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, terms: DataFrame, shards: int = INDEX_SHARDS) -> DataFrame:
+    """The postings of the terms asked (workspace_id, term) from a kept index; shards without any
+    are not read."""
+    wanted = terms.select("workspace_id", "term").distinct().withColumn("shard", _shard(shards))
+    return spark.read.parquet(path).join(wanted, ["shard", "workspace_id", "term"], "left_semi").drop("shard")
+
+
 def variants(queries: DataFrame) -> DataFrame:
     """(query_id, workspace_id, variants): normalised, transliterated and expanded forms."""
     forms = F.concat(F.array("normalized", "transliterated"), F.coalesce("expansions", F.array().cast("array<string>")))
@@ -35,15 +70,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return variants(queries).select("query_id", "workspace_id", F.explode(terms).alias("term"))
 
 
-def ready_chunks(scope: TenantScope, language: str | None = None, document_id: str | None = None) -> DataFrame:
-    """Chunks of ready documents, one row each; optional filters reach the scan."""
+def ready_chunks(scope: TenantScope, *columns: str, language: str | None = None, document_id: str | None = None) -> DataFrame:
+    """Chunks of ready documents with the columns named, one row each; optional filters reach the
+    scan. Only what is named is read."""
+    columns = tuple(dict.fromkeys(("chunk_id", *columns)))
     chunks = scope.table("chunks")
     versions = scope.ready_versions()
     if language is not None:
         chunks = chunks.where(F.col("language") == language)
     if document_id is not None:
         versions = versions.where(F.col("document_id") == document_id)
-    return deliveries(chunks.join(versions.select("version_id"), "version_id", "left_semi"), "chunk_id")
+    return deliveries(chunks.join(versions.select("version_id"), "version_id", "left_semi"), "chunk_id", columns=columns)
 
 
 def lexical_search(queries: DataFrame, index: DataFrame, limit: int = CANDIDATES) -> DataFrame:
@@ -54,17 +91,94 @@ def lexical_search(queries: DataFrame, index: DataFrame, limit: int = CANDIDATES
     return top_per(scored, "query_id", [F.desc("score"), F.asc("chunk_id")], limit)
 
 
-def cosine(a: str, b: str) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+def _top_cells(product: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``most`` largest cells of each row, and of those that tie with the last."""
+    if product.shape[1] <= most:
+        return np.nonzero(np.isfinite(product))
+    last = np.partition(product, -most, axis=1)[:, -most]
+    return np.nonzero(product >= last[:, None] - 1e-9)
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, on: list[str], limit: int = CANDIDATES) -> DataFrame:
     """(query_id, id, similarity, rank) by exact cosine. ``queries`` has query_id and query_vec,
-    ``vectors`` id and vec; ``on`` are the columns (tenant, model, version) that must agree."""
-    pairs = vectors.join(queries, on) if on else vectors.crossJoin(queries)  # a stated query set against all rows
-    scored = pairs.select("query_id", "id", F.round(cosine("query_vec", "vec"), 9).alias("similarity")).where("similarity is not null")
-    return top_per(scored, "query_id", [F.desc("similarity"), F.asc("id")], limit)
+    ``vectors`` id and vec; ``on`` are the columns (tenant, model, version) that must agree, if
+    any. Both sides are dealt into blocks of bounded size; a tile of two blocks is a matrix
+    product that gives at most the best of each query, so no pair is ever a row and a tenant with
+    most of the vectors has more tiles, not larger ones. Vectors that are null, all zero or of
+    another length than the query's are not compared."""
+    group = F.struct(*on) if on else F.struct(F.lit(0).alias("all"))
+    q = queries.where(F.size("query_vec") > 0).select(F.struct(group.alias("on"), F.size("query_vec").alias("width")).alias("g"), F.col("query_id").alias("key"), F.col("query_vec").cast("array<double>").alias("v"))
+    v = vectors.where(F.size("vec") > 0).select(F.struct(group.alias("on"), F.size("vec").alias("width")).alias("g"), F.col("id").alias("key"), F.col("vec").cast("array<double>").alias("v"))
+    kinds = dict(q.dtypes)["key"], dict(v.dtypes)["key"]
+
+    def dealt(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        counts = df.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(f"{name}s"))
+        return counts, df.join(counts, "g").withColumn(name, F.pmod(F.xxhash64("key"), F.col(f"{name}s")).cast("int")).drop(f"{name}s")
+
+    (q_counts, q_rows), (v_counts, v_rows) = dealt(q, "part"), dealt(v, "block")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q_rows.join(v_counts, "g").withColumn("block", every("blocks")).select("g", "part", "block", "key", "v")
+    right = v_rows.join(q_counts, "g").withColumn("part", every("parts")).select("g", "part", "block", "key", "v")
+
+    def unit(t: pa.Table) -> tuple[np.ndarray, pa.Array]:
+        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        m = flat.reshape(t.num_rows, -1)
+        norms = np.sqrt(np.einsum("ij,ij->i", m, m))
+        keep = np.isfinite(norms) & (norms > 0)
+        return m[keep] / norms[keep, None], t.column("key").combine_chunks().filter(pa.array(keep))
+
+    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = [pa.table({"query_id": a.column("key").slice(0, 0), "id": b.column("key").slice(0, 0), "similarity": pa.array([], pa.float64())})]
+        if a.num_rows and b.num_rows:
+            (x, x_keys), (y, y_keys) = unit(a), unit(b)
+            for s in range(0, len(x), 512) if len(y) else ():
+                product = x[s : s + 512] @ y.T
+                at, to = _top_cells(product, limit)
+                found.append(pa.table({"query_id": x_keys.take(pa.array(at + s)), "id": y_keys.take(pa.array(to)), "similarity": np.round(product[at, to], 9)}))
+        return pa.concat_tables(found)
+
+    keys = ("g", "part", "block")
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
+    return top_per(best, "query_id", [F.desc("similarity"), F.asc("id")], limit)
+
+
+def train_cells(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """Centres of an inverted-file index by spherical k-means over at most ``sample`` vectors, a
+    stated bound; the vectors with the least hashed ids are taken."""
+    rows = vectors.where(F.size("vec") > 0).orderBy(F.xxhash64("id"), "id").select("vec").limit(sample).collect()
+    m = np.array([r.vec for r in rows], dtype=np.float64)
+    m = m[np.linalg.norm(m, axis=1) > 0]
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    centres = m[np.random.default_rng(seed).permutation(len(m))[:cells]].copy()
+    for _ in range(rounds):
+        near = (m @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, m)
+        lengths = np.linalg.norm(sums, axis=1)
+        centres[lengths > 0] = sums[lengths > 0] / lengths[lengths > 0, None]
+    return centres
+
+
+def in_cells(df: DataFrame, vec: str, centres: np.ndarray, probes: int) -> DataFrame:
+    """df with ``cell``, one row for each of the ``probes`` cells nearest to the vector. The
+    centres are a fixed small matrix that goes along with the function."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                near = np.argsort(-(np.stack(pdf[vec].to_numpy()).astype(np.float64) @ centres.T), axis=1)[:, :probes]
+                yield pdf.assign(cell=[[int(c) for c in row] for row in near])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    usable = df.where(F.size(vec) == centres.shape[1])
+    return usable.mapInPandas(run, schema + ", cell array<int>").withColumn("cell", F.explode("cell"))
+
+
+def probed_search(queries: DataFrame, vectors: DataFrame, on: list[str], centres: np.ndarray, probes: int, limit: int = CANDIDATES) -> DataFrame:
+    """dense_search within the cells nearest to each query only: approximate, and exact once all
+    cells are probed. Every vector is in the index."""
+    found = dense_search(in_cells(queries, "query_vec", centres, probes).withColumn("query_id", F.struct("query_id", "cell")), in_cells(vectors, "vec", centres, 1), [*on, "cell"], limit)
+    return top_per(found.select("query_id.query_id", "id", "similarity"), "query_id", [F.desc("similarity"), F.asc("id")], limit)
 
 
 def fuse(lists: DataFrame, k: int = RRF_K, limit: int | None = None) -> DataFrame:
@@ -77,46 +191,107 @@ def fuse(lists: DataFrame, k: int = RRF_K, limit: int | None = None) -> DataFram
     return top_per(fused, "query_id", [F.desc("fused_score"), F.asc("chunk_id")], F.lit(limit if limit is not None else 2**31 - 1), "position")
 
 
+#: What a found chunk is given beside its ids.
+HYDRATED = ("workspace_id", "version_id", "content", "page_number", "section", "char_start", "char_end", "language", "ocr_engine", "ocr_confidence")
+
+
 def hydrate(found: DataFrame, scope: TenantScope) -> DataFrame:
     """Content and provenance joined after the limits; rows of documents that are not ready, or
-    of another workspace, vanish."""
-    chunks = deliveries(scope.table("chunks"), "chunk_id").select(
-        "chunk_id", "workspace_id", F.col("version_id"), "content", "page_number", "section", "char_start", "char_end", "language", "ocr_engine", "ocr_confidence"
-    )
+    of another workspace, vanish. Only the chunks found are deduplicated."""
+    wanted = found.select("chunk_id").distinct()
+    chunks = deliveries(scope.table("chunks").join(wanted, "chunk_id", "left_semi"), "chunk_id", columns=HYDRATED)
     versions = scope.ready_versions().select("version_id", "document_id", F.col("workspace_id").alias("owner"))
     return found.join(chunks, "chunk_id").join(versions, "version_id").where("workspace_id = owner").drop("owner")
 
 
-def overlap_score(query: Column, passage: Column) -> Column:
+def overlap(query: frozenset[str], passage: frozenset[str]) -> float:
     """Half coverage of the query's features, half Jaccard; 0 where either side is empty."""
-    common = F.size(F.array_intersect(query, passage))
-    either = F.size(query) + F.size(passage) - common
-    return F.when((F.size(query) > 0) & (F.size(passage) > 0) & (common > 0), 0.5 * common / F.size(query) + 0.5 * common / either).otherwise(0.0)
+    common = len(query & passage)
+    return 0.5 * common / len(query) + 0.5 * common / (len(query) + len(passage) - common) if common else 0.0
 
 
-def rerank_scores(rows: DataFrame, query: str = "query", passage: str = "content") -> DataFrame:
-    q, p = feature_set(normalize_for_match(F.col(query))), feature_set(normalize_for_match(F.col(passage)))
-    return rows.withColumn("_q", q).withColumn("_p", p).withColumn("raw_score", F.round(overlap_score(F.col("_q"), F.col("_p")), 9)).drop("_q", "_p")
+#: Rerankers by name: (queries, passages) of a batch to raw scores, one each.
+RERANKERS: dict[str, Callable[[list[str], list[str]], list[float]]] = {
+    "lexical": lambda queries, passages: [overlap(features_of(q), features_of(p)) for q, p in zip(queries, passages)],
+}
 
 
-def normalized_scores(rows: DataFrame, group: str, raw: str, threshold: float = 0.0) -> DataFrame:
-    """Min-max per group (1.0 where all are equal), kept from the threshold on, ranked anew. The
-    bounds are aggregated and joined, so a large group is not gathered for them."""
-    bounds = rows.groupBy(group).agg(F.min(raw).alias("lo"), F.max(raw).alias("hi"))
-    scaled = F.when(F.col("hi") > F.col("lo"), (F.col(raw) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
-    return rows.join(bounds, group).withColumn("normalized_score", F.round(scaled, 9)).drop("lo", "hi").where(F.col("normalized_score") >= threshold)
+def rerank_scores(rows: DataFrame, query: str = "query", passage: str = "content", reranker: str = "lexical", tolerant: bool = False) -> DataFrame:
+    """rows with raw_score, unrounded. A reranker that gives a wrong number of scores fails the
+    job; one that raises fails it too, unless ``tolerant``: then its rows have null scores."""
+    score = RERANKERS[reranker]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            try:
+                raw = score([q if isinstance(q, str) else "" for q in pdf[query]], [p if isinstance(p, str) else "" for p in pdf[passage]])
+            except Exception:
+                if not tolerant:
+                    raise
+                raw = [None] * len(pdf)
+            if len(raw) != len(pdf):
+                raise ValueError(f"{reranker}: {len(raw)} scores for {len(pdf)} passages")
+            yield pdf.assign(raw_score=pd.array(raw, dtype="Float64"))
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.mapInPandas(run, schema + ", raw_score double")
 
 
-def rerank(rows: DataFrame, top_k: int = TOP_K, threshold: float = 0.0) -> DataFrame:
-    """Reranked rows per query with raw_score, normalized_score and rerank_rank."""
-    scored = normalized_scores(rerank_scores(rows), "query_id", "raw_score", threshold)
-    return top_per(scored, "query_id", [F.desc("normalized_score"), F.asc("chunk_id")], min(top_k, MAX_TOP_K), "rerank_rank")
+def _scaled(raw: str, low: Column, high: Column) -> Column:
+    """Min-max, 1.0 where all are equal."""
+    return F.round(F.when(high > low, (F.col(raw) - low) / (high - low)).otherwise(1.0), 9)
 
 
-def hybrid_search(queries: DataFrame, scope: TenantScope, dense: DataFrame, top_k: int = TOP_K) -> DataFrame:
-    """The whole search as one lazy plan. ``dense`` has (query_id, chunk_id, rank)."""
-    lexical = lexical_search(queries, postings(ready_chunks(scope)))
-    lists = lexical.select("query_id", "chunk_id", "rank", F.lit("lexical").alias("source")).unionByName(dense.select("query_id", "chunk_id", "rank", F.lit("dense").alias("source")))
-    pool = fuse(lists, limit=max(min(top_k, MAX_TOP_K), RERANK_POOL))
-    rows = hydrate(pool, scope).join(queries.select("query_id", F.col("workspace_id").alias("asked_in"), F.col("original").alias("query")), "query_id").where("workspace_id = asked_in")
+def normalized_scores(rows: DataFrame, group: str, raw: str, threshold: float = 0.0) -> DataFrame:
+    """Min-max per group, kept from the threshold on. The bounds are aggregated and joined, so a
+    large group is not gathered for them."""
+    bounds = rows.groupBy(group).agg(F.min(raw).alias("lo"), F.max(raw).alias("hi"))
+    return rows.join(bounds, group).withColumn("normalized_score", _scaled(raw, F.col("lo"), F.col("hi"))).drop("lo", "hi").where(F.col("normalized_score") >= threshold)
+
+
+def rerank(rows: DataFrame, top_k: int | None = None, threshold: float = 0.0, reranker: str = "lexical", tolerant: bool = False) -> DataFrame:
+    """Reranked rows per query with raw_score, normalized_score and rerank_rank. The rows are a
+    search's pool, a bounded number per query, so its bounds are taken over a window. A query
+    whose reranker failed (``tolerant``) keeps its order, with scores of 0."""
+    top_k = clamp_top_k(top_k)
+    pool = Window.partitionBy("query_id")
+    scored = rerank_scores(rows, reranker=reranker, tolerant=tolerant).withColumn("_raw", F.round("raw_score", 9))
+    failed = F.max(F.col("_raw").isNull()).over(pool)
+    scored = scored.withColumn("_failed", failed).withColumn("normalized_score", F.when(F.col("_failed"), 0.0).otherwise(_scaled("_raw", F.min("_raw").over(pool), F.max("_raw").over(pool))))
+    scored = scored.withColumn("raw_score", F.when(F.col("_failed"), 0.0).otherwise(F.col("raw_score"))).where(F.col("_failed") | (F.col("normalized_score") >= threshold))
+    before = F.when(F.col("_failed"), F.col("position")) if "position" in rows.columns else F.lit(None)
+    return top_per(scored, "query_id", [before.asc_nulls_last(), F.desc("normalized_score"), F.asc("chunk_id")], top_k, "rerank_rank").drop("_raw", "_failed")
+
+
+def search_vectors(scope: TenantScope, language: str | None = None) -> DataFrame:
+    """(workspace_id, model, model_version, id, vec) of the embeddings of ready chunks, one a key;
+    vectors not as long as they are said to be are left out."""
+    kept = ready_chunks(scope, "workspace_id", language=language).select("chunk_id", "workspace_id")
+    rows = scope.table("chunk_embeddings").where(F.size("embedding") == F.col("dimensions"))
+    one = deliveries(rows, "chunk_id", "model", "model_version", columns=("workspace_id", "embedding"))
+    return one.join(kept, ["chunk_id", "workspace_id"], "left_semi").select("workspace_id", "model", "model_version", F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def hybrid_search(queries: DataFrame, scope: TenantScope, query_vectors: DataFrame, top_k: int | None = None, index: DataFrame | None = None, language: str | None = None) -> DataFrame:
+    """The whole search as one lazy plan, for every query at once. ``query_vectors`` has query_id,
+    workspace_id, model, model_version and query_vec; vectors of other models or versions are not
+    compared. ``index`` is a kept inverted index; without one, the terms asked are indexed."""
+    top_k = clamp_top_k(top_k)
+    terms = query_terms(queries)
+    index = postings(ready_chunks(scope, "workspace_id", "content", language=language), terms) if index is None else index
+    lexical = lexical_search(queries, index).select("query_id", "chunk_id", "rank", F.lit("lexical").alias("source"))
+    dense = dense_search(query_vectors, search_vectors(scope, language), ["workspace_id", "model", "model_version"]).select("query_id", F.col("id").alias("chunk_id"), "rank", F.lit("dense").alias("source"))
+    pool = fuse(lexical.unionByName(dense), limit=max(top_k, RERANK_POOL))
+    asked = queries.select("query_id", F.col("workspace_id").alias("asked_in"), F.col("original").alias("query"))
+    rows = hydrate(pool, scope).join(asked, "query_id").where("workspace_id = asked_in")
     return rerank(rows.drop("asked_in"), top_k)
+
+
+def as_metadata(found: DataFrame) -> DataFrame:
+    """(query_id, results, lexical_only, dense_only, both, best_score): what may be logged of a
+    search. Counts and rounded scores, never text."""
+    both = F.col("lexical_rank").isNotNull() & F.col("dense_rank").isNotNull()
+    return found.groupBy("query_id").agg(
+        F.count("*").alias("results"), F.count_if(F.col("dense_rank").isNull()).alias("lexical_only"), F.count_if(F.col("lexical_rank").isNull()).alias("dense_only"), F.count_if(both).alias("both"),
+        F.round(F.max("fused_score"), 4).alias("best_score"),
+    )

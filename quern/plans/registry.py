@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +12,7 @@ from quern.functions import text as tx
 from quern.operators import answers, chunking, citations, embedding, retrieval, safety
 from quern.plans import sql
 from quern.scope import TenantScope, deliveries
+from quern.session import cut_lineage, shared_folder
 from quern.streaming import limiter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,13 +31,12 @@ def _queries(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "processed_queries").dropDuplicates(["query_id"])
 
 
-def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return deliveries(_t(spark, sf, "chunks"), "chunk_id")
+def _chunks(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return deliveries(_t(spark, sf, "chunks"), "chunk_id", columns=columns)
 
 
-def _spread_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """For CPU-bound work: adaptive execution would join small partitions into one task."""
-    return _chunks(spark, sf).repartition(spark.sparkContext.defaultParallelism * 2, "chunk_id")
+def _found(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id", columns=columns)
 
 
 # ---- scope, keys, aggregates
@@ -50,7 +51,7 @@ def unbound_scope(spark, sf):
 
 
 def ready_gate(spark, sf):
-    return retrieval.ready_chunks(_everyone(spark, sf)).select("chunk_id", "version_id")
+    return retrieval.ready_chunks(_everyone(spark, sf), "version_id")
 
 
 def filtered_chunks(spark, sf):
@@ -69,8 +70,7 @@ def latest_versions(spark, sf):
 
 def order_preserving_lookup(spark, sf):
     """Chunks of each query in the order they were found; missing ids vanish."""
-    wanted = deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id").select("query_id", "chunk_id", "fused_score")
-    kept = wanted.join(_chunks(spark, sf).select("chunk_id", "chunk_index"), "chunk_id")
+    kept = _found(spark, sf, "fused_score").join(_chunks(spark, sf, "chunk_index"), "chunk_id")
     return retrieval.top_per(kept, "query_id", [F.desc("fused_score"), F.asc("chunk_id")], F.lit(2**31 - 1), "ord").select("query_id", "chunk_id", "chunk_index", "ord")
 
 
@@ -119,8 +119,20 @@ def language_decision(spark, sf):
 
 
 def query_variants(spark, sf):
-    q = _queries(spark, sf).withColumn("folded", tx.fold_spelling(F.col("normalized")))
-    return q.select("query_id", "folded", tx.transliterate(F.col("folded")).alias("tamil"))
+    """Forms of each query: only romanised Tamil is folded and transliterated, and the folded
+    form is an expansion only where it differs."""
+    q = _queries(spark, sf).select("query_id", "normalized", (tx.detect_language(F.lower("normalized"))["language"] == "tanglish").alias("roman"))
+    q = q.withColumn("folded", F.when(F.col("roman"), tx.fold_spelling(F.col("normalized"))).otherwise(F.col("normalized")))
+    tamil = F.when(F.col("roman"), tx.transliterate(F.col("folded"))).otherwise(F.col("normalized"))
+    return q.select("query_id", "normalized", tamil.alias("transliterated"), F.when(F.col("folded") != F.col("normalized"), F.col("folded")).alias("expansion"))
+
+
+def document_slugs(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", tx.slug(F.col("title")).alias("slug"), tx.email_key(F.concat(F.lit(" Clerk."), "source", F.lit("@Example.ORG "))).alias("contact"))
+
+
+def language_limits(spark, sf):
+    return _queries(spark, sf).select("query_id", F.array_join(tx.limitations(F.lower("normalized")), ",").alias("limitations"))
 
 
 def sentence_spans(spark, sf):
@@ -137,9 +149,9 @@ def chunk_documents(spark, sf):
 
 
 def chunk_provenance(spark, sf):
-    """Chunks that fail a check against their page, with its code."""
-    pages = deliveries(_t(spark, sf, "pages"), "page_id").select("version_id", "page_number", F.col("text").alias("page_text"))
-    c = _chunks(spark, sf).where("page_number is not null").join(pages, ["version_id", "page_number"])
+    """Chunks that fail a check against their page, with its code; those without a page too."""
+    pages = deliveries(_t(spark, sf, "pages"), "page_id", columns=("version_id", "page_number", "text")).groupBy("version_id", "page_number").agg(F.min("text").alias("page_text"))
+    c = _chunks(spark, sf, "version_id", "page_number", "content", "char_start", "char_end", "token_count", "section", "ocr_confidence").join(pages, ["version_id", "page_number"], "left")
     return c.withColumn("error", chunking.provenance_error(F.col("page_text"))).where("error is not null").select("chunk_id", "error")
 
 
@@ -147,19 +159,54 @@ def chunk_provenance(spark, sf):
 
 
 def lexical_topk(spark, sf):
-    index = retrieval.postings(retrieval.ready_chunks(_everyone(spark, sf)))
-    return retrieval.lexical_search(_queries(spark, sf), index, 10)
+    q = _queries(spark, sf)
+    index = retrieval.postings(retrieval.ready_chunks(_everyone(spark, sf), "workspace_id", "content"), retrieval.query_terms(q))
+    return retrieval.lexical_search(q, index, 10)
 
 
-def dense_topk(spark, sf):
+def kept_index_topk(spark, sf):
+    """The same search over an index written once and read by shards."""
+    q = _queries(spark, sf)
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    retrieval.save_index(retrieval.postings(retrieval.ready_chunks(_everyone(spark, sf), "workspace_id", "content")), path)
+    return retrieval.lexical_search(q, retrieval.load_index(spark, path, retrieval.query_terms(q)), 10)
+
+
+def _vectors(spark, sf):
     v = _t(spark, sf, "embeddings").dropDuplicates(["vec_id"])
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), "label")
-    return retrieval.dense_search(asked, v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label"), ["label"], 10).withColumn("similarity", F.round("similarity", 6))
+    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def dense_topk(spark, sf):
+    """Every twentieth vector against all vectors."""
+    return retrieval.dense_search(*_vectors(spark, sf), [], 10).withColumn("similarity", F.round("similarity", 6))
+
+
+def cell_topk(spark, sf):
+    """The same search within the eight nearest of 32 cells."""
+    asked, all_of = _vectors(spark, sf)
+    return retrieval.probed_search(asked, all_of, [], retrieval.train_cells(all_of, 32), 8, 10).withColumn("similarity", F.round("similarity", 6))
+
+
+def embedding_counts(spark, sf):
+    """Usable embeddings of ready chunks by workspace, model and version."""
+    return retrieval.search_vectors(_everyone(spark, sf)).groupBy("workspace_id", "model", "model_version").agg(F.count("*").alias("n"))
+
+
+def _query_vectors(spark, sf):
+    """A vector for each query. The tables hold none, so a query is given the latest embedding of
+    the chunk that leads its dense list."""
+    lead = deliveries(_t(spark, sf, "vector_matches"), "query_id", "chunk_id", columns=("similarity",))
+    lead = lead.groupBy("query_id").agg(F.max_by("chunk_id", F.struct("similarity", "chunk_id")).alias("chunk_id"))
+    e = _t(spark, sf, "chunk_embeddings").where(F.size("embedding") == F.col("dimensions"))
+    e = e.groupBy("chunk_id").agg(F.max(F.struct("model_version", "model", "embedding")).alias("e")).select("chunk_id", "e.*")
+    q = _queries(spark, sf).select("query_id", "workspace_id")
+    return q.join(lead, "query_id").join(e, "chunk_id").select("query_id", "workspace_id", "model", "model_version", F.col("embedding").alias("query_vec"))
 
 
 def _ranked_lists(spark, sf):
     part = lambda name, score, source: retrieval.top_per(
-        deliveries(_t(spark, sf, name), "query_id", "chunk_id"), "query_id", [F.desc(score), F.asc("chunk_id")], retrieval.CANDIDATES
+        deliveries(_t(spark, sf, name), "query_id", "chunk_id", columns=(score,)), "query_id", [F.desc(score), F.asc("chunk_id")], retrieval.CANDIDATES
     ).select("query_id", "chunk_id", "rank", F.lit(source).alias("source"))
     return part("lexical_matches", "score", "lexical").unionByName(part("vector_matches", "similarity", "dense"))
 
@@ -174,29 +221,44 @@ def hydrated(spark, sf):
 
 
 def rerank_minmax(spark, sf):
-    r = deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id").where("rerank_score is not null").select("query_id", "chunk_id", "rerank_score")
+    r = _found(spark, sf, "rerank_score").where("rerank_score is not null")
     n = retrieval.normalized_scores(r, "query_id", "rerank_score", 0.5).withColumn("normalized_score", F.round("normalized_score", 6))
     return retrieval.top_per(n, "query_id", [F.desc("normalized_score"), F.asc("chunk_id")], 10, "position").select("query_id", "chunk_id", "normalized_score", "position")
 
 
-def _passages(spark, sf):
-    r = deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id")
-    r = retrieval.top_per(r, "query_id", [F.desc("fused_score"), F.asc("chunk_id")], 6).select("query_id", "chunk_id", "fused_score", "rank")
+def _passages(spark, sf, *columns):
+    """The six leading chunks of each query, with its text."""
+    r = _found(spark, sf, "fused_score", "rerank_score", "document_id")
+    r = retrieval.top_per(r, "query_id", [F.desc("fused_score"), F.asc("chunk_id")], answers.MAX_EVIDENCE)
     q = _queries(spark, sf).select("query_id", F.col("normalized").alias("query"))
-    c = _chunks(spark, sf).select("chunk_id", "content", "ocr_engine", "ocr_confidence")
+    wanted = r.select("chunk_id").distinct()
+    c = deliveries(_t(spark, sf, "chunks").join(wanted, "chunk_id", "left_semi"), "chunk_id", columns=("content", *columns))
     return r.join(q, "query_id").join(c, "chunk_id")
 
 
+def evidence(spark, sf):
+    """Passages kept as evidence: those from a floor of the fused score on, in order."""
+    kept = answers.sufficient_evidence(_passages(spark, sf), floor=0.02)
+    return kept.select("query_id", "chunk_id", (F.col("rank") - 1).alias("ord"), F.length("content").alias("n_chars"))
+
+
 def rerank_overlap(spark, sf):
     return retrieval.rerank_scores(_passages(spark, sf)).select("query_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"))
 
 
+def _hybrid(spark, sf):
+    return retrieval.hybrid_search(_queries(spark, sf), _everyone(spark, sf), _query_vectors(spark, sf))
+
+
 def hybrid_search(spark, sf):
-    """The flagship: lexical search over postings fused with the dense lists, hydrated and
-    reranked, for every query at once."""
-    dense = _ranked_lists(spark, sf).where("source = 'dense'")
-    found = retrieval.hybrid_search(_queries(spark, sf), _everyone(spark, sf), dense)
-    return found.select("query_id", "chunk_id", "document_id", F.round("fused_score", 6).alias("fused_score"), "lexical_rank", "dense_rank", F.round("raw_score", 6).alias("raw_score"), F.round("normalized_score", 6).alias("normalized_score"), "rerank_rank", "page_number")
+    """The flagship: lexical search over postings and dense search over the embeddings of ready
+    chunks, fused, hydrated and reranked, for every query at once."""
+    return _hybrid(spark, sf).select("query_id", "chunk_id", "document_id", F.round("fused_score", 6).alias("fused_score"), "lexical_rank", "dense_rank", F.round("raw_score", 6).alias("raw_score"), F.round("normalized_score", 6).alias("normalized_score"), "rerank_rank", "page_number")
+
+
+def search_metadata(spark, sf):
+    """What may be logged of each search: counts and scores, no text."""
+    return retrieval.as_metadata(_hybrid(spark, sf))
 
 
 def hashing_embeddings(spark, sf):
@@ -210,53 +272,65 @@ def top_claims(spark, sf):
     return answers.best_claims(_passages(spark, sf)).select("query_id", "chunk_id", "start", "sentence", F.round("overlap", 6).alias("overlap"), "claim_index")
 
 
+def newest_documents(spark, sf):
+    """The hundred newest documents."""
+    return _everyone(spark, sf).newest_documents(100).select("document_id", "workspace_id", F.unix_micros("created_at").alias("created_us"))
+
+
 def claim_split(spark, sf):
     d = _t(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("s"))
     return d.select("doc_id", F.explode(answers.split_claims(F.col("s.sentence"))).alias("claim"))
 
 
 def claim_polarity(spark, sf):
-    d = _t(spark, sf, "documents").where("title is not null").select("doc_id", answers.polarity(F.col("title")).alias("p"))
+    d = _t(spark, sf, "documents").where("text is not null").select("doc_id", answers.polarity(F.col("text")).alias("p"))
     return d.select("doc_id", F.col("p.negated").alias("negated"), F.col("p.conditional").alias("conditional"), F.array_join("p.names", ",").alias("names"))
 
 
-def _verified(spark, sf):
-    rows = _passages(spark, sf)
-    claims = answers.best_claims(rows)
-    back = rows.select("query_id", "chunk_id", "query", "content", "fused_score", "ocr_engine", "ocr_confidence")
-    checked = answers.verify(claims.join(back, ["query_id", "chunk_id"]), "sentence", "content")
-    conf = answers.claim_confidence(F.col("fused_score"), F.lit(None).cast("double"), answers.query_overlap(F.col("query"), F.col("sentence")), F.col("ocr_engine"), F.col("ocr_confidence"))
-    return checked.withColumn("confidence", conf)
+_CITED = ("version_id", "page_number", "section", "language", "char_start", "char_end", "ocr_engine", "ocr_confidence")
+
+
+def _drafts(spark, sf):
+    """Evidence, claims drafted from it, and the claims verified."""
+    kept = cut_lineage(answers.sufficient_evidence(_passages(spark, sf, *_CITED)))  # read for drafts, checks and counts
+    drafts = cut_lineage(answers.best_claims(kept))
+    checked = answers.verify(drafts.drop("rank").join(kept, ["query_id", "chunk_id"]), "sentence", "content", start="start")
+    conf = answers.claim_confidence(F.col("fused_score"), F.col("rerank_score"), answers.query_overlap(F.col("query"), F.col("sentence")), F.col("ocr_engine"), F.col("ocr_confidence"))
+    return kept, drafts, answers.with_confidence(checked, conf)
 
 
 def verified_claims(spark, sf):
-    return _verified(spark, sf).select("query_id", "chunk_id", "claim_index", "verdict", F.round("coverage", 6).alias("coverage"), "reason", "confidence")
+    _, _, checked = _drafts(spark, sf)
+    return checked.select("query_id", "chunk_id", "claim_index", "verdict", F.round("coverage", 6).alias("coverage"), "reason", "confidence", answers.citation().alias("citation"))
 
 
 def composed_answers(spark, sf):
-    return answers.compose(_queries(spark, sf), _verified(spark, sf))
+    kept, drafts, checked = _drafts(spark, sf)
+    return answers.compose(_queries(spark, sf), checked, kept, drafts)
 
 
 def claim_confidence(spark, sf):
-    r = deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id").join(_chunks(spark, sf).select("chunk_id", "ocr_engine", "ocr_confidence"), "chunk_id")
-    conf = answers.claim_confidence(F.col("fused_score"), F.col("rerank_score"), F.lit(0.5), F.col("ocr_engine"), F.col("ocr_confidence"))
-    return r.select("query_id", "chunk_id", conf.alias("confidence"))
+    """Confidence of the six leading passages of each query, each taken whole."""
+    conf = answers.claim_confidence(F.col("fused_score"), F.col("rerank_score"), answers.query_overlap(F.col("query"), F.col("content")), F.col("ocr_engine"), F.col("ocr_confidence"))
+    return _passages(spark, sf, "ocr_engine", "ocr_confidence").select("query_id", "chunk_id", conf.alias("confidence"))
 
 
 def citation_resolve(spark, sf):
-    """Quotes of the first forty characters of each found chunk, some of them off."""
-    r = deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id")
-    q = r.join(_chunks(spark, sf).select("chunk_id", "content"), "chunk_id").select(
-        F.concat_ws("/", "query_id", "chunk_id").alias("ref_id"), "workspace_id", F.col("document_version_id").alias("version_id"), "chunk_id", F.lit(0).alias("quote_start"),
-        F.when(F.coalesce("lexical_rank", F.lit(0)) == 2, F.lit(100000)).otherwise(40).alias("quote_end"),
-        F.when(F.coalesce("lexical_rank", F.lit(0)) == 3, F.lit("not there")).otherwise(F.substring("content", 1, 40)).alias("quote"),
+    """Quotes from within each found chunk, some of them off."""
+    r = _found(spark, sf, "workspace_id", "document_version_id", "lexical_rank")
+    c = _chunks(spark, sf, "content")
+    third, size = F.floor(F.length("content") / 3).cast("int"), F.floor(F.length("content") / 4).cast("int") + 1
+    rank = F.coalesce("lexical_rank", F.lit(0))
+    q = r.join(c, "chunk_id").select(
+        F.concat_ws("/", "query_id", "chunk_id").alias("ref_id"), "workspace_id", F.col("document_version_id").alias("version_id"), "chunk_id", third.alias("quote_start"),
+        F.when(rank == 2, F.lit(100000)).otherwise(third + size).alias("quote_end"), F.when(rank == 3, F.lit("not there")).otherwise(F.substring("content", third + 1, size)).alias("quote"),
     )
     return citations.resolve(q, _everyone(spark, sf))
 
 
 def citation_sentences(spark, sf):
     """The claims of each query as quotes: whole sentences at their own offsets."""
-    r = deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id").select("query_id", "chunk_id", "workspace_id", F.col("document_version_id").alias("version_id"))
+    r = _found(spark, sf, "workspace_id", "document_version_id").withColumnRenamed("document_version_id", "version_id")
     claims = answers.best_claims(_passages(spark, sf)).select("query_id", "chunk_id", F.col("start").alias("quote_start"), (F.col("start") + F.length("sentence")).alias("quote_end"), F.col("sentence").alias("quote"))
     q = claims.join(r, ["query_id", "chunk_id"]).withColumn("ref_id", F.concat_ws("/", "query_id", "chunk_id")).drop("query_id")
     return citations.resolve(q, _everyone(spark, sf))
@@ -266,26 +340,27 @@ def citation_sentences(spark, sf):
 
 
 def injection_signals(spark, sf):
-    a = safety.assess(_spread_chunks(spark, sf).select("chunk_id", "content"), "content")
-    return a.select("chunk_id", F.explode("signals").alias("s")).select("chunk_id", F.col("s.rule").alias("rule"), F.col("s.hits").alias("hits"))
+    """Every finding in every chunk, with its place and an excerpt."""
+    a = safety.assess(_chunks(spark, sf, "content"), "content")
+    return a.select("chunk_id", F.inline("signals"))
 
 
 def injection_rules_hits(spark, sf):
-    """Raw matches of the rules over all document texts."""
-    d = _t(spark, sf, "documents").where("text is not null")
-    cols = [F.regexp_count("text", F.lit("(?i)" + p)).alias(n) for n, _, _, p in safety.RULES if n in sql.PORTABLE_RULES]
-    hits = d.select("doc_id", *cols)
-    return hits.where(" + ".join(sql.PORTABLE_RULES) + " > 0")
+    """Matches of each rule in document texts, a sentence planted in each by turns."""
+    planted = F.element_at(F.array(*map(F.lit, sql.PLANTED)), (F.col("doc_id") % len(sql.PLANTED) + 1).cast("int"))
+    d = _t(spark, sf, "documents").where("text is not null").select("doc_id", F.concat_ws("\n", "text", planted).alias("text"))
+    rules = [name for name, *_ in safety.RULES]
+    found = safety.assess(d, "text").select("doc_id", F.explode("signals.rule").alias("rule")).where(F.col("rule").isin(rules))
+    return found.groupBy("doc_id", "rule").agg(F.count("*").alias("hits"))
 
 
 def invisible_characters(spark, sf):
-    c = _chunks(spark, sf)
     n = F.length("content") - F.length(F.translate("content", safety.INVISIBLE, ""))
-    return c.select("chunk_id", n.alias("n")).where("n > 0")
+    return _chunks(spark, sf, "content").select("chunk_id", n.alias("n")).where("n > 0")
 
 
 def document_safety(spark, sf):
-    return safety.scan_documents(_spread_chunks(spark, sf))
+    return safety.scan_documents(_chunks(spark, sf, "version_id", "chunk_index", "content"))
 
 
 # ---- streaming, evaluation
@@ -299,7 +374,7 @@ def rate_limit(spark, sf):
 
 def eval_ranking(spark, sf):
     """Mean reciprocal rank and recall@10 of the fused order against the reranker's first three."""
-    r = deliveries(_t(spark, sf, "retrieved_chunks"), "query_id", "chunk_id").where("rerank_rank is not null")
+    r = _found(spark, sf, "rerank_rank", "fused_score").where("rerank_rank is not null")
     ranked = retrieval.top_per(r, "query_id", [F.desc("fused_score"), F.asc("chunk_id")], F.lit(2**31 - 1), "position")
     per = ranked.where("rerank_rank <= 3").groupBy("query_id").agg(F.min("position").alias("first"), F.count_if(F.col("position") <= 10).alias("hits"), F.count("*").alias("n"))
     return per.agg(F.round(F.avg(1 / F.col("first")), 6).alias("mrr"), F.round(F.avg(F.col("hits") / F.col("n")), 6).alias("recall_at_10"), F.count("*").alias("queries"))
@@ -307,7 +382,7 @@ def eval_ranking(spark, sf):
 
 _ALL: tuple[Query, ...] = (
     tenant_counts, unbound_scope, ready_gate, filtered_chunks, exact_duplicates, latest_versions, order_preserving_lookup, broken_references, duplicate_keys, late_rows, normalized_text, word_tokens,
-    trigram_features, language_decision, query_variants, sentence_spans, chunk_documents, chunk_provenance, lexical_topk, dense_topk, rrf_fusion, hydrated, rerank_minmax, rerank_overlap, hybrid_search,
+    trigram_features, language_decision, query_variants, document_slugs, language_limits, sentence_spans, chunk_documents, chunk_provenance, lexical_topk, kept_index_topk, dense_topk, cell_topk, embedding_counts, rrf_fusion, hydrated, rerank_minmax, rerank_overlap, hybrid_search, search_metadata, evidence, newest_documents,
     hashing_embeddings, top_claims, claim_split, claim_polarity, verified_claims, composed_answers, claim_confidence, citation_resolve, citation_sentences, injection_signals, injection_rules_hits, invisible_characters,
     document_safety, rate_limit, eval_ranking,
 )

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def deliveries(df: DataFrame, *keys: str) -> DataFrame:
-    """One row per key: the latest delivery of each. Merges map-side before its shuffle."""
-    order = [F.col(c) for c in ("loaded_at", "created_at") if c in df.columns]
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+def deliveries(df: DataFrame, *keys: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per key: the latest delivery of each; of rows delivered at one time, that with the
+    greatest values. Merges map-side before its shuffle. Only ``columns`` are read and shuffled
+    where they are given: a struct of all would defeat the pruning of columns."""
+    order = [c for c in ("loaded_at", "created_at") if c in df.columns]
+    rest = [c for c in (columns or df.columns) if c not in keys and c not in order]
+    kept = [c for c in (columns or df.columns) if c not in keys]
+    return df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("r")).select(*keys, *[F.col(f"r.{c}") for c in kept])
 
 
 class TenantScope:
@@ -40,6 +43,11 @@ class TenantScope:
         versions = self.raw("document_versions").select("version_id", "document_id").distinct()
         return versions.join(documents, "document_id")
 
+    def newest_documents(self, limit: int | None = None) -> DataFrame:
+        """Documents of the scope, the newest first."""
+        ordered = self.table("documents").orderBy(F.desc("created_at"), "document_id")
+        return ordered if limit is None else ordered.limit(limit)
+
     def views(self) -> None:
         """Temporary views with the scope baked in, for the SQL interface."""
         for name in ("documents", "chunks", "chunk_embeddings", "processed_queries", "retrieved_chunks"):

@@ -5,12 +5,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
 # Kinds by suffix, declared types per kind, limits and signatures.
 SUFFIXES = {".pdf": "pdf", ".txt": "text", ".md": "text", ".markdown": "text", ".docx": "docx"}
@@ -39,6 +41,20 @@ def kind_of(name: Column) -> Column:
     return table[F.lower(F.regexp_extract(name, r"\.[^.]+$", 0))]
 
 
+@pandas_udf(T.BooleanType())
+def is_word_file(s: pd.Series) -> pd.Series:
+    """Whether bytes are a zip that lists its content types, as word files do."""
+
+    def one(data: bytes | None) -> bool:
+        try:
+            with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
+                return "[Content_Types].xml" in z.namelist()
+        except (zipfile.BadZipFile, ValueError, EOFError):
+            return False
+
+    return s.map(one).astype(bool)
+
+
 def checked(files: DataFrame) -> DataFrame:
     """files (path, content, mime) with name, kind, sha256 and the code of the first failed check."""
     f = files.withColumn("name", file_name(F.col("path"))).withColumn("kind", kind_of(F.col("name")))
@@ -50,7 +66,7 @@ def checked(files: DataFrame) -> DataFrame:
     as_text = body.cast("string")
     real = (
         F.when(F.col("kind") == "pdf", F.hex(F.substring(body, 1, 5)) == F.lit(b"%PDF-".hex().upper()))
-        .when(F.col("kind") == "docx", (F.hex(F.substring(body, 1, 4)) == "504B0304") & as_text.contains("[Content_Types].xml"))
+        .when(F.col("kind") == "docx", (F.hex(F.substring(body, 1, 4)) == "504B0304") & is_word_file(body))
         .otherwise(F.is_valid_utf8(as_text) & ~as_text.contains("\0"))
     )
     error = (
@@ -68,20 +84,52 @@ def docx_text(data: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p")).strip()
 
 
-def pdf_pages(data: bytes) -> list[str]:
-    """Text per page, by whichever reader is installed."""
-    try:
-        from pypdf import PdfReader
-    except ImportError as e:
-        raise RuntimeError("no PDF reader is installed") from e
+def _pypdf_pages(data: bytes) -> list[str]:
+    from pypdf import PdfReader
+
     return [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
 
 
+def _pdfium_pages(data: bytes) -> list[str]:
+    import pypdfium2
+
+    return [p.get_textpage().get_text_range() for p in pypdfium2.PdfDocument(data)]
+
+
+#: Readers of PDF files, tried in order.
+PDF_READERS: list[Callable[[bytes], list[str]]] = [_pypdf_pages, _pdfium_pages]
+
+
+def pdf_pages(data: bytes, pdf_readers: list[Callable[[bytes], list[str]]]) -> list[str]:
+    """Text per page by the first reader that is installed, does not fail and finds pages."""
+    last: Exception = RuntimeError("no PDF reader is installed")
+    for reader in pdf_readers:
+        try:
+            if pages := reader(data):
+                return pages
+            last = ValueError("no pages")
+        except ImportError:
+            continue
+        except Exception as e:
+            last = e
+    raise last
+
+
+def page_image(data: bytes, page: int, scale: float = 2.0) -> bytes:
+    """One page of a PDF, counted from 1, as PNG; needs the optional renderer."""
+    import pypdfium2
+
+    out = io.BytesIO()
+    pypdfium2.PdfDocument(data)[page - 1].render(scale=scale).to_pil().save(out, format="PNG")
+    return out.getvalue()
+
+
 def parse(files: DataFrame) -> DataFrame:
     """(sha256, page_number, text, needs_ocr, error) of checked files without an error."""
+    pdf_readers = list(PDF_READERS)  # as they are set here, not in the workers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        readers = {"text": lambda b: [b.decode()], "docx": lambda b: [docx_text(b)], "pdf": pdf_pages}
+        readers = {"text": lambda b: [b.decode()], "docx": lambda b: [docx_text(b)], "pdf": lambda b: pdf_pages(b, pdf_readers)}
         for pdf in batches:
             rows = []
             for sha, kind, data in zip(pdf["sha256"], pdf["kind"], pdf["content"]):
@@ -133,3 +181,53 @@ def ocr(images: DataFrame, engine: OcrEngine, languages: str = "tam+eng") -> Dat
             yield pd.DataFrame(rows, columns=["sha256", "page_number", "text", "ocr_confidence", "ocr_engine", "ocr_blocks"])
 
     return images.mapInPandas(run, "sha256 string, page_number int, text string, ocr_confidence double, ocr_engine string, ocr_blocks array<struct<text:string,confidence:double,bbox:array<int>>>")
+
+
+def damaged(files: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Files (path, sha256) whose content is not what was recorded (path, sha256) of them."""
+    return files.select("path", "sha256").join(recorded.select("path", F.col("sha256").alias("recorded")), "path").where("sha256 <> recorded")
+
+
+def admitted(files: DataFrame, existing: DataFrame) -> DataFrame:
+    """Checked files (workspace_id, path, sha256, error, at) with ``error`` 'duplicate' where the
+    workspace holds the same content already (``existing``: workspace_id, sha256) or an earlier
+    file of the batch brings it. Other workspaces do not matter."""
+    known = existing.select("workspace_id", "sha256").distinct().withColumn("_known", F.lit(True))
+    good = F.when(F.col("error").isNull(), 0).otherwise(1)
+    first = F.row_number().over(Window.partitionBy("workspace_id", "sha256").orderBy(good, "at", "path"))
+    marked = files.withColumn("_n", first).join(known, ["workspace_id", "sha256"], "left")
+    twice = F.col("_known") | (F.col("_n") > 1)
+    return marked.withColumn("error", F.when(F.col("error").isNull() & F.coalesce(twice, F.lit(False)), "duplicate").otherwise(F.col("error"))).drop("_n", "_known")
+
+
+def blob_key(workspace: Column, document: Column, sha256: Column, version: int = 1) -> Column:
+    """Where the content of a version is kept."""
+    return F.concat(F.lit("workspaces/"), workspace, F.lit("/documents/"), document, F.lit(f"/v{version}-"), F.substring(sha256, 1, 16))
+
+
+def store_blobs(files: DataFrame, path: str) -> None:
+    """Write content once under its key; files with an error are not stored. Appending what is
+    there already is left out, so a repeated call changes nothing."""
+    rows = files.where("error is null").select("key", "content", "sha256").dropDuplicates(["key"])
+    try:
+        rows = rows.join(files.sparkSession.read.parquet(path).select("key"), "key", "left_anti")
+    except AnalysisException:  # nothing there yet
+        pass
+    rows.write.mode("append").parquet(path)
+
+
+def pages_of(files: DataFrame, engine: OcrEngine, render: Callable[[bytes, int], bytes] | None = None, languages: str = "tam+eng") -> DataFrame:
+    """(sha256, page_number, text, ocr_engine, ocr_confidence, error) of checked files: parsed
+    text, and where a page has next to none, what the engine reads of its image."""
+    parsed = parse(files)
+    draw = page_image if render is None else render
+    asked = parsed.where("needs_ocr").join(files.where("kind = 'pdf'").select("sha256", "content").dropDuplicates(["sha256"]), "sha256")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["sha256", "page_number"]].assign(image=[draw(bytes(c), int(n)) for c, n in zip(pdf["content"], pdf["page_number"])])
+
+    images = asked.select("sha256", "page_number", "content").mapInPandas(run, "sha256 string, page_number int, image binary")
+    read = ocr(images, engine, languages).select("sha256", "page_number", F.col("text").alias("seen"), "ocr_confidence", "ocr_engine")
+    joined = parsed.join(read, ["sha256", "page_number"], "left")
+    return joined.select("sha256", "page_number", F.when(F.col("ocr_engine").isNotNull(), F.col("seen")).otherwise(F.col("text")).alias("text"), "ocr_engine", "ocr_confidence", "error")

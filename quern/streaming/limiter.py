@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def admit(times: Iterator[float], limit: int, window: float, recent: deque | None = None) -> tuple[list[bool], deque]:
+def admit(times: Iterable[float], limit: int, window: float, recent: deque | None = None) -> tuple[list[bool], deque]:
     """Whether each event, in order of time, is admitted; and the admitted ones still counting."""
     if limit < 1:
         raise ValueError("limit must be at least 1")
@@ -32,15 +33,17 @@ def admit_batch(events: DataFrame, key: str, time: str, order: str, limit: int,
     schema = ", ".join(f"`{n}` {t}" for n, t in events.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        states: dict = {}
-        current = None
+        current, recent = None, deque()
         for pdf in batches:
-            out = []
-            for k, t in zip(pdf[key], pdf[time]):
-                if k != current:
-                    states, current = {}, k
-                ok, states[k] = admit(iter([t]), limit, window_seconds, states.get(k))
-                out.append(ok[0])
+            keys, times = pdf[key].to_numpy(), pdf[time].to_numpy()
+            starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+            out: list[bool] = []
+            for a, b in zip(starts, starts[1:]):
+                if a < b:
+                    if keys[a] != current:
+                        current, recent = keys[a], deque()
+                    ok, recent = admit(times[a:b], limit, window_seconds, recent)
+                    out += ok
             yield pdf.assign(admitted=out)
 
     return events.repartition(key).sortWithinPartitions(key, time, order).mapInPandas(run, f"{schema}, admitted boolean")

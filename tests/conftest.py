@@ -40,7 +40,7 @@ def oracle(sf):
     def plain(v):
         if not isinstance(v, (list, dict)) and pd.isna(v):
             return ""
-        return round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     def both(df, sql):
         a, b = df.toPandas(), con.execute(sql).df()

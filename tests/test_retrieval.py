@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import retrieval as R
 from quern.scope import TenantScope
@@ -21,6 +22,67 @@ def test_rerank_bounds(spark):
     assert got["p", "a"].normalized_score == got["p", "b"].normalized_score == 1.0 and got["p", "a"].rerank_rank == 1
 
 
+def test_reranker_port(spark):
+    df = spark.createDataFrame([("q", "a", 1, "x", "y"), ("q", "b", 2, "x", "x"), ("q", "c", 3, "x", "x")], "query_id string, chunk_id string, position int, query string, content string")
+
+    def fails(queries, passages):
+        raise RuntimeError("down")
+
+    R.RERANKERS.update(fails=fails, short=lambda q, p: [1.0])
+    got = sorted((r.rerank_rank, r.chunk_id, r.raw_score, r.normalized_score) for r in R.rerank(df, reranker="fails", tolerant=True).collect())
+    assert got == [(1, "a", 0.0, 0.0), (2, "b", 0.0, 0.0), (3, "c", 0.0, 0.0)]
+    for name, tolerant in (("fails", False), ("short", True)):
+        with pytest.raises(Exception, match="down|scores for"):
+            R.rerank(df.coalesce(1), reranker=name, tolerant=tolerant).collect()
+    del R.RERANKERS["fails"], R.RERANKERS["short"]
+    assert R.rerank(df.limit(0)).count() == 0
+
+
+def test_top_k():
+    assert [R.clamp_top_k(x) for x in (None, 3, 500)] == [10, 3, 50] and R.clamp_top_k(None, R.ANSWER_TOP_K, R.MAX_ANSWER_TOP_K) == 8 and R.clamp_top_k(99, most=R.MAX_ANSWER_TOP_K) == 20
+    with pytest.raises(ValueError):
+        R.clamp_top_k(0)
+
+
+def test_dense_search_by_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = [(i, "ab"[i % 2], rng.normal(size=8).round(1).tolist()) for i in range(120)] + [(200, "a", None), (201, "a", [0.0] * 8), (202, "a", [1.0]), (203, "a", [1.0] * 8), (204, "a", [1.0] * 8)]
+    asked = [(1, "a", [1.0] * 8), (2, "b", rng.normal(size=8).tolist()), (3, "z", [1.0] * 8), (4, "a", [0.0] * 8), (5, "a", None)]
+    v, q = spark.createDataFrame(vectors, "id int, ws string, vec array<float>"), spark.createDataFrame(asked, "query_id int, ws string, query_vec array<float>")
+    for block in (8192, 16):
+        monkeypatch.setattr(R, "BLOCK_ROWS", block)
+        got = {(r.query_id, r["rank"]): r.id for r in R.dense_search(q, v, ["ws"], 7).collect()}
+        want = {}
+        for k, ws, x in asked[:2]:
+            ok = [(round(-float(np.dot(x, w) / np.linalg.norm(x) / np.linalg.norm(w)), 9), i) for i, s, w in vectors if s == ws and w and len(w) == 8 and any(w)]
+            want |= {(k, n): i for n, (_, i) in enumerate(sorted(ok)[:7], 1)}
+        assert got == want
+
+
+def test_cells_hold_every_vector(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(200)], "id int, vec array<float>")
+    q = v.where("id < 10").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    centres = R.train_cells(v, 8)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.id) for r in df.collect())
+    exact = rows(R.dense_search(q, v, [], 5))
+    assert rows(R.probed_search(q, v, [], centres, 8, 5)) == exact
+    some = rows(R.probed_search(q, v, [], centres, 4, 5))
+    assert len({(a, c) for a, _, c in some} & {(a, c) for a, _, c in exact}) >= 0.7 * len(exact)
+
+
+def test_kept_index(spark, tmp_path):
+    chunks = spark.createDataFrame([("w", "c1", "Rent rent due"), ("w", "c2", "rent"), ("other", "c3", "rent")], "workspace_id string, chunk_id string, content string")
+    terms = spark.createDataFrame([("w", "rent"), ("w", "nothing")], "workspace_id string, term string")
+    R.save_index(R.postings(chunks), str(tmp_path / "i"), 4)
+    rows = lambda df: sorted((r.workspace_id, r.term, r.chunk_id, r.tf) for r in df.collect())
+    assert rows(R.load_index(spark, str(tmp_path / "i"), terms, 4)) == rows(R.postings(chunks, terms)) == [("w", "rent", "c1", 2), ("w", "rent", "c2", 1)]
+
+
 def test_lexical_counts_positions(spark):
     chunks = spark.createDataFrame([("w", "c1", "Rent rent due"), ("w", "c2", "rent"), ("other", "c3", "rent")], "workspace_id string, chunk_id string, content string")
     q = spark.createDataFrame([("q", "w", "rent", None, ["due", "rent"])], "query_id string, workspace_id string, normalized string, transliterated string, expansions array<string>")
