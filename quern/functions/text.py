@@ -204,11 +204,17 @@ def tokens_of(text: str) -> list[str]:
     return _TOKEN.findall(match_form(text))
 
 
+@functools.lru_cache(1 << 17)
+def _grams(token: str) -> tuple[str, ...]:
+    """A word and its letter triples; words recur far more often than texts."""
+    padded = f"#{token}#"
+    return (token, *[padded[i : i + 3] for i in range(len(token))])
+
+
 @functools.lru_cache(1 << 13)
 def features_of(text: str) -> frozenset[str]:
     """Words and letter triples of a text, as feature_set gives them."""
-    found = set(tokens_of(text))
-    return frozenset(found.union(*[[f"#{t}#"[i : i + 3] for i in range(len(t))] for t in found]))
+    return frozenset().union(*map(_grams, tokens_of(text)))
 
 
 def slug(c: Column) -> Column:

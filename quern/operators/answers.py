@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.text import WORDS, features_of, normalize_for_match, strip, tokens_of, words
+from quern.session import dealt_for_work
 
 # Words that carry numbers, dates, polarity, conditions, or no content.
 NUMBER_WORDS = {
@@ -72,7 +73,7 @@ def best_claims(rows: DataFrame, limit: int = MAX_CLAIMS) -> DataFrame:
 
     kinds = dict(rows.dtypes)
     columns = ["query_id", "chunk_id", "rank", "query", "content"]
-    claims = rows.select(*columns).mapInPandas(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, rank {kinds['rank']}, start int, sentence string, overlap double")
+    claims = dealt_for_work(rows.select(*columns), "chunk_id", "query_id").mapInPandas(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, rank {kinds['rank']}, start int, sentence string, overlap double")
     w = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "rank", "chunk_id")
     return claims.withColumn("claim_index", F.row_number().over(w) - 1).where(F.col("claim_index") < limit)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.functions.text import features_of, index_terms
 from quern.scope import TenantScope, deliveries
+from quern.session import dealt_for_work
 
 # Limits and constants of the search pipeline.
 CANDIDATES, RRF_K, RERANK_POOL, TOP_K, MAX_TOP_K, OCCURRENCE = 50, 60, 30, 10, 50, 0.1
@@ -234,7 +235,7 @@ def rerank_scores(rows: DataFrame, query: str = "query", passage: str = "content
             yield pdf.assign(raw_score=pd.array(raw, dtype="Float64"))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.mapInPandas(run, schema + ", raw_score double")
+    return dealt_for_work(rows, "chunk_id", "query_id").mapInPandas(run, schema + ", raw_score double")
 
 
 def _scaled(raw: str, low: Column, high: Column) -> Column:

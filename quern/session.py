@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -45,3 +45,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def dealt_for_work(df: DataFrame, key: str, other: str, salts: int = 16) -> DataFrame:
+    """df dealt out before much work on few bytes, which adaptive execution would leave to a few
+    tasks. Rows of one key mostly stay together, for what is worked out once per key; a hot key
+    is parted by the other column."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, F.col(key), F.pmod(F.xxhash64(other), F.lit(salts)))
