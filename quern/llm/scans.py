@@ -25,7 +25,8 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
 from quern.llm.common import checkpointed, table
 from quern.llm.sentences import plain, token_script
@@ -35,8 +36,9 @@ BREAK_MARKS = "-‐¬­"
 OUTER = "\"'“”‘’.,;:!?()[]{}…|।॥*•#"
 #: Known words held by each worker; further ones are joined.
 LOCAL_WORDS = 500_000
-#: Words of one trie; larger vocabularies are searched shard by shard.
-SHARD_WORDS, BLOCKS = 250_000, 24
+#: Words of one trie; larger vocabularies are searched shard by shard. Words or forms looked up by
+#: one task, and the least number of tasks.
+SHARD_WORDS, ASKED_WORDS, BLOCKS = 250_000, 20_000, 24
 #: A misread form is so many times rarer than the word it stands for.
 RARER = 10
 #: Share of the misread forms sure by their count that a misreading has at least to be a usual one.
@@ -69,6 +71,11 @@ def masked(t: str) -> str:
     return DIGITS.sub("0", t)
 
 
+def mask(c: Column) -> Column:
+    """The same of a column."""
+    return F.regexp_replace(c, r"\p{Nd}+", "0")
+
+
 def is_code(t: str) -> bool:
     """File numbers and the like: letters and digits apart."""
     return bool(re.fullmatch(r"[a-z]{1,4}(?:[/.-]?\d+)+", t)) and "/" in t
@@ -244,7 +251,20 @@ class Forms:
         return any(2 * _common(places, n, g) >= LIKE * (n + len(g)) and _like(f, g) for g in candidates)
 
 
-SUMMARY = "page_id string, version_id string, page_number int, top_no int, top string, top_gap boolean, bottom_no int, bottom string, bottom_gap boolean, first_1 string, first_2 string, last_1 string, last_2 string, apart array<string>"
+SUMMARY = "page_id string, version_id string, page_number int, top_no int, top string, top_gap boolean, bottom_no int, bottom string, bottom_gap boolean, first_1 string, first_2 string, last_1 string, last_2 string, apart array<string>, top_known string, top_form string, bottom_known string, bottom_form string"
+
+
+def _known_form(line: str) -> str | None:
+    """The form of an edge line as far as it may show what runs elsewhere."""
+    return None if TERMINATED.search(line) and not line.endswith(".") else form(line)
+
+
+def _asked_form(line: str, at: str) -> str | None:
+    """The form of an edge line where it depends on its form whether the line runs."""
+    if page_numbers(line) or TERMINATED.search(line) and at == "top":
+        return None
+    f = form(line)
+    return f if len(f) >= 4 else None
 
 
 def _summary(pdf: pd.DataFrame) -> Iterator[tuple]:
@@ -257,7 +277,9 @@ def _summary(pdf: pd.DataFrame) -> Iterator[tuple]:
         blank = lambda i: not 0 <= i < len(rows) or not rows[i].strip()
         apart = [f for i in solid[1:-1] if len(rows[i]) <= 50 and blank(i - 1) and blank(i + 1) and not TERMINATED.search(rows[i].rstrip()) and (f := form(rows[i]))]
         word = lambda k, end: rows[solid[k]].split()[end] if -len(solid) <= k < len(solid) else None
-        yield page, version, number, a + 1, rows[a].strip(), blank(a + 1), b + 1, rows[b].strip(), blank(b - 1), word(0, 0), word(1, 0), word(-1, -1), word(-2, -1), apart
+        top, bottom = rows[a].strip(), rows[b].strip()
+        forms = _known_form(top), _asked_form(top, "top"), _known_form(bottom), _asked_form(bottom, "bottom")
+        yield page, version, number, a + 1, top, blank(a + 1), b + 1, bottom, blank(b - 1), word(0, 0), word(1, 0), word(-1, -1), word(-2, -1), apart, *forms
 
 
 def summaries(pages: DataFrame) -> DataFrame:
@@ -275,21 +297,26 @@ def summaries(pages: DataFrame) -> DataFrame:
 def edge_forms(edges: DataFrame) -> DataFrame:
     """(edge, form) of headers and of labelled page numbers that recur in at least two versions,
     and more often there than as lines standing alone within pages."""
-    make = F.udf(lambda x: None if x is None or TERMINATED.search(x) and not x.rstrip().endswith(".") else form(x), "string")
-    top = edges.where("top_gap").select(F.lit("top").alias("edge"), make("top").alias("form"), F.col("top").alias("line"), "version_id")
-    bottom = edges.select(F.lit("bottom").alias("edge"), make("bottom").alias("form"), F.col("bottom").alias("line"), "version_id").where(F.col("line").rlike(r"\d") & (F.size(F.split("form", " ")) <= LABEL_WORDS))
+    top = edges.where("top_gap").select(F.lit("top").alias("edge"), F.col("top_known").alias("form"), F.col("top").alias("line"), "version_id")
+    bottom = edges.select(F.lit("bottom").alias("edge"), F.col("bottom_known").alias("form"), F.col("bottom").alias("line"), "version_id").where(F.col("line").rlike(r"\d") & (F.size(F.split("form", " ")) <= LABEL_WORDS))
     ends = F.col("line").rlike(r"[.!?।॥。！？][\"'”’)\]]*$")
-    seen = top.unionByName(bottom).where(~ends & F.col("form").isNotNull() & (F.length("form") >= 4)).groupBy("edge", "form").agg(F.approx_count_distinct("version_id").alias("n"))
+    met = top.unionByName(bottom).where(~ends & F.col("form").isNotNull() & (F.length("form") >= 4)).select("edge", "form", "version_id").distinct()
+    seen = met.groupBy("edge", "form").agg(F.count("version_id").alias("n"))
     within = edges.select(F.explode("apart").alias("form")).groupBy("form").agg(F.count("*").alias("m"))
     return seen.join(within, "form", "left").where((F.col("n") >= 2) & (F.coalesce("m", F.lit(0)) < F.col("n"))).select("edge", "form")
 
 
+def _blocks(asked: DataFrame) -> int:
+    """How many tasks share the rows asked for: as many as keep each bounded."""
+    return max(BLOCKS, -(-asked.count() // ASKED_WORDS))
+
+
 def like_forms(asked: DataFrame, known: DataFrame) -> DataFrame:
     """The rows (edge, form) of ``asked`` that are like a known form of their edge. Asked forms are
     dealt into blocks and known ones into shards; each cell of that grid is a task."""
-    shards = max(1, -(-known.count() // SHARD_FORMS))
-    left = asked.select("edge", "form", F.pmod(F.xxhash64("form"), F.lit(BLOCKS)).alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = known.select("edge", "form", F.pmod(F.xxhash64("form"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    shards, blocks = max(1, -(-known.count() // SHARD_FORMS)), _blocks(asked)
+    left = asked.select("edge", "form", F.pmod(F.xxhash64("form"), F.lit(blocks)).alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = known.select("edge", "form", F.pmod(F.xxhash64("form"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def search(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         forms = {edge: Forms(list(g["form"])) for edge, g in known.groupby("edge")} if len(asked) else {}
@@ -298,20 +325,10 @@ def like_forms(asked: DataFrame, known: DataFrame) -> DataFrame:
     return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "edge string, form string").distinct()
 
 
-def _asked(line: str | None, at: str) -> str | None:
-    """The form of an edge line where it depends on its form whether the line runs."""
-    if line is None or page_numbers(line) or TERMINATED.search(line) and at == "top":
-        return None
-    f = form(line)
-    return f if len(f) >= 4 else None
-
-
 def running_lines(edges: DataFrame) -> DataFrame:
     """edges with ``top_runs`` and ``bottom_runs``."""
     known = checkpointed(edge_forms(edges))
-    make = F.udf(_asked, "string")
-    asking = edges.withColumn("top_form", make("top", F.lit("top"))).withColumn("bottom_form", make("bottom", F.lit("bottom")))
-    asked = checkpointed(asking.select(F.inline(F.array(*[F.struct(F.lit(e).alias("edge"), F.col(f"{e}_form").alias("form")) for e in ("top", "bottom")]))).where("form is not null").distinct())
+    asked = checkpointed(edges.select(F.inline(F.array(*[F.struct(F.lit(e).alias("edge"), F.col(f"{e}_form").alias("form")) for e in ("top", "bottom")]))).where("form is not null").distinct())
     exact = asked.join(known, ["edge", "form"], "left_semi")
     like = exact.unionByName(like_forms(asked.join(known, ["edge", "form"], "left_anti"), known)).withColumn("like", F.lit(True))
     apart = edges.select(F.explode("apart").alias("form")).groupBy("form").agg(F.count("*").alias("m")).where("m >= 2").select("form", F.lit(True).alias("apart"))
@@ -322,7 +339,7 @@ def running_lines(edges: DataFrame) -> DataFrame:
         "version_id", (F.col("of") + F.col("step")).alias("page_number"), F.struct(F.col("step").alias("step"), "top", "bottom").alias("other")
     )
     others = told.groupBy("version_id", "page_number").agg(F.collect_list("other").alias("others"))
-    joined = asking.drop("apart").join(others, ["version_id", "page_number"], "left")
+    joined = edges.drop("apart", "top_known", "bottom_known").join(others, ["version_id", "page_number"], "left")
     for e in ("top", "bottom"):
         of = facts.where(F.col("edge") == e).select(F.col("form").alias(f"{e}_key"), F.col("like").alias(f"{e}_like"), F.col("apart").alias(f"{e}_apart"))
         # Lines that ask nothing are spread by their page.
@@ -385,9 +402,9 @@ def vocabulary(pages: DataFrame) -> DataFrame:
 def corrections(types: DataFrame, words: DataFrame, size: int) -> DataFrame:
     """(type, distance, word, n) of all nearest words of each type. Types are dealt into blocks
     and the vocabulary into shards; each cell of that grid is a task."""
-    shards = max(1, -(-size // SHARD_WORDS))
-    left = types.select("type", F.pmod(F.xxhash64("type"), F.lit(BLOCKS)).alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = words.select(F.col("type").alias("word"), "n", F.pmod(F.xxhash64("type"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    shards, blocks = max(1, -(-size // SHARD_WORDS)), _blocks(types)
+    left = types.select("type", F.pmod(F.xxhash64("type"), F.lit(blocks)).alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = words.select(F.col("type").alias("word"), "n", F.pmod(F.xxhash64("type"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def search(types: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         trie = Trie(dict(zip(words["word"], words["n"]))) if len(types) else None
@@ -406,6 +423,11 @@ def edits(word: str, form: str) -> list[str]:
     return [f"{word[i:j]}>{form[k:n]}" for op, i, j, k, n in SequenceMatcher(None, word, form, autojunk=False).get_opcodes() if op != "equal"]
 
 
+@pandas_udf(T.ArrayType(T.StringType()))
+def edits_of(words: pd.Series, forms: pd.Series) -> pd.Series:
+    return pd.Series([edits(w, f) for w, f in zip(words, forms)])
+
+
 # ---------------------------------------------------------------- lines to rows
 
 
@@ -478,10 +500,11 @@ class ScanRepair:
         e = self.edges
         first = F.when(F.col("top_runs"), F.col("first_2")).otherwise(F.col("first_1"))
         last = F.when(F.col("bottom_runs"), F.col("last_2")).otherwise(F.col("last_1"))
-        after = e.groupBy("version_id", (F.col("page_number") - 1).alias("page_number")).agg(F.min(first).alias("next_word"))
-        before = e.groupBy("version_id", (F.col("page_number") + 1).alias("page_number")).agg(F.min(last).alias("previous_word"))
-        own = e.select("page_id", "version_id", "page_number", "top_no", "top_runs", "bottom_no", "bottom_runs")
-        return own.join(after, ["version_id", "page_number"], "left").join(before, ["version_id", "page_number"], "left")
+        after = e.groupBy("version_id", (F.col("page_number") - 1).alias("page_number")).agg(F.min(first).alias("next_word"), F.count("*").alias("next_n"))
+        before = e.groupBy("version_id", (F.col("page_number") + 1).alias("page_number")).agg(F.min(last).alias("previous_word"), F.count("*").alias("previous_n"))
+        twins = e.groupBy("version_id", "page_number").agg(F.count("*").alias("own_n"))
+        own = e.select("page_id", "version_id", "page_number", "top_no", "top_runs", "bottom_no", "bottom_runs", first.alias("own_first"), last.alias("own_last"))
+        return own.join(after, ["version_id", "page_number"], "left").join(before, ["version_id", "page_number"], "left").join(twins, ["version_id", "page_number"], "left")
 
     def rows(self) -> DataFrame:
         spark = self.pages.sparkSession
@@ -499,15 +522,14 @@ class ScanRepair:
         if self.size <= LOCAL_WORDS:
             return rows
         # Words beyond the local ones: those known after all are not doubtful.
-        mask = F.udf(masked, "string")
-        doubtful = rows.where("kind = 'word'").withColumn("joined", mask("type")).withColumn("hyphened", mask("other"))
+        doubtful = rows.where("kind = 'word'").withColumn("joined", mask(F.col("type"))).withColumn("hyphened", mask(F.col("other")))
         for way in ("joined", "hyphened"):
             doubtful = doubtful.join(self.words.select(F.col("type").alias(way)), way, "left_anti").drop(way)
         return rows.where("kind <> 'word'").unionByName(doubtful)
 
     def candidates(self, rows: DataFrame) -> DataFrame:
         """All nearest known words of every doubtful one."""
-        return checkpointed(corrections(rows.where("kind = 'word'").select("type").distinct(), self.words, self.size))
+        return checkpointed(corrections(checkpointed(rows.where("kind = 'word'").select("type").distinct()), self.words, self.size))
 
     def misread(self, rows: DataFrame, nearest: DataFrame) -> DataFrame:
         """Rows of doubtful words that were misread: far rarer than a word nearby, oddly made, or
@@ -519,20 +541,19 @@ class ScanRepair:
         best = nearest.groupBy("type").agg(F.max("n").alias("n"), F.max_by("word", F.struct("n", "word")).alias("word"))
         odd = F.col("type").rlike(r"[@]|\p{L}\d|\d\p{L}")
         told = checkpointed(counts.join(best, "type", "left").withColumn("sure", odd | (F.col("n") >= F.col("times") * RARER)))
-        split = F.udf(edits, "array<string>")
         rarer = told.where(F.col("n") >= F.col("times") * RARER)
-        ways = rarer.select(F.explode(F.array_distinct(split("word", "type"))).alias("way")).groupBy("way").count()
+        ways = rarer.select(F.explode(F.array_distinct(edits_of("word", "type"))).alias("way")).groupBy("way").count()
         usual = [r.way for r in ways.where(F.col("count") >= F.lit(USUAL * rarer.count())).collect()]  # a few to each 1 / USUAL
         unsure = told.where(~F.coalesce("sure", F.lit(False))).select("type", "times").join(nearest.select("type", "word", "n"), "type").where("n >= times")
         taken = F.array(*[F.lit(w) for w in usual]) if usual else F.lit(None).cast("array<string>")
-        likely = unsure.where(F.size(F.array_except(split("word", "type"), taken)) == 0).select("type").distinct()
+        likely = unsure.where(F.size(F.array_except(edits_of("word", "type"), taken)) == 0).select("type").distinct()
         return doubtful.join(told.where("sure").select("type").unionByName(likely), "type")
 
     def breaks(self, rows: DataFrame) -> DataFrame:
         """Line ends within a word that is written without a hyphen."""
         b = rows.where("kind = 'break'")
         words = self.words.select("type", F.col("n"))
-        b = b.withColumn("m1", F.regexp_replace("type", r"\d+", "0")).withColumn("m2", F.regexp_replace("other", r"\d+", "0"))
+        b = b.withColumn("m1", mask(F.col("type"))).withColumn("m2", mask(F.col("other")))
         b = b.join(words.select(F.col("type").alias("m1"), F.col("n").alias("joined_n")), "m1", "left").join(words.select(F.col("type").alias("m2"), F.col("n").alias("hyphened_n")), "m2", "left")
         j, h = F.coalesce("joined_n", F.lit(0)), F.coalesce("hyphened_n", F.lit(0))
         return b.where((j > 0) & (j >= h) | (h == 0))
@@ -597,14 +618,29 @@ def _corrected(token: str, words: dict[str, str]) -> str:
     return token.replace(core, word, 1)
 
 
-def reflowed(text: str, running: set[int], joins: set[int], words: dict[tuple[int, str], str]) -> list[str]:
-    """Paragraphs of a page: running lines dropped, broken words joined, misread ones replaced."""
+def goes_on(last: str | None, first: str | None) -> bool:
+    """Whether a word that ends a page goes on with the first one of the next."""
+    if not last or not first or last[-1] not in BREAK_MARKS or len(last) < 2 or not any(c.isalpha() for c in last):
+        return False
+    return first[0].isalpha() or first[0] in "@0123456789" and len(first) > 1
+
+
+def reflowed(text: str, running: set[int], joins: set[int], words: dict[tuple[int, str], str], ahead: str | None = None, begun: bool = False) -> list[str]:
+    """Paragraphs of a page: running lines dropped, broken words joined, misread ones replaced.
+    ``ahead`` is the rest of the last word, from the next page; ``begun``: the first word is the
+    rest of one that stands on the page before, and is left out here."""
     out: list[list[str]] = [[]]
     glue = False
-    for no, line in enumerate(text.split("\n"), 1):
-        if no in running:
+    rows = text.split("\n")
+    if ahead is not None:  # a line of its own, as the rest of any broken word
+        at = max((i for i, x in enumerate(rows) if x.strip() and i + 1 not in running), default=-1)
+        rows[at + 1 :] = [ahead]
+    for no, line in enumerate(rows, 1):
+        if no in running and not (ahead is not None and no == len(rows)):
             continue
         tokens = line.split()
+        if begun and tokens:
+            tokens, begun = tokens[1:], False
         if not tokens:
             if not glue and out[-1]:
                 out.append([])
@@ -621,7 +657,8 @@ def reflowed(text: str, running: set[int], joins: set[int], words: dict[tuple[in
 
 def repaired(pages: DataFrame) -> DataFrame:
     """(page_id, paragraph_no, text) of every scanned page, in continuous paragraphs. A word that
-    goes on on the next page keeps its first part here."""
+    goes on on the next page stands whole on the page where it begins, and not on the next; where
+    a page number occurs twice in the version, both parts stay where they are."""
     job = ScanRepair(pages)
     rows = checkpointed(job.rows())
     nearest = job.candidates(rows)
@@ -632,16 +669,19 @@ def repaired(pages: DataFrame) -> DataFrame:
         .unionByName(words.select("page_id", "line_no", F.lit("word").alias("kind"), "type", "word"))
     )
     per = notes.groupBy("page_id").agg(F.collect_list(F.struct("line_no", "kind", "type", "word")).alias("notes"))  # bounded by a page
-    scanned = job.edges.select("page_id").join(job.pages.groupBy("page_id").agg(F.min("text").alias("text")), "page_id").join(per, "page_id", "left")
+    lone = (F.col("own_n") == 1) & (F.col("next_n") == 1), (F.col("own_n") == 1) & (F.col("previous_n") == 1)
+    context = job._context().select("page_id", "own_first", "own_last", F.when(lone[0], F.col("next_word")).alias("next_word"), F.when(lone[1], F.col("previous_word")).alias("previous_word"))
+    scanned = context.join(job.pages.groupBy("page_id").agg(F.min("text").alias("text")), "page_id").join(per, "page_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = []
-            for page, text, notes in zip(pdf["page_id"], pdf["text"], pdf["notes"]):
+            for page, text, notes, first, last, after, before in zip(*(pdf[c] for c in ("page_id", "text", "notes", "own_first", "own_last", "next_word", "previous_word"))):
                 notes = list(notes) if notes is not None else []
                 lines = lambda kind: {n["line_no"] for n in notes if n["kind"] == kind}
                 fixes = {(n["line_no"], n["type"]): n["word"] for n in notes if n["kind"] == "word"}
-                found += [(page, k, p) for k, p in enumerate(reflowed(text, lines("running"), lines("join"), fixes))]
+                rest = after if goes_on(last, after) else None
+                found += [(page, k, p) for k, p in enumerate(reflowed(text, lines("running"), lines("join"), fixes, rest, goes_on(before, first)))]
             yield pd.DataFrame(found, columns=["page_id", "paragraph_no", "text"])
 
     return scanned.mapInPandas(run, "page_id string, paragraph_no int, text string")
