@@ -55,6 +55,8 @@ def best_claims(rows: DataFrame, limit: int = MAX_CLAIMS) -> DataFrame:
     """Per query the best sentence of each passage, then the best passages. ``rows`` has
     query_id, query, chunk_id, content and rank (of the passage)."""
 
+    columns = ["query_id", "chunk_id", "rank", "query", "content"]
+
     def best(query: str | None, text: str | None) -> tuple[int, str, float] | None:
         asked = features_of(query) if query else ()
         if not asked or not text:
@@ -64,15 +66,10 @@ def best_claims(rows: DataFrame, limit: int = MAX_CLAIMS) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [best(q, t) for q, t in zip(pdf["query"], pdf["content"])]
-            hit = [f is not None for f in found]
-            out = pdf.loc[hit, ["query_id", "chunk_id", "rank"]]
-            for k, name in enumerate(("start", "sentence", "overlap")):
-                out[name] = [f[k] for f in found if f]
-            yield out
+            found = [(q, c, r, *b) for q, c, r, query, text in zip(*(pdf[n] for n in columns)) if (b := best(query, text))]
+            yield pd.DataFrame(found, columns=["query_id", "chunk_id", "rank", "start", "sentence", "overlap"])
 
     kinds = dict(rows.dtypes)
-    columns = ["query_id", "chunk_id", "rank", "query", "content"]
     claims = dealt_for_work(rows.select(*columns), "chunk_id", "query_id").mapInPandas(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, rank {kinds['rank']}, start int, sentence string, overlap double")
     w = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "rank", "chunk_id")
     return claims.withColumn("claim_index", F.row_number().over(w) - 1).where(F.col("claim_index") < limit)
@@ -238,6 +235,12 @@ def citation(c: str = "") -> Column:
     )
 
 
+def surfaced(checked: DataFrame) -> DataFrame:
+    """The claims that may be shown: supported ones, numbered anew from 0 in their order."""
+    w = Window.partitionBy("query_id").orderBy("claim_index", "chunk_id")
+    return checked.where("verdict = 'supported'").withColumn("claim_index", F.row_number().over(w) - 1)
+
+
 # ---------------------------------------------------------------- decisions and answers
 
 
@@ -299,3 +302,12 @@ def compose(queries: DataFrame, claims: DataFrame, evidence: DataFrame, drafts:
         "query_id", "decision", "decision_reason", status.alias("status"), F.when(answered, F.col("answer")).otherwise(ABSTENTION).alias("answer"),
         F.when(answered, F.col("confidence")).otherwise(0.0).alias("confidence"), "warnings", why.alias("abstention_reason"), "evidence", "supported", "dropped",
     )
+
+
+def to_answers(composed: DataFrame, shown: DataFrame) -> DataFrame:
+    """Composed answers with their claims as an array of (claim_index, text, confidence, citation).
+    An answer that was withheld shows none, even where claims were supported."""
+    claims = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("claim_index", strip(F.col("sentence")).alias("text"), "confidence", citation().alias("citation")))).alias("claims"))  # at most MAX_CLAIMS
+    joined = composed.join(claims, "query_id", "left")
+    none = F.array().cast(joined.schema["claims"].dataType)
+    return joined.withColumn("claims", F.when(F.col("status") == "abstained", none).otherwise(F.coalesce("claims", none)))

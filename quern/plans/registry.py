@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern import model
 from quern.functions import text as tx
-from quern.operators import answers, chunking, citations, embedding, retrieval, safety
+from quern.operators import answers, chunking, citations, embedding, evaluation, query_processing, retrieval, safety
 from quern.plans import sql
 from quern.scope import TenantScope, deliveries
 from quern.session import cut_lineage, shared_folder
@@ -119,12 +119,9 @@ def language_decision(spark, sf):
 
 
 def query_variants(spark, sf):
-    """Forms of each query: only romanised Tamil is folded and transliterated, and the folded
-    form is an expansion only where it differs."""
-    q = _queries(spark, sf).select("query_id", "normalized", (tx.detect_language(F.lower("normalized"))["language"] == "tanglish").alias("roman"))
-    q = q.withColumn("folded", F.when(F.col("roman"), tx.fold_spelling(F.col("normalized"))).otherwise(F.col("normalized")))
-    tamil = F.when(F.col("roman"), tx.transliterate(F.col("folded"))).otherwise(F.col("normalized"))
-    return q.select("query_id", "normalized", tamil.alias("transliterated"), F.when(F.col("folded") != F.col("normalized"), F.col("folded")).alias("expansion"))
+    """Forms of each query, made anew from its normalised text."""
+    q = query_processing.process(_queries(spark, sf).select("query_id", F.col("normalized").alias("typed")), "typed")
+    return q.select("query_id", F.col("typed").alias("normalized"), "transliterated", F.element_at(F.concat("expansions", F.array(F.lit(None).cast("string"))), 1).alias("expansion"))
 
 
 def document_slugs(spark, sf):
@@ -309,6 +306,18 @@ def composed_answers(spark, sf):
     return answers.compose(_queries(spark, sf), checked, kept, drafts)
 
 
+def answer_claims(spark, sf):
+    """The claims that answers show, renumbered, with the place of their quote."""
+    _, _, checked = _drafts(spark, sf)
+    return answers.surfaced(checked).select("query_id", "claim_index", "chunk_id", "start", F.length("sentence").alias("n_chars"), "confidence")
+
+
+def full_answers(spark, sf):
+    """Whole answers: decision, text, claims and their citations."""
+    kept, drafts, checked = _drafts(spark, sf)
+    return answers.to_answers(answers.compose(_queries(spark, sf), checked, kept, drafts), answers.surfaced(checked))
+
+
 def claim_confidence(spark, sf):
     """Confidence of the six leading passages of each query, each taken whole."""
     conf = answers.claim_confidence(F.col("fused_score"), F.col("rerank_score"), answers.query_overlap(F.col("query"), F.col("content")), F.col("ocr_engine"), F.col("ocr_confidence"))
@@ -373,18 +382,23 @@ def rate_limit(spark, sf):
 
 
 def eval_ranking(spark, sf):
-    """Mean reciprocal rank and recall@10 of the fused order against the reranker's first three."""
+    """The fused order measured against the reranker's first three."""
     r = _found(spark, sf, "rerank_rank", "fused_score").where("rerank_rank is not null")
     ranked = retrieval.top_per(r, "query_id", [F.desc("fused_score"), F.asc("chunk_id")], F.lit(2**31 - 1), "position")
-    per = ranked.where("rerank_rank <= 3").groupBy("query_id").agg(F.min("position").alias("first"), F.count_if(F.col("position") <= 10).alias("hits"), F.count("*").alias("n"))
-    return per.agg(F.round(F.avg(1 / F.col("first")), 6).alias("mrr"), F.round(F.avg(F.col("hits") / F.col("n")), 6).alias("recall_at_10"), F.count("*").alias("queries"))
+    return evaluation.ranking_metrics(ranked, F.col("rerank_rank") <= 3, 3, 10)
+
+
+def eval_language(spark, sf):
+    """Whether a query is romanised Tamil, decided by rule and measured against its label."""
+    q = _queries(spark, sf).withColumn("guess", tx.detect_language(F.lower("normalized"))["language"]).withColumn("kind", F.when(F.length("normalized") < 40, "short").otherwise("long"))
+    return evaluation.decision_metrics(q, F.col("language") == "tanglish", F.col("guess") == "tanglish", "kind")
 
 
 _ALL: tuple[Query, ...] = (
     tenant_counts, unbound_scope, ready_gate, filtered_chunks, exact_duplicates, latest_versions, order_preserving_lookup, broken_references, duplicate_keys, late_rows, normalized_text, word_tokens,
     trigram_features, language_decision, query_variants, document_slugs, language_limits, sentence_spans, chunk_documents, chunk_provenance, lexical_topk, kept_index_topk, dense_topk, cell_topk, embedding_counts, rrf_fusion, hydrated, rerank_minmax, rerank_overlap, hybrid_search, search_metadata, evidence, newest_documents,
-    hashing_embeddings, top_claims, claim_split, claim_polarity, verified_claims, composed_answers, claim_confidence, citation_resolve, citation_sentences, injection_signals, injection_rules_hits, invisible_characters,
-    document_safety, rate_limit, eval_ranking,
+    hashing_embeddings, top_claims, claim_split, claim_polarity, verified_claims, composed_answers, answer_claims, full_answers, claim_confidence, citation_resolve, citation_sentences, injection_signals, injection_rules_hits, invisible_characters,
+    document_safety, rate_limit, eval_ranking, eval_language,
 )
 
 

@@ -134,9 +134,9 @@ d AS (SELECT *, CASE WHEN n = 0 THEN 'unknown' WHEN t >= .15 AND l >= .15 THEN C
         "language_decision": f"""WITH {QUERIES}, {decided} SELECT query_id, language,
  round(CASE WHEN n = 0 THEN 0 WHEN t >= .15 AND l >= .15 THEN CASE WHEN t >= l THEN least(.55 + .4 * t, .95) ELSE least(.5 + .3 * l, .9) END WHEN t >= .85 THEN least(.7 + .3 * t, .99) WHEN m >= .4 THEN least(.6 + m, .95) WHEN m > 0 THEN .5 + m WHEN n < 3 THEN least(.6 + .3 * l, .5) ELSE least(.6 + .3 * l, .95) END::DOUBLE, 6) AS confidence FROM d""",
         "language_limits": f"WITH {QUERIES}, {decided} SELECT query_id, concat_ws(',', CASE WHEN n = 0 THEN 'no_letters' END, CASE WHEN n > 0 AND n < 3 THEN 'short_text' END, CASE WHEN tam > 0 AND lat > 0 THEN 'mixed_script' END) AS limitations FROM d",
-        "query_variants": f"""WITH {QUERIES}, {decided},
+        "query_variants": f"""WITH {QUERIES.replace("q AS", "q0 AS", 1)}, q AS (SELECT query_id, {normalized("normalized")} AS normalized, normalized AS typed FROM q0), {decided},
 g AS (SELECT *, CASE WHEN language = 'tanglish' THEN {swapped('normalized', '[\\p{L}\\p{Nl}\\p{No}]+|[^\\p{L}\\p{Nl}\\p{No}]+', spell)} ELSE normalized END AS folded FROM d)
-SELECT query_id, normalized, CASE WHEN language = 'tanglish' THEN {swapped('folded', '(?i)' + '|'.join(groups) + '|(?s:.)', roman)} ELSE normalized END AS transliterated, CASE WHEN folded <> normalized THEN folded END AS expansion FROM g""",
+SELECT query_id, typed AS normalized, CASE WHEN language = 'tanglish' THEN {swapped('folded', '(?i)' + '|'.join(groups) + '|(?s:.)', roman)} ELSE g.normalized END AS transliterated, CASE WHEN folded <> g.normalized THEN folded END AS expansion FROM g JOIN q USING (query_id)""",
         "document_slugs": "SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '[^a-z0-9-]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug, lower(trim(' Clerk.' || source || '@Example.ORG ')) AS contact FROM documents",
         "sentence_spans": f"WITH {_sentences('documents', 'doc_id', 'text')} SELECT doc_id, sent_start, length(piece)::INT AS sent_length, piece AS sentence FROM s",
         "chunk_provenance": f"""WITH cc AS (SELECT chunk_id, any_value(version_id) AS version_id, any_value(page_number) AS page_number, any_value(content) AS content, any_value(char_start) AS char_start, any_value(char_end) AS char_end, any_value(token_count) AS token_count, any_value(section) AS section, any_value(ocr_confidence) AS ocr_confidence FROM chunks GROUP BY chunk_id),
@@ -191,6 +191,12 @@ walk AS (
 SELECT user_id, max(admitted) AS admitted, max(rejected) AS rejected FROM walk GROUP BY 1""",
         "invisible_characters": f"WITH {CHUNKS}, n AS (SELECT chunk_id, (length(content) - length(regexp_replace(content, '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{2060}}\\x{{FEFF}}\\x{{00AD}}\\x{{180E}}]', '', 'g')))::INT AS n FROM c) SELECT chunk_id, n FROM n WHERE n > 0",
         "eval_ranking": f"""WITH {FOUND}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, chunk_id) AS position FROM r WHERE rerank_rank IS NOT NULL),
-e AS (SELECT query_id, min(position) AS first, count(*) FILTER (WHERE position <= 10) AS hits, count(*) AS n FROM p WHERE rerank_rank <= 3 GROUP BY 1)
-SELECT round(avg(1 / first), 6) AS mrr, round(avg(hits / n), 6) AS recall_at_10, count(*) AS queries FROM e""",
+e AS (SELECT query_id, count(*) AS n, min(position) AS first, count(*) FILTER (WHERE position <= 3) AS h3, count(*) FILTER (WHERE position <= 10) AS h10, coalesce(sum(1 / log2(position + 1)) FILTER (WHERE position <= 3), 0) AS g3, coalesce(sum(1 / log2(position + 1)) FILTER (WHERE position <= 10), 0) AS g10 FROM p WHERE rerank_rank <= 3 GROUP BY 1),
+i AS (SELECT *, list_sum(list_transform(range(1, least(n, 3) + 1), lambda k: 1 / log2(k + 1))) AS i3, list_sum(list_transform(range(1, least(n, 10) + 1), lambda k: 1 / log2(k + 1))) AS i10 FROM e)
+SELECT count(*) AS queries, round(avg((first = 1)::INT), 6) AS top_1, round(avg(1 / first), 6) AS mrr, round(avg(h3 / n), 6) AS recall_3, round(avg(g3 / i3), 6) AS ndcg_3, round(avg(h10 / n), 6) AS recall_10, round(avg(g10 / i10), 6) AS ndcg_10 FROM i""",
+        "eval_language": f"""WITH {QUERIES}, {decided},
+l AS (SELECT query_id, any_value(language) AS label FROM processed_queries GROUP BY 1),
+m AS (SELECT label = 'tanglish' AS t, d.language = 'tanglish' AS p, CASE WHEN length(normalized) < 40 THEN 'short' ELSE 'long' END AS kind FROM d JOIN l USING (query_id) WHERE label IS NOT NULL)
+SELECT kind, count(*) AS n, round(count(*) FILTER (WHERE t AND p) / nullif(count(*) FILTER (WHERE t), 0), 6) AS recall, round(count(*) FILTER (WHERE t AND p) / nullif(count(*) FILTER (WHERE p), 0), 6) AS precision,
+ round(count(*) FILTER (WHERE NOT t AND NOT p) / nullif(count(*) FILTER (WHERE NOT t), 0), 6) AS specificity, round(count(*) FILTER (WHERE t = p) / count(*), 6) AS accuracy FROM m GROUP BY 1""",
     }

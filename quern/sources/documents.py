@@ -158,6 +158,56 @@ class NullOcr:
         return []
 
 
+class TesseractOcr:
+    """By the optional library; words it is not sure of at all (below 0) are dropped."""
+
+    name = "tesseract"
+
+    def read(self, image: bytes, languages: str) -> list[tuple[str, float, list[tuple[float, float]]]]:
+        import pytesseract
+        from PIL import Image
+
+        d = pytesseract.image_to_data(Image.open(io.BytesIO(image)), lang=languages, output_type=pytesseract.Output.DICT)
+        return [
+            (t, float(c) / 100, [(x, y), (x + w, y), (x + w, y + h), (x, y + h)])
+            for t, c, x, y, w, h in zip(d["text"], d["conf"], d["left"], d["top"], d["width"], d["height"]) if float(c) >= 0 and t.strip()
+        ]
+
+
+class PaddleOcr:
+    """By the optional library, which takes one language."""
+
+    name = "paddle"
+
+    def read(self, image: bytes, languages: str) -> list[tuple[str, float, list[tuple[float, float]]]]:
+        import numpy as np
+        from paddleocr import PaddleOCR
+        from PIL import Image
+
+        return self.blocks(PaddleOCR(lang=ocr_language(languages)).ocr(np.asarray(Image.open(io.BytesIO(image)))))
+
+    @staticmethod
+    def blocks(raw: object) -> list[tuple[str, float, list[tuple[float, float]]]]:
+        """Blocks [corners, (text, score)] at any depth of nested lists; those whose score is no
+        share are dropped."""
+        out, stack = [], [raw]
+        while stack:
+            x = stack.pop()
+            if not isinstance(x, (list, tuple)):
+                continue
+            if len(x) == 2 and isinstance(x[1], (list, tuple)) and len(x[1]) == 2 and isinstance(x[1][0], str):
+                score = float(x[1][1])
+                if 0.0 <= score <= 1.0:
+                    out.append((x[1][0], score, [(float(a), float(b)) for a, b in x[0]]))
+            else:
+                stack += reversed(x)
+        return out
+
+
+#: OCR engines by name.
+OCR_ENGINES: dict[str, type] = {e.name: e for e in (NullOcr, TesseractOcr, PaddleOcr)}
+
+
 def box(corners: list[tuple[float, float]]) -> tuple[int, int, int, int]:
     """Left, top, width and height around a polygon."""
     xs, ys = [int(x) for x, _ in corners], [int(y) for _, y in corners]
@@ -205,6 +255,13 @@ def blob_key(workspace: Column, document: Column, sha256: Column, version: int =
     return F.concat(F.lit("workspaces/"), workspace, F.lit("/documents/"), document, F.lit(f"/v{version}-"), F.substring(sha256, 1, 16))
 
 
+def accepted(files: DataFrame, existing: DataFrame) -> DataFrame:
+    """Uploads (workspace_id, document_id, path, content, mime, at) taken through all checks: the
+    first that fails gives the error code, the others get the key of their content."""
+    one = admitted(checked(files), existing)
+    return one.withColumn("key", F.when(F.col("error").isNull(), blob_key(F.col("workspace_id"), F.col("document_id"), F.col("sha256"))))
+
+
 def store_blobs(files: DataFrame, path: str) -> None:
     """Write content once under its key; files with an error are not stored. Appending what is
     there already is left out, so a repeated call changes nothing."""

@@ -94,3 +94,16 @@ def test_confidence(spark):
     n = F.lit(None)
     row = spark.range(1).select(A.claim_confidence(F.lit(0.0), F.lit(1.0), F.lit(1.0), n.cast("string"), n.cast("double")).alias("x")).first()
     assert row.x == 0.75
+
+
+def test_withheld_answers_show_no_claims(spark):
+    q = spark.createDataFrame([("a",), ("b",)], "query_id string")
+    schema = "query_id string, claim_index int, sentence string, start int, verdict string, confidence double, chunk_id string, document_id string, version_id string, page_number int, section string, language string, char_start int, char_end int, ocr_engine string, ocr_confidence double"
+    row = lambda q, k, v: (q, k, " Rent is due.", 5, v, 0.7, "c", "d", "v", 1, None, "eng", 10, 40, None, None)
+    checked = spark.createDataFrame([row("a", 0, "unsupported"), row("a", 2, "supported"), row("b", 0, "supported"), row("b", 1, "contradicted")], schema)
+    shown = A.surfaced(checked)
+    assert sorted((r.query_id, r.claim_index) for r in shown.collect()) == [("a", 0), ("b", 0)]
+    got = {r.query_id: r for r in A.to_answers(A.compose(q, checked, checked.select("query_id")), shown).collect()}
+    claim = got["a"].claims[0]
+    assert (claim.text, claim.citation.quote, claim.citation.quote_start, claim.citation.quote_end) == ("Rent is due.", " Rent is due.", 5, 18)
+    assert got["b"].status == "abstained" and got["b"].claims == [] and got["b"].abstention_reason == "escalate_for_review"

@@ -210,3 +210,18 @@ def test_hashing_embeddings_by_brute_force(spark):
                 h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8, salt=b"v1").digest(), "big")
                 v[h % 32] += 1 if h >> 63 else -1
         assert np.allclose(got[i], v / np.linalg.norm(v), atol=1e-6)
+
+
+def test_ocr_results_are_flattened():
+    block = [[[0, 0], [4, 0], [4, 2], [0, 2]], ("word", 0.5)]
+    bad = [[[0, 0], [1, 1]], ("x", float("nan"))], [[[0, 0], [1, 1]], ("y", 1.5)]
+    assert D.PaddleOcr.blocks([[[block, *bad]], None, [block]]) == [("word", 0.5, [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0)])] * 2
+    assert D.PaddleOcr.blocks(None) == [] and set(D.OCR_ENGINES) == {"unavailable", "tesseract", "paddle"}
+
+
+def test_uploads_taken_through_all_checks(spark):
+    rows = [("w", "d1", "a.txt", bytearray(b"one"), "text/plain", 1), ("w", "d2", "b.txt", bytearray(b"one"), "text/plain", 2), ("w", "d3", "c.exe", bytearray(b"one"), "text/plain", 0), ("w", "d4", "d.docx", bytearray(b"PK\x03\x04 [Content_Types].xml"), "application/octet-stream", 0)]
+    files = spark.createDataFrame(rows, "workspace_id string, document_id string, path string, content binary, mime string, at int")
+    got = {r.document_id: (r.error, r.key) for r in D.accepted(files, spark.createDataFrame([], "workspace_id string, sha256 string")).collect()}
+    assert got["d1"][0] is None and got["d1"][1].startswith("workspaces/w/documents/d1/v1-")
+    assert {k: v for k, v in got.items() if k != "d1"} == {"d2": ("duplicate", None), "d3": ("unsupported_kind", None), "d4": ("wrong_content", None)}
