@@ -8,11 +8,13 @@ integer sums exactly), and with the stored losses e each product bounds the cosi
     |x.y - s_x s_y q_x.q_y|  <=  e_x |y'| + e_y |x'| + e_x e_y
 
 Pairs whose upper bound reaches the threshold survive, are joined back to the float vectors and
-recomputed in double. The k nearest are searched in float32 with the vectors in the tile, and
-those that rounding leaves in doubt are recomputed in double there. Bounds are strict, so
-nothing is lost: recall is 1. A row travels as 64 bytes of codes, its key and two floats, once
-per tile of its block; a group with most of the rows has more blocks, not larger tasks. Work is
-quadratic in the size of a group, as the method is.
+recomputed in double. For the k nearest, a tile goes through its block strip by strip and carries
+the k + 1 greatest products of each query so far; what can still belong to them, by the bounds,
+survives and is recomputed in double from the float vectors, which travel along. The best of
+each tile are merged by Spark, limited before and after the shuffle. Bounds are strict, so
+nothing is lost: recall is 1. For pairs a row travels as 64 bytes of codes, its key and two
+floats, once per tile of its block; a group with most of the rows has more blocks, not larger
+tasks. Work is quadratic in the size of a group, as the method is.
 
 Results: vectors that are null, of the wrong length, all zero or not finite are left out.
 Re-delivered rows count once. Identical vectors have cosine 1 and are reported as any pair; for
@@ -31,8 +33,9 @@ from quern.llm.common import checkpointed, table
 
 BLOCK_ROWS = 16_384
 SUB_ROWS = 2_048
-#: Queries multiplied at once in a search for the nearest; width of the strips whose maxima bound it.
-ASKED_ROWS, STRIP = 256, 32
+#: Queries and rows multiplied at once in a search for the nearest; cells of a strip whose maximum
+#: bounds it.
+ASKED_ROWS, NEAR_ROWS, STRIP = 256, 8_192, 32
 #: float32 rounding of scales and losses, far above its true size.
 SLACK = 1e-5
 
@@ -170,28 +173,48 @@ def _float_units(cells: pa.ChunkedArray, width: int) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def _survivors(product: np.ndarray, most: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
-    """Cells that may belong to the ``most`` largest of their row. The most-th largest of the
-    maxima of strips is no more than the most-th largest cell, and cheaper to find."""
+def _carried(best: np.ndarray, product: np.ndarray) -> np.ndarray:
+    """The greatest of the products carried so far and those at hand, as many a row as are
+    carried. Of each strip only the maximum is taken: still different cells, and fewer."""
     rows, n = product.shape
+    most = best.shape[1]
     strips = n // STRIP
     if strips > 4 * most:
-        tops = product[:, : strips * STRIP].reshape(rows, STRIP, strips).max(axis=1)
-        floor = np.partition(tops, strips - most, axis=1)[:, strips - most]
+        whole = strips * STRIP
+        tops = np.concatenate([product[:, :whole].reshape(rows, STRIP, strips).max(axis=1), product[:, whole:]], axis=1)
     else:
-        at = max(0, n - most)
-        floor = np.partition(product, at, axis=1)[:, at]
-    return np.nonzero(product >= (floor - 2 * slack)[:, None])
+        tops = product
+    both = np.concatenate([best, tops], axis=1)
+    return np.partition(both, both.shape[1] - most, axis=1)[:, -most:]
+
+
+def _candidates(asked: np.ndarray, rows: _Side, slack: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all cells that may be among the ``most`` nearest of their query. ``asked``
+    are codes; their scales are left out of the products and divided out of the slack."""
+    best = np.full((len(asked), most), -np.inf, np.float32)
+    x, y, found = [], [], []
+    for c in range(0, len(rows), NEAR_ROWS):
+        product = asked @ rows.q[c : c + NEAR_ROWS].T
+        product *= rows.scale[c : c + NEAR_ROWS]
+        best = _carried(best, product)
+        at, to = np.nonzero(product >= (best.min(axis=1) - 2 * slack)[:, None])  # either may be off by the slack
+        x.append(at)
+        y.append(to + c)
+        found.append(product[at, to])
+    x, y, found = map(np.concatenate, (x, y, found))
+    keep = found >= (best.min(axis=1) - 2 * slack)[x]  # against what came later, too
+    return x[keep], y[keep]
 
 
 def nearest(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """(query_id, neighbor_id, similarity, position): the k most similar rows of each query's
     group, the query itself excluded. ``queries`` are rows of the form of ``units``."""
     per = 2 * BLOCK_ROWS
-    columns = ["g", "block", "part", "key", "unit"]
+    prepared = ["codes", "scale", "loss", "unit"]
+    columns = ["g", "block", "part", "key", *prepared]
     counts = _block_counts(units, per)
-    rows = units.select("key", "g", "unit").join(counts, "g").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    asked = queries.select("key", "g", "unit").join(counts, "g").join(_block_counts(queries, per).withColumnRenamed("blocks", "parts"), "g").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
+    rows = units.join(counts, "g").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    asked = queries.join(counts, "g").join(_block_counts(queries, per).withColumnRenamed("blocks", "parts"), "g").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
     # Queries go to every block of their group; a tile holds one block and one part of the queries.
     q_side = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, F.lit(True).alias("asks"))
     r_side = rows.join(asked.select("g", "part").distinct(), "g").select(*columns, F.lit(False).alias("asks"))
@@ -202,13 +225,13 @@ def nearest(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
         left, right, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(a) and len(b):
             width = key[0].as_py()["width"]
-            slack = (width + 8) * 2.0**-23
             u, v = _float_units(a.column("unit"), width), _float_units(b.column("unit"), width)
+            x_side, y_side = _Side(a), _Side(b)
+            slack = _slack(x_side, y_side) / x_side.scale
             at = {x: n for n, x in enumerate(b.column("key").to_pylist())}
             own = np.array([at.get(x, -1) for x in a.column("key").to_pylist()])
-            u32, v32 = u.astype(np.float32), np.ascontiguousarray(v.astype(np.float32).T)
             for s in range(0, len(a), ASKED_ROWS):
-                x, y = _survivors(u32[s : s + ASKED_ROWS] @ v32, k + 1, slack)  # one more: the query itself
+                x, y = _candidates(x_side.q[s : s + ASKED_ROWS], y_side, slack[s : s + ASKED_ROWS], k + 1)  # one more: the query itself
                 x = x + s
                 other = y != own[x]
                 x, y = x[other], y[other]

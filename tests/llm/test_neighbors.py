@@ -56,3 +56,24 @@ def test_nearest_of_every_chunk_embedding(spark, sf):
         got.setdefault(r.query_id, []).append(r.neighbor_id)
     exact = {k: [y for _, y in sorted((-round(float(v @ w), 9), y) for y, (h, w) in usable.items() if h == g and y != k)[:5]] for k, (g, v) in usable.items()}
     assert got == {k: ys for k, ys in exact.items() if ys}
+
+
+def test_no_candidate_is_lost():
+    """The carried bounds against brute force, for few rows and for many blocks of strips."""
+    rng = np.random.default_rng(11)
+    for n, near in ((7, 4), (3000, 512), (5000, 5000)):
+        vectors = rng.normal(size=(n, 16))
+        vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+        scale = np.abs(vectors).max(axis=1) / 127
+        codes = np.rint(vectors / scale[:, None])
+        side = N._Side.__new__(N._Side)
+        side.keys, side.q, side.scale = np.arange(n), codes.astype(np.float32), scale.astype(np.float32)
+        side.loss = (np.linalg.norm(vectors - codes * scale[:, None], axis=1) + N.SLACK).astype(np.float32)
+        width, N.NEAR_ROWS = N.NEAR_ROWS, near
+        try:
+            x, y = N._candidates(side.q[:20], side, N._slack(side, side) / side.scale[:20], 6)
+        finally:
+            N.NEAR_ROWS = width
+        found = set(zip(x.tolist(), y.tolist()))
+        exact = np.argsort(-(vectors[:20] @ vectors.T), axis=1)[:, :6]
+        assert {(i, int(j)) for i, row in enumerate(exact) for j in row} <= found and len(found) < 0.5 * 20 * n + 200
