@@ -176,6 +176,12 @@ def is_scan(text: str, engine: object, confidence: object) -> bool:
     return known or len(lines) >= MIN_WRAPPED and sorted(map(len, lines))[len(lines) // 2] >= 30
 
 
+def narrow_pages(pages: DataFrame) -> DataFrame:
+    """Pages without a line that no scan has: what ``is_scan`` may take for one. Most other pages
+    are left out before their text is shuffled."""
+    return pages.where(F.array_max(F.transform(F.split("text", "\n"), lambda x: F.length(x))) <= MAX_WIDTH)
+
+
 def form(line: str) -> str:
     """What recurs of a running line: numbers at its edges cut, others masked."""
     t = " ".join(plain(line).casefold().split())
@@ -490,9 +496,10 @@ class ScanRepair:
 
     def __init__(self, pages: DataFrame):
         self.pages = pages.where("text is not null and text <> '' and page_id is not null")
+        self.narrow = narrow_pages(self.pages)
         self.words = checkpointed(vocabulary(self.pages))
         self.size = self.words.count()
-        edges = checkpointed(summaries(self.pages))
+        edges = checkpointed(summaries(self.narrow))
         self.edges = checkpointed(running_lines(edges))
 
     def _context(self) -> DataFrame:
@@ -517,7 +524,7 @@ class ScanRepair:
             for pdf in batches:
                 yield pd.DataFrame(list(_rows(pdf, known)), columns=names)
 
-        joined = self.pages.select("page_id", "text").join(self._context(), "page_id")
+        joined = self.narrow.select("page_id", "text").join(self._context(), "page_id")
         rows = joined.mapInPandas(run, ROWS).distinct()
         if self.size <= LOCAL_WORDS:
             return rows
@@ -671,7 +678,7 @@ def repaired(pages: DataFrame) -> DataFrame:
     per = notes.groupBy("page_id").agg(F.collect_list(F.struct("line_no", "kind", "type", "word")).alias("notes"))  # bounded by a page
     lone = (F.col("own_n") == 1) & (F.col("next_n") == 1), (F.col("own_n") == 1) & (F.col("previous_n") == 1)
     context = job._context().select("page_id", "own_first", "own_last", F.when(lone[0], F.col("next_word")).alias("next_word"), F.when(lone[1], F.col("previous_word")).alias("previous_word"))
-    scanned = context.join(job.pages.groupBy("page_id").agg(F.min("text").alias("text")), "page_id").join(per, "page_id", "left")
+    scanned = context.join(job.narrow.groupBy("page_id").agg(F.min("text").alias("text")), "page_id").join(per, "page_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
