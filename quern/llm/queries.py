@@ -42,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_nearest": neighbors.ORACLE_NEAREST,
         "p4_found": canonical.oracle_found(),
         "p4_classes": canonical.oracle_classes(),
+        "p7_found": split.ORACLE,
     }

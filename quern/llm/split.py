@@ -176,3 +176,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame([(c, e) for c, text in zip(pdf["chunk_id"], pdf["content"]) for e in (forced_cuts(text) or [-1])], columns=["chunk_id", "cut_end"])
 
     return oversized(spark, sf_dir).select("chunk_id", "content").mapInPandas(run, "chunk_id string, cut_end int")
+
+
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_BREAK = rf"(?:\r\n|\n|\r)(?:[ \t]*(?:\r\n|\n|\r))+|[ \t]*[\f\x{{2029}}]{_SPACE}*"
+
+#: Paragraphs as tiles between breaks, their offsets as running lengths; then neighbours that do
+#: not fit.
+ORACLE = rf"""
+WITH c AS (SELECT chunk_id, any_value(content) AS t FROM chunks WHERE length(content) > {LIMIT} GROUP BY 1),
+p0 AS (SELECT chunk_id, regexp_extract_all(t, '{_BREAK}|[^\n\r\f\x{{2029}} \t]+|[\n\r \t]') AS ps FROM c),
+p AS (SELECT chunk_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM p0),
+b AS (SELECT *, regexp_full_match(piece, '{_BREAK}') AS brk, sum(length(piece)) OVER (PARTITION BY chunk_id ORDER BY k) - length(piece) AS place FROM p),
+g AS (SELECT *, count(*) FILTER (WHERE brk) OVER (PARTITION BY chunk_id ORDER BY k) AS n FROM b),
+w AS (SELECT chunk_id, n, min(place) AS place, string_agg(piece, '' ORDER BY k) AS para FROM g WHERE NOT brk GROUP BY 1, 2),
+e AS (
+  SELECT chunk_id, place + length(para) - length(regexp_replace(para, '^{_SPACE}+', '')) AS s, place + length(regexp_replace(para, '{_SPACE}+$', '')) AS e
+  FROM w WHERE regexp_replace(para, '{_SPACE}+', '', 'g') <> ''),
+f AS (SELECT chunk_id, e AS cut_end FROM (SELECT *, lead(e) OVER (PARTITION BY chunk_id ORDER BY s) AS next FROM e) WHERE next - s > {LIMIT})
+SELECT chunk_id, cut_end::INT AS cut_end FROM f UNION ALL SELECT chunk_id, -1 FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM f)
+"""
