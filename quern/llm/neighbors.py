@@ -2,8 +2,8 @@
 
 Unit vectors are quantised to int8 with one scale each; the length of what rounding lost is
 kept beside them. Rows are dealt by hash into blocks of bounded size, and every tile (a pair of
-blocks) is one task: the int8 codes are multiplied as matrices (in float32, which holds the
-integer sums exactly), and with the stored losses e each product bounds the cosine:
+blocks) is one task: the int8 codes are multiplied as matrices (in float32, those of one side with
+their scales), and with the stored losses e each product bounds the cosine:
 
     |x.y - s_x s_y q_x.q_y|  <=  e_x |y'| + e_y |x'| + e_x e_y
 
@@ -32,10 +32,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from quern.llm.common import checkpointed, table
 
 BLOCK_ROWS = 16_384
-SUB_ROWS = 2_048
+#: Rows of a product in a search for pairs: small enough to stay in a core's cache.
+SUB_ROWS = 512
 #: Queries and rows multiplied at once in a search for the nearest; cells of a strip whose maximum
 #: bounds it.
-ASKED_ROWS, NEAR_ROWS, STRIP = 256, 8_192, 32
+ASKED_ROWS, NEAR_ROWS, STRIP = 256, 4_096, 32
 #: float32 rounding of scales and losses, far above its true size.
 SLACK = 1e-5
 
@@ -100,20 +101,24 @@ def _matrix(codes: pa.Array) -> np.ndarray:
 
 
 class _Side:
-    def __init__(self, t: pa.Table):
-        self.keys = t.column("key").combine_chunks()
-        self.q = _matrix(t.column("codes"))
-        self.scale = t.column("scale").to_numpy()
-        self.loss = t.column("loss").to_numpy()
+    """One side of a tile. ``scaled`` holds the codes with their scales, a column a row."""
+
+    def __init__(self, keys: pa.Array | np.ndarray, q: np.ndarray, scale: np.ndarray, loss: np.ndarray):
+        self.keys, self.q, self.scale, self.loss = keys, q, scale, loss
+        self.scaled = np.ascontiguousarray((q * scale[:, None]).T)
+
+    @classmethod
+    def of(cls, t: pa.Table) -> _Side:
+        return cls(t.column("key").combine_chunks(), _matrix(t.column("codes")), t.column("scale").to_numpy(), t.column("loss").to_numpy())
 
     def __len__(self) -> int:
         return len(self.keys)
 
 
 def _slack(a: _Side, b: _Side) -> float:
-    """Bound of the error over a whole tile: |x'| <= 1 + e."""
+    """Bound of the error over a whole tile: |x'| <= 1 + e; and the rounding of float32 sums."""
     ea, eb = float(a.loss.max()), float(b.loss.max())
-    return ea * (1 + eb) + eb * (1 + ea) + ea * eb
+    return ea * (1 + eb) + eb * (1 + ea) + ea * eb + (a.q.shape[1] + 8) * 2.0**-23
 
 
 def _block_counts(units: DataFrame, per: int) -> DataFrame:
@@ -143,17 +148,18 @@ def similar_pairs(units: DataFrame, threshold: float) -> DataFrame:
         t = pa.Table.from_batches(batches)
         i, j = key[1].as_py(), key[2].as_py()
         block = t.column("block").to_numpy()
-        a = _Side(t.filter(pa.array(block == i)))
-        b = a if i == j else _Side(t.filter(pa.array(block == j)))
+        a = _Side.of(t.filter(pa.array(block == i)))
+        b = a if i == j else _Side.of(t.filter(pa.array(block == j)))
         if not len(a) or not len(b):
             return
         floor = ((threshold - _slack(a, b)) / a.scale)[:, None]
         for s in range(0, len(a), SUB_ROWS):
             part = a.q[s : s + SUB_ROWS]
             for c in range(s if a is b else 0, len(b), SUB_ROWS):
-                product = part @ b.q[c : c + SUB_ROWS].T
-                product *= b.scale[c : c + SUB_ROWS]
-                x, y = np.nonzero(product >= floor[s : s + SUB_ROWS])
+                near = part @ b.scaled[:, c : c + SUB_ROWS] >= floor[s : s + SUB_ROWS]
+                if not near.any():
+                    continue
+                x, y = np.nonzero(near)
                 x, y = x + s, y + c
                 if a is b:
                     x, y = x[x < y], y[x < y]
@@ -173,34 +179,34 @@ def _float_units(cells: pa.ChunkedArray, width: int) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def _carried(best: np.ndarray, product: np.ndarray) -> np.ndarray:
-    """The greatest of the products carried so far and those at hand, as many a row as are
-    carried. Of each strip only the maximum is taken: still different cells, and fewer."""
-    rows, n = product.shape
-    most = best.shape[1]
-    strips = n // STRIP
-    if strips > 4 * most:
-        whole = strips * STRIP
-        tops = np.concatenate([product[:, :whole].reshape(rows, STRIP, strips).max(axis=1), product[:, whole:]], axis=1)
-    else:
-        tops = product
-    both = np.concatenate([best, tops], axis=1)
-    return np.partition(both, both.shape[1] - most, axis=1)[:, -most:]
-
-
 def _candidates(asked: np.ndarray, rows: _Side, slack: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of all cells that may be among the ``most`` nearest of their query. ``asked``
-    are codes; their scales are left out of the products and divided out of the slack."""
-    best = np.full((len(asked), most), -np.inf, np.float32)
-    x, y, found = [], [], []
+    are codes; their scales are left out of the products and divided out of the slack.
+
+    The ``most`` greatest products are carried along; of each strip of cells only the maximum is
+    taken for them (still different cells, and fewer), and only strips whose maximum can reach
+    them are looked into."""
+    count = len(asked)
+    best = np.full((count, most), -np.inf, np.float32)
+    x, y, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
     for c in range(0, len(rows), NEAR_ROWS):
-        product = asked @ rows.q[c : c + NEAR_ROWS].T
-        product *= rows.scale[c : c + NEAR_ROWS]
-        best = _carried(best, product)
-        at, to = np.nonzero(product >= (best.min(axis=1) - 2 * slack)[:, None])  # either may be off by the slack
+        product = asked @ rows.scaled[:, c : c + NEAR_ROWS]
+        strips = product.shape[1] // STRIP
+        whole = strips * STRIP
+        cells, rest = product[:, :whole].reshape(count, STRIP, strips), product[:, whole:]
+        tops = cells.max(axis=1)
+        both = np.concatenate([best, tops, rest], axis=1)
+        best = np.partition(both, both.shape[1] - most, axis=1)[:, -most:]
+        floor = best.min(axis=1) - 2 * slack  # either may be off by the slack
+        at, strip = np.nonzero(tops >= floor[:, None])
+        hit, depth = np.nonzero((values := cells[at, :, strip]) >= floor[at][:, None])
+        x.append(at[hit])
+        y.append(depth * strips + strip[hit] + c)
+        found.append(values[hit, depth])
+        at, to = np.nonzero(rest >= floor[:, None])
         x.append(at)
-        y.append(to + c)
-        found.append(product[at, to])
+        y.append(to + whole + c)
+        found.append(rest[at, to])
     x, y, found = map(np.concatenate, (x, y, found))
     keep = found >= (best.min(axis=1) - 2 * slack)[x]  # against what came later, too
     return x[keep], y[keep]
@@ -226,7 +232,7 @@ def nearest(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
         if len(a) and len(b):
             width = key[0].as_py()["width"]
             u, v = _float_units(a.column("unit"), width), _float_units(b.column("unit"), width)
-            x_side, y_side = _Side(a), _Side(b)
+            x_side, y_side = _Side.of(a), _Side.of(b)
             slack = _slack(x_side, y_side) / x_side.scale
             at = {x: n for n, x in enumerate(b.column("key").to_pylist())}
             own = np.array([at.get(x, -1) for x in a.column("key").to_pylist()])

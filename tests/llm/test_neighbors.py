@@ -66,9 +66,8 @@ def test_no_candidate_is_lost():
         vectors /= np.linalg.norm(vectors, axis=1)[:, None]
         scale = np.abs(vectors).max(axis=1) / 127
         codes = np.rint(vectors / scale[:, None])
-        side = N._Side.__new__(N._Side)
-        side.keys, side.q, side.scale = np.arange(n), codes.astype(np.float32), scale.astype(np.float32)
-        side.loss = (np.linalg.norm(vectors - codes * scale[:, None], axis=1) + N.SLACK).astype(np.float32)
+        loss = np.linalg.norm(vectors - codes * scale[:, None], axis=1) + N.SLACK
+        side = N._Side(np.arange(n), codes.astype(np.float32), scale.astype(np.float32), loss.astype(np.float32))
         width, N.NEAR_ROWS = N.NEAR_ROWS, near
         try:
             x, y = N._candidates(side.q[:20], side, N._slack(side, side) / side.scale[:20], 6)
