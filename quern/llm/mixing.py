@@ -45,7 +45,7 @@ def source_rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
 def copies_of(counted: DataFrame, rates: DataFrame, key: str, seed: int = 17) -> DataFrame:
     """(key, source, n_tokens, copies) of each document that is taken at least once. The rates
     are one row per target, which is a small stated list."""
-    docs = counted.withColumn("source", source_key(F.col("source")))
+    docs = counted.select(key, source_key(F.col("source")).alias("source"), "n_tokens")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(HASH_STEPS)) / F.lit(float(HASH_STEPS))
     copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
     return docs.join(rates.select("source", "rate"), "source").select(key, "source", "n_tokens", copies.alias("copies")).where("copies > 0")

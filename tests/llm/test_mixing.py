@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quern.llm import mixing as M
 
 COUNTED = "doc_id long, source string, n_tokens long, rate double"
@@ -11,7 +13,7 @@ def test_rates_shares_and_caps(spark):
     got = {r.source: r for r in rates.collect()}
     assert got["big"].total == 10_010 and got["big"].reachable and not got["never"].reachable and got["never"].rate == 0.0
     assert abs(got["small"].rate - 2502.5 / 1000) < 1e-9
-    taken = M.copies_of(counted, rates, "doc_id").collect()
+    taken = M.copies_of(counted.withColumn("rate", F.lit("a column of this name")), rates, "doc_id").collect()
     assert {r.copies for r in taken if r.source == "small"} <= {2, 3} and {r.copies for r in taken if r.source == "big"} == {1}
     small = sum(r.copies for r in taken if r.source == "small")
     assert 235 <= small <= 265
