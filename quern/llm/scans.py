@@ -317,10 +317,10 @@ def _blocks(asked: DataFrame) -> int:
     return max(BLOCKS, -(-asked.count() // ASKED_WORDS))
 
 
-def like_forms(asked: DataFrame, known: DataFrame) -> DataFrame:
+def like_forms(asked: DataFrame, known: DataFrame, blocks: int) -> DataFrame:
     """The rows (edge, form) of ``asked`` that are like a known form of their edge. Asked forms are
     dealt into blocks and known ones into shards; each cell of that grid is a task."""
-    shards, blocks = max(1, -(-known.count() // SHARD_FORMS)), _blocks(asked)
+    shards = max(1, -(-known.count() // SHARD_FORMS))
     left = asked.select("edge", "form", F.pmod(F.xxhash64("form"), F.lit(blocks)).alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = known.select("edge", "form", F.pmod(F.xxhash64("form"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
@@ -336,7 +336,7 @@ def running_lines(edges: DataFrame) -> DataFrame:
     known = checkpointed(edge_forms(edges))
     asked = checkpointed(edges.select(F.inline(F.array(*[F.struct(F.lit(e).alias("edge"), F.col(f"{e}_form").alias("form")) for e in ("top", "bottom")]))).where("form is not null").distinct())
     exact = asked.join(known, ["edge", "form"], "left_semi")
-    like = exact.unionByName(like_forms(asked.join(known, ["edge", "form"], "left_anti"), known)).withColumn("like", F.lit(True))
+    like = exact.unionByName(like_forms(asked.join(known, ["edge", "form"], "left_anti"), known, _blocks(asked))).withColumn("like", F.lit(True))
     apart = edges.select(F.explode("apart").alias("form")).groupBy("form").agg(F.count("*").alias("m")).where("m >= 2").select("form", F.lit(True).alias("apart"))
     facts = checkpointed(asked.join(like, ["edge", "form"], "left").join(apart, "form", "left").fillna(False, ["like", "apart"]))
     steps = F.explode(F.array(*[F.lit(k) for k in range(-REACH, REACH + 1) if k]))
@@ -344,7 +344,7 @@ def running_lines(edges: DataFrame) -> DataFrame:
     told = edges.select("version_id", steps.alias("step"), F.col("page_number").alias("of"), "top", "bottom").select(
         "version_id", (F.col("of") + F.col("step")).alias("page_number"), F.struct(F.col("step").alias("step"), "top", "bottom").alias("other")
     )
-    others = told.groupBy("version_id", "page_number").agg(F.collect_list("other").alias("others"))
+    others = told.groupBy("version_id", "page_number").agg(F.collect_set("other").alias("others"))
     joined = edges.drop("apart", "top_known", "bottom_known").join(others, ["version_id", "page_number"], "left")
     for e in ("top", "bottom"):
         of = facts.where(F.col("edge") == e).select(F.col("form").alias(f"{e}_key"), F.col("like").alias(f"{e}_like"), F.col("apart").alias(f"{e}_apart"))
