@@ -30,7 +30,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -160,32 +160,43 @@ class Teller:
 # ---------------------------------------------------------------- statistics
 
 
-def events(text: str | None, tell: Teller | None = None) -> Iterator[tuple[str, str, str, str]]:
-    """(kind, script or script/language, a, b): s = a starts a sentence, w = word a, p = a with
-    period before b, n = a without period, h = heading line a seen alone. A digit after a period
-    counts as #."""
-    for start, end in blocks(text or ""):
-        rows = lines(text, start, end)
-        first = text[rows[0][0] : rows[0][1]]
-        alone = len(rows) == 1
-        if len(first) <= LONGEST_HEADING and not ENDS.search(first) and (alone or HEADING_MARK.match(first)) and not LIST_MARK.match(first) and first[0] != "|":
-            yield "h", token_script(heading_key(first)), heading_key(first), ""
-        sure = True
-        tokens = [t for a, b in rows if text[a] != "|" for t in TOKEN.findall(text[a:b])]
-        told = {script: f"{script}/{language}" for script, language in tell(tokens).items()} if tell else {}
-        for k, raw in enumerate(tokens):
-            core, word, kind, period, ends = _parts(raw)
-            if kind and kind != "Han":
-                kind = told.get(kind, kind)
-                yield "w", kind, word, ""
-                if sure:
-                    yield "s", kind, word, ""
-                if period and k + 1 < len(tokens):
-                    following = _parts(tokens[k + 1])[1]
-                    yield "p", kind, word.lower(), "#" if following[:1].isdigit() else following
-                elif not core.endswith("."):
-                    yield "n", kind, word.lower(), ""
-            sure = ends
+def count_events(texts: Iterable[str | None], tell: Teller | None = None) -> Counter:
+    """Counts of (kind, script or script/language, a, b): s = a starts a sentence, w = word a,
+    p = a with period before b, n = a without period, h = heading line a seen alone. A digit
+    after a period counts as #. Tokens are counted as they stand and looked at once each."""
+    out: Counter = Counter()
+    tokens_in: dict[tuple, Counter] = {}  # by the languages told: (token, it surely starts a sentence)
+    for text in texts:
+        for start, end in blocks(text or ""):
+            rows = lines(text, start, end)
+            first = text[rows[0][0] : rows[0][1]]
+            if len(first) <= LONGEST_HEADING and not ENDS.search(first) and (len(rows) == 1 or HEADING_MARK.match(first)) and not LIST_MARK.match(first) and first[0] != "|":
+                key = heading_key(first)
+                out["h", token_script(key), key, ""] += 1
+            tokens = [t for a, b in rows if text[a] != "|" for t in text[a:b].split()]
+            if not tokens:
+                continue
+            told = tuple(tell(tokens).items()) if tell else ()
+            parts = list(map(_parts, tokens))
+            tokens_in.setdefault(told, Counter()).update(zip(tokens, [True, *[p[4] for p in parts[:-1]]]))
+            for k, (_, word, kind, period, _) in enumerate(parts[:-1]):
+                if period and kind and kind != "Han":
+                    following = parts[k + 1][1]
+                    of = next((f"{s}/{x}" for s, x in told if s == kind), kind)
+                    out["p", of, word.lower(), "#" if following[:1].isdigit() else following] += 1
+    for told, counts in tokens_in.items():
+        of = {s: f"{s}/{x}" for s, x in told}
+        for (token, sure), n in counts.items():
+            core, word, kind, _, _ = _parts(token)
+            if not kind or kind == "Han":
+                continue
+            kind = of.get(kind, kind)
+            out["w", kind, word, ""] += n
+            if sure:
+                out["s", kind, word, ""] += n
+            if not core.endswith("."):
+                out["n", kind, word.lower(), ""] += n
+    return out
 
 
 def _llr(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
@@ -207,9 +218,7 @@ def learn(texts: DataFrame, column: str, samples: list[tuple[str, str]] | None =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tell = Teller(samples) if samples else None
         for pdf in batches:
-            counts: Counter = Counter()
-            for text in pdf[column]:
-                counts.update(events(text, tell))
+            counts = count_events(pdf[column], tell)
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "script", "a", "b", "n"])
 
     events_of = texts.select(column).mapInPandas(run, "kind string, script string, a string, b string, n long")
@@ -321,7 +330,7 @@ class Segmenter:
             return False
         if self._told is None:
             text, rows = self._rows
-            self._told = self.tell([t for a, b in rows if text[a] != "|" for t in TOKEN.findall(text[a:b])])
+            self._told = self.tell([t for a, b in rows if text[a] != "|" for t in text[a:b].split()])
         return (f"{script}/{self._told.get(script)}", *words) in entries
 
     def _layout(self, text: str, rows: list[tuple[int, int]], k: int, run_on: bool) -> bool:
@@ -529,6 +538,7 @@ def _needed(texts: DataFrame, key: str, column: str, model: DataFrame) -> DataFr
 
 def sentence_units(texts: DataFrame, key: str, column: str, model: DataFrame, samples: list[tuple[str, str]] | None = None) -> DataFrame:
     """(key, sent_start, sent_end) of each unit of each text; ``samples`` as given to ``learn``."""
+    texts = texts.select(key, column)
     schema = f"`{key}` string, sent_start int, sent_end int"
     head = model.limit(BROADCAST_ENTRIES + 1).collect()
     shared = None

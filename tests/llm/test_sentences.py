@@ -100,3 +100,33 @@ def test_every_word_looked_up_is_asked_for(spark, sf):
         list(S.Segmenter(model).units(text))
         given = {w for t in S.TOKEN.findall(text) for w in S._asked_for(t)}
         assert {w for w in asked if S.token_script(w) not in ("", "Han")} <= given
+
+
+def test_tokens_of_any_length_are_looked_at_whole():
+    address = "https://" + "a" * 300 + ".example/page"
+    assert cut(f"See {address}.Next for the rest. The end.") == [f"See {address}.Next for the rest.", "The end."]
+    assert len(cut("x" * 100_000 + ". The end.")) == 2
+    assert len(cut("门锁着。" * 20_000)) == 20_000
+
+
+SAMPLES = [("the tenant pays the rent to the clerk of the ward", "eng"), ("please send a copy of the receipt to the office", "eng"), ("kadai kaarar vaadagai kattitu ponaaru nu sonnaanga", "tanglish"), ("enga veetu owner advance thirumba tharen nu sonnaru", "tanglish"), ("வாடகை", "tam")]
+
+
+def test_languages_of_a_script_are_told_apart():
+    tell = S.Teller(SAMPLES)
+    assert tell("the clerk pays the rent வாடகை 12".split()) == {"Latin": "eng"}
+    assert tell("owner vaadagai thirumba tharen".split()) == {"Latin": "tanglish"} and tell(["12", "வாடகை"]) == {}
+    counts = S.count_events(["The clerk pays. The rent is due", "kadai owner tharen nu sonnaru.", None, " "], tell)
+    assert counts["w", "Latin/eng", "The", ""] == 2 and counts["s", "Latin/eng", "The", ""] == 1 and counts["p", "Latin/eng", "pays", "The"] == 1
+    assert counts["w", "Latin/tanglish", "kadai", ""] == 1 and ("n", "Latin/tanglish", "sonnaru", "") not in counts
+
+
+def test_statistics_by_language(spark):
+    rows = [(f"e{i}", f"The clerk asked Dr. Kumar! The rent is due. The copy, no. {i}, is of the office. The end.") for i in range(80)]
+    rows += [(f"t{i}", f"owner sonnaru! kadai kaarar thiru. Kumar vaadagai kattitu ponaaru. owner advance tharen nu sonnaru. kadai {i}.") for i in range(80)]
+    df = spark.createDataFrame(rows, "id string, t string")
+    model = {(r.kind, r.script, r.a) for r in S.learn(df, "t", SAMPLES).collect()}
+    assert ("a", "Latin/eng", "no") in model and ("a", "Latin/tanglish", "no") not in model
+    assert ("s", "Latin/eng", "The") in model and ("s", "Latin/tanglish", "owner") in model and ("s", "Latin/eng", "owner") not in model
+    units = S.sentence_units(df, "id", "t", S.learn(df, "t", SAMPLES), SAMPLES).groupBy("id").count()
+    assert {r["count"] for r in units.collect() if r.id[0] == "e"} == {4}
