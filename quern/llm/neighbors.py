@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.llm.common import checkpointed, table
@@ -44,6 +45,22 @@ SLACK = 1e-5
 PREPARED = "codes binary, scale float, loss float, unit binary"
 
 
+def _cells(rows: np.ndarray) -> pa.Array:
+    """A binary cell for the bytes of each row."""
+    width = rows.shape[1] * rows.itemsize
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _rows(cells: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The rows that binary cells of one size hold, without a Python object for each."""
+    whole = cells.combine_chunks() if isinstance(cells, pa.ChunkedArray) else cells
+    if not pa.types.is_binary(whole.type) or whole.null_count or not len(whole):
+        return np.frombuffer(b"".join(whole.to_pylist()), dtype=kind).reshape(len(whole), -1 if len(whole) else 0)
+    offsets = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(whole.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(len(whole), -1)
+
+
 def unit_vectors(df: DataFrame, key: str, vector: str, group: list[str], width: Column | None = None, floats: bool = False) -> DataFrame:
     """(key, g, codes, scale, loss, unit): one row per key with a usable vector. ``unit`` is the
     vector scaled to length 1, as float64 bytes; codes are its int8 values; loss is the length
@@ -58,26 +75,23 @@ def unit_vectors(df: DataFrame, key: str, vector: str, group: list[str], width:
         for batch in batches:
             cells = batch.column(2)
             flat = cells.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            offsets = cells.offsets.to_numpy() - (cells.offsets[0].as_py() if batch.num_rows else 0)
-            kept, codes, scales, losses, units = [], [], [], [], []
-            for n, (a, b) in enumerate(zip(offsets, offsets[1:])):
-                x = flat[a:b]
-                length = np.sqrt(x @ x)
-                if not (np.isfinite(length) and length > 0):
-                    continue
-                x = x / length
-                scale = np.abs(x).max() / 127
-                q = np.rint(x / scale).astype(np.int8)
-                kept.append(n)
-                codes.append(q.tobytes())
-                scales.append(scale)
-                losses.append(np.linalg.norm(x - q * scale) + SLACK)
-                units.append(flat[a:b].astype(np.float32).tobytes() if single else x.tobytes())
-            at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(codes, pa.binary()), pa.array(scales, pa.float32()), pa.array(losses, pa.float32()), pa.array(units, pa.binary())],
-                ["key", "g", "codes", "scale", "loss", "unit"],
-            )
+            offsets = cells.offsets.to_numpy()
+            starts, sizes = offsets[:-1] - (offsets[0] if len(offsets) else 0), np.diff(offsets)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                v = flat[starts[at][:, None] + np.arange(size)]
+                length = np.sqrt(np.einsum("ij,ij->i", v, v))
+                keep = np.isfinite(length) & (length > 0)
+                v, at = v[keep], pa.array(at[keep])
+                x = v / length[keep, None]
+                scale = np.abs(x).max(axis=1) / 127
+                q = np.rint(x / scale[:, None])
+                loss = np.sqrt(np.square(x - q * scale[:, None]).sum(axis=1)) + SLACK
+                unit = v.astype(np.float32) if single else x
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), _cells(q.astype(np.int8)), pa.array(scale.astype(np.float32)), pa.array(loss.astype(np.float32)), _cells(unit)],
+                    ["key", "g", "codes", "scale", "loss", "unit"],
+                )
 
     return checkpointed(rows.mapInArrow(run, f"key {kinds['key']}, g {kinds['g']}, {PREPARED}").dropDuplicates(["key"]))
 
@@ -89,17 +103,16 @@ def with_cosine(pairs: DataFrame, x_side: DataFrame, y_side: DataFrame) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dots = [float(np.frombuffer(a) @ np.frombuffer(b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dots, pa.float64())], ["x", "y", "similarity"])
+            sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes):
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                dots = np.einsum("ij,ij->i", _rows(part.column(2), np.float64), _rows(part.column(3), np.float64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(dots)], ["x", "y", "similarity"])
 
     kind = dict(pairs.dtypes)["x"]
     return pairs.join(x, "x").join(y, "y").select("x", "y", "ux", "uy").mapInArrow(run, f"x {kind}, y {kind}, similarity double")
 
 
-def _matrix(codes: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(codes.to_pylist()), dtype=np.int8).reshape(len(codes), -1).astype(np.float32)
-
-
 class _Side:
     """One side of a tile. ``scaled`` holds the codes with their scales, a column a row."""
 
@@ -109,7 +122,7 @@ class _Side:
 
     @classmethod
     def of(cls, t: pa.Table) -> _Side:
-        return cls(t.column("key").combine_chunks(), _matrix(t.column("codes")), t.column("scale").to_numpy(), t.column("loss").to_numpy())
+        return cls(t.column("key").combine_chunks(), _rows(t.column("codes"), np.int8).astype(np.float32), t.column("scale").to_numpy(), t.column("loss").to_numpy())
 
     def __len__(self) -> int:
         return len(self.keys)
@@ -174,8 +187,7 @@ def similar_pairs(units: DataFrame, threshold: float) -> DataFrame:
 
 def _float_units(cells: pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows of length 1 in double, from float64 or float32 bytes."""
-    raw = cells.to_pylist()
-    v = np.frombuffer(b"".join(raw), dtype=np.float64 if len(raw[0]) == 8 * width else np.float32).reshape(len(raw), width).astype(np.float64)
+    v = _rows(cells, np.float64 if len(cells[0].as_py()) == 8 * width else np.float32).astype(np.float64)
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
