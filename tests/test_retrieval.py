@@ -96,3 +96,10 @@ def test_scope_fails_closed(spark, sf):
     assert TenantScope(spark, sf, ws).table("chunks").where(f"workspace_id <> '{ws}'").count() == 0
     with pytest.raises(Exception, match="foreign"):
         TenantScope(spark, sf, "nobody").add("chunks", everyone).collect()
+
+
+def test_recall_of_cells(spark):
+    from quern.plans import registry
+
+    rows = [{(r.query_id, r.id) for r in registry.queries()[n](spark, "/root/testdata/sf0.1").collect()} for n in ("dense_topk", "cell_topk")]
+    assert len(rows[0] & rows[1]) >= 0.9 * len(rows[0]) > 0
