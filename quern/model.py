@@ -39,5 +39,10 @@ def out_of_range(df: DataFrame, *checks: Column) -> DataFrame:
     return df.where(~reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(True)) for c in checks]))
 
 
+def in_enum(column: str, name: str) -> Column:
+    """Whether a value is one of those that the rows may have; null passes."""
+    return F.col(column).isin(*ENUMS[name])
+
+
 def confidence_in_range(column: str) -> Column:
     return F.col(column).between(0.0, 1.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -91,6 +92,16 @@ def duplicate_keys(spark, sf):
     return model.duplicate_keys(_t(spark, sf, "chunks"), ("version_id", "chunk_index"))
 
 
+def bad_values(spark, sf):
+    """How many rows of each table break a check on their values."""
+    checks = {
+        "documents": (model.in_enum("status", "document_status"),), "pages": (model.confidence_in_range("ocr_confidence"), F.col("page_number") >= 1),
+        "chunks": (model.confidence_in_range("ocr_confidence"), F.col("char_end") > F.col("char_start"), F.col("token_count") >= 1), "processed_queries": (model.confidence_in_range("confidence"), model.in_enum("language", "language")),
+    }
+    parts = [model.out_of_range(_t(spark, sf, n), *cs).agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for n, cs in checks.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def late_rows(spark, sf):
     """Pages that were loaded more than a day after they were made."""
     return _t(spark, sf, "pages").where(F.col("loaded_at") > F.col("created_at") + F.expr("interval 1 day")).groupBy("version_id").agg(F.count("*").alias("late"))
@@ -299,7 +310,7 @@ def _drafts(spark, sf):
 
 def verified_claims(spark, sf):
     _, _, checked = _drafts(spark, sf)
-    return checked.select("query_id", "chunk_id", "claim_index", "verdict", F.round("coverage", 6).alias("coverage"), "reason", "confidence", answers.citation().alias("citation"))
+    return checked.select("query_id", "chunk_id", "claim_index", "verdict", F.round("coverage", 6).alias("coverage"), "reason", "confidence")
 
 
 def composed_answers(spark, sf):
@@ -396,7 +407,7 @@ def eval_language(spark, sf):
 
 
 _ALL: tuple[Query, ...] = (
-    tenant_counts, unbound_scope, ready_gate, filtered_chunks, exact_duplicates, latest_versions, order_preserving_lookup, broken_references, duplicate_keys, late_rows, normalized_text, word_tokens,
+    tenant_counts, unbound_scope, ready_gate, filtered_chunks, exact_duplicates, latest_versions, order_preserving_lookup, broken_references, duplicate_keys, bad_values, late_rows, normalized_text, word_tokens,
     trigram_features, language_decision, query_variants, document_slugs, language_limits, sentence_spans, chunk_documents, chunk_provenance, lexical_topk, kept_index_topk, dense_topk, cell_topk, embedding_counts, rrf_fusion, hydrated, rerank_minmax, rerank_overlap, hybrid_search, search_metadata, evidence, newest_documents,
     hashing_embeddings, top_claims, claim_split, claim_polarity, verified_claims, composed_answers, answer_claims, full_answers, claim_confidence, citation_resolve, citation_sentences, injection_signals, injection_rules_hits, invisible_characters,
     document_safety, rate_limit, eval_ranking, eval_language,

@@ -87,6 +87,30 @@ s0 AS (SELECT *, (sum(length(piece)) OVER (PARTITION BY {key} ORDER BY k) - leng
 s AS (SELECT * FROM s0 WHERE regexp_matches(piece, '^[^.!?।॥\\n]') AND trim(regexp_replace(piece, '[\\s\\x1c-\\x1f\\x{{85}}\\x{{2028}}\\x{{2029}}\\p{{Z}}]+', ' ', 'g')) <> '')"""
 
 
+def _facts(table: str, key: str, text: str) -> str:
+    """CTEs ending in ``facts``: what each text of a table asserts (content, quantities, dates,
+    names, negated, conditional, words)."""
+    number = f"MAP {{{', '.join(f'{_quoted(w)}: {n}' for w, n in answers.NUMBER_WORDS.items())}}}"
+    month = f"MAP {{{', '.join(f'{_quoted(w)}: {n}' for w, n in answers.MONTHS.items())}}}"
+    value = lambda t: f"coalesce(CASE WHEN regexp_full_match({t}, '[0-9]+') THEN {t}::DOUBLE END, {number}[{t}]::DOUBLE)"
+    iso = "\\b[0-9]{4}-[0-9]{2}-[0-9]{2}\\b"
+    stop, negations, conditions, modifiers = map(_list, (answers.STOPWORDS, answers.NEGATIONS, answers.CONDITIONS, answers.MODIFIERS))
+    return f"""
+t0 AS (SELECT {key} AS k, {text} AS x, {_words(_match(text))} AS toks, {_words(_match(f"regexp_replace({text}, '{iso}', ' ', 'g')"))} AS und, {_words(text)} AS raw FROM {table}),
+t1 AS (SELECT *, list_transform(und, lambda t: {value('t')}) AS vals FROM t0),
+t2 AS (SELECT k, unnest(range(1, len(und) + 1)) AS i, und, vals FROM t1),
+t3 AS (SELECT k, vals[i] AS v, und[i + 1 : i + 3] AS nxt, list_transform(vals[i + 1 : i + 3], lambda y: y IS NOT NULL) AS stops FROM t2 WHERE vals[i] IS NOT NULL),
+t4 AS (SELECT k, v, list_filter(nxt[1 : CASE WHEN list_contains(stops, true) THEN list_position(stops, true) - 1 ELSE 3 END], lambda y: NOT list_contains({stop}, y) AND NOT list_contains({modifiers}, y))[1] AS unit FROM t3),
+t5 AS (SELECT k, list(DISTINCT coalesce(unit, '') || '=' || v) AS quantities, list(DISTINCT unit) FILTER (WHERE unit IS NOT NULL) AS units FROM t4 GROUP BY k),
+facts AS (
+  SELECT k, toks AS words, list_distinct(list_filter(und, lambda t: NOT list_contains({stop}, t) AND NOT list_contains({negations}, t) AND {value('t')} IS NULL)) AS content, coalesce(quantities, []) AS quantities, coalesce(units, []) AS units,
+    list_distinct(list_concat(regexp_extract_all(x, '{iso}'), list_filter(list_transform(toks, lambda t, i: CASE WHEN {month}[t] IS NOT NULL THEN
+      coalesce(list_filter(toks[i + 1 : i + 2], lambda y: regexp_full_match(y, '[0-9]{{4}}'))[1], 'month') || '-' || lpad(({month}[t])::VARCHAR, 2, '0') END), lambda y: y IS NOT NULL))) AS dates,
+    list_distinct(list_transform(list_filter(raw[2:], lambda t: regexp_matches(t, '^\\p{{Lu}}') AND {number}[lower(t)] IS NULL), lambda t: lower(t))) AS names,
+    len(list_intersect(toks, {negations})) > 0 AS negated, len(list_intersect(toks, {conditions})) > 0 AS conditional
+  FROM t1 LEFT JOIN t5 USING (k))"""
+
+
 def oracles() -> dict[str, str]:
     marker_words = f"list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+'), lambda w: regexp_matches(w, '^[a-z]+$') AND NOT list_contains({_list(tx.AMBIGUOUS)}, w))"
     passages = f"""{FOUND}, {QUERIES}, {CHUNKS},
@@ -116,6 +140,33 @@ hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, chunk
 b AS (SELECT query_id, normalized, t, len(regexp_extract_all(t, '[அஆஇஈஉஊஎஏஐஒஓஔஃகஙசஜஞடணதநனபமயரறலளழவஶஷஸஹௐ]')) AS tam, len(regexp_extract_all(t, '\\p{{Latin}}')) AS lat, {marker_words} AS ws FROM a),
 c AS (SELECT query_id, normalized, tam, lat, tam + lat AS n, CASE WHEN tam + lat > 0 THEN tam / (tam + lat) ELSE 0 END AS t, CASE WHEN tam + lat > 0 THEN lat / (tam + lat) ELSE 0 END AS l, CASE WHEN len(ws) > 0 THEN len(list_filter(ws, lambda w: list_contains({_list(tx.TANGLISH_MARKERS)}, w))) / len(ws) ELSE 0 END AS m FROM b),
 d AS (SELECT *, CASE WHEN n = 0 THEN 'unknown' WHEN t >= .15 AND l >= .15 THEN CASE WHEN t >= l THEN 'tam' WHEN m > 0 THEN 'tanglish' ELSE 'eng' END WHEN t >= .85 THEN 'tam' WHEN m > 0 THEN 'tanglish' ELSE 'eng' END AS language FROM c)"""
+    claimed = f"""{passages}, ids AS (SELECT *, query_id || '/' || chunk_id AS k0 FROM w), {_sentences('ids', 'k0', 'content', ', query_id, chunk_id, query, rank')},
+o AS (SELECT query_id, chunk_id, rank, k, sent_start, piece, list_distinct({_features(_match('query'))}) AS qf, list_distinct({_features(_match('piece'))}) AS sf FROM s),
+e AS (SELECT *, CASE WHEN len(qf) > 0 THEN round(len(list_intersect(qf, sf)) / len(qf), 9) ELSE 0 END AS ov FROM o),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY ov DESC, k) AS n FROM e WHERE ov >= 0.1 QUALIFY n = 1),
+cl AS (SELECT query_id, chunk_id, query_id || '/' || chunk_id AS k0, sent_start, piece, ov, (row_number() OVER (PARTITION BY query_id ORDER BY ov DESC, rank, chunk_id) - 1)::INT AS claim_index FROM b QUALIFY claim_index < 3)"""
+    pairs = f"""texts AS (SELECT 'c/' || k0 AS id, piece AS body FROM cl UNION ALL SELECT 's/' || k0 || '/' || k, {_strip('piece')} FROM s WHERE k0 IN (SELECT k0 FROM cl)), {_facts('texts', 'id', 'body')},
+near AS (SELECT cl.k0, s.k AS sk FROM cl JOIN s USING (k0) JOIN facts fc ON fc.k = 'c/' || cl.k0 JOIN facts fs ON fs.k = 's/' || cl.k0 || '/' || s.k
+  QUALIFY row_number() OVER (PARTITION BY cl.k0 ORDER BY len(list_intersect(fc.content, fs.words)) DESC, s.k) = 1),
+pr AS (SELECT cl.*, c, e, CASE WHEN len(c.content) > 0 THEN len(list_intersect(c.content, e.content)) / len(c.content) ELSE 1 END AS cov,
+    list_sort(list_filter(c.units, lambda u: len(list_filter(e.quantities, lambda q: starts_with(q, u || '='))) > 0 AND len(list_intersect(list_filter(c.quantities, lambda q: starts_with(q, u || '=')), e.quantities)) = 0))[1] AS clash
+  FROM cl JOIN near USING (k0) JOIN facts c ON c.k = 'c/' || k0 JOIN facts e ON e.k = 's/' || k0 || '/' || sk),
+ms AS (SELECT *, len(list_filter(c.quantities, lambda q: NOT list_contains(e.quantities, q))) > 0 AS no_n, len(list_filter(c.dates, lambda q: NOT list_contains(e.dates, q))) > 0 AS no_d, len(list_filter(c.names, lambda q: NOT list_contains(e.names, q))) > 0 AS no_m FROM pr),
+vd AS (SELECT *, CASE WHEN len(c.content) = 0 AND len(c.units) = 0 THEN 'unsupported/empty claim' WHEN cov >= 0.5 AND clash IS NOT NULL THEN 'contradicted/number mismatch' WHEN cov >= 0.5 AND len(c.dates) > 0 AND len(e.dates) > 0 AND len(list_intersect(c.dates, e.dates)) = 0 THEN 'contradicted/date mismatch'
+    WHEN cov >= 0.9 AND c.negated <> e.negated THEN 'contradicted/negation mismatch' WHEN cov >= 0.9 AND NOT (no_n OR no_d OR no_m) THEN 'supported/confirmed' WHEN cov < 0.5 THEN 'unsupported/too few terms'
+    WHEN no_n THEN 'partial/numbers not confirmed' WHEN no_d THEN 'partial/dates not confirmed' WHEN no_m THEN 'partial/names not confirmed' WHEN e.conditional AND NOT c.conditional THEN 'partial/condition omitted' ELSE 'partial/terms not confirmed' END AS found FROM ms),
+cf AS (SELECT vd.*, r.fused_score, r.rerank_score, c2.ocr_engine, c2.ocr_confidence, w.query, list_distinct({_words(_match('w.query'))}) AS qw, {_words(_match('vd.piece'))} AS sw FROM vd JOIN w USING (query_id, chunk_id) JOIN r USING (query_id, chunk_id) JOIN c c2 USING (chunk_id)),
+cd AS (SELECT *, round(.25 * least(greatest(fused_score, 0), 1) + .35 * least(greatest(coalesce(rerank_score, fused_score), 0), 1) + .30 * CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, sw)) / len(qw) ELSE 0 END + .10 * CASE WHEN ocr_engine IS NOT NULL AND ocr_confidence IS NOT NULL THEN least(greatest(ocr_confidence, 0), 1) ELSE 1 END, 6)::DOUBLE AS sure FROM cf),
+vf AS (SELECT query_id, chunk_id, claim_index, sent_start, piece, ocr_engine, ocr_confidence, CASE WHEN found LIKE 'partial/%' OR found LIKE 'supported/%' AND sure < 0.3 THEN 'ambiguous' ELSE split_part(found, '/', 1) END AS verdict,
+    CASE WHEN found = 'unsupported/empty claim' THEN 0 ELSE round(cov, 6) END::DOUBLE AS coverage, CASE WHEN found LIKE 'supported/%' AND sure < 0.3 THEN 'weakly connected to the query' ELSE split_part(found, '/', 2) END AS reason, CASE WHEN found LIKE 'supported/%' THEN sure ELSE 0 END AS confidence FROM cd)"""
+    counts = " , ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in ("supported", "contradicted", "ambiguous", "unsupported"))
+    composed = f"""ev AS (SELECT query_id, count(*) AS evidence FROM w GROUP BY 1),
+ag AS (SELECT query_id, {counts}, count(*) AS proposed, round(avg(confidence) FILTER (WHERE verdict = 'supported'), 6) AS conf, min(ocr_confidence) FILTER (WHERE verdict = 'supported' AND ocr_engine IS NOT NULL) AS min_ocr,
+    count(*) FILTER (WHERE verdict = 'supported' AND ocr_engine IS NOT NULL AND ocr_confidence IS NULL) > 0 AS ocr_unknown, string_agg('- ' || {_strip('piece')}, chr(10) ORDER BY claim_index) FILTER (WHERE verdict = 'supported') AS body FROM vf GROUP BY 1),
+al AS (SELECT q.query_id, coalesce(evidence, 0) AS evidence, coalesce(supported, 0) AS supported, coalesce(contradicted, 0) AS contradicted, coalesce(ambiguous, 0) AS ambiguous, coalesce(unsupported, 0) AS unsupported, coalesce(proposed, 0) - coalesce(supported, 0) AS dropped, conf, min_ocr, coalesce(ocr_unknown, false) AS ocr_unknown, coalesce(body, '') AS body FROM q LEFT JOIN ev USING (query_id) LEFT JOIN ag USING (query_id)),
+wn AS (SELECT *, CASE WHEN supported > 0 THEN concat_ws('; ', CASE WHEN coalesce(conf, 0) < 0.6 THEN 'supporting confidence is moderate' END, CASE WHEN ambiguous > 0 OR unsupported > 0 OR dropped > 0 THEN 'some proposed claims were dropped as unverifiable' END, CASE WHEN min_ocr < 0.5 THEN 'cited evidence has low OCR reliability' END, CASE WHEN ocr_unknown THEN 'cited evidence has OCR of unknown reliability' END) ELSE '' END AS warnings FROM al),
+dc AS (SELECT *, CASE WHEN contradicted > 0 THEN 'escalate_for_review' WHEN supported = 0 AND evidence = 0 THEN 'abstain' WHEN supported = 0 THEN 'ask_for_clarification' WHEN warnings <> '' THEN 'answer_with_warning' ELSE 'answer' END AS decision FROM wn),
+an AS (SELECT *, decision IN ('answer', 'answer_with_warning') AS ok FROM dc)"""
     negated = lambda words: f"len(list_intersect({_words(_match('text'))}, {_list(words)})) > 0"
     return {
         "tenant_counts": "SELECT workspace_id, count(*) AS documents, coalesce(sum(n_chars), 0)::BIGINT AS chars FROM documents GROUP BY 1",
@@ -127,6 +178,10 @@ d AS (SELECT *, CASE WHEN n = 0 THEN 'unknown' WHEN t >= .15 AND l >= .15 THEN C
         "order_preserving_lookup": f"WITH {FOUND}, {CHUNKS} SELECT query_id, chunk_id, chunk_index, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, chunk_id)::INT AS ord FROM r JOIN c USING (chunk_id)",
         "broken_references": " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {p})" for t, c, p, k in parents),
         "duplicate_keys": "SELECT version_id, chunk_index, count(*) AS n FROM chunks GROUP BY 1, 2 HAVING count(*) > 1",
+        "bad_values": """SELECT 'documents' AS table_name, count(*) AS n FROM documents WHERE status NOT IN ('pending', 'processing', 'ready', 'failed', 'quarantined')
+UNION ALL SELECT 'pages', count(*) FROM pages WHERE ocr_confidence NOT BETWEEN 0 AND 1 OR page_number < 1
+UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE ocr_confidence NOT BETWEEN 0 AND 1 OR char_end <= char_start OR token_count < 1
+UNION ALL SELECT 'processed_queries', count(*) FROM processed_queries WHERE confidence NOT BETWEEN 0 AND 1 OR language NOT IN ('tam', 'eng', 'tanglish', 'unknown')""",
         "late_rows": "SELECT version_id, count(*) AS late FROM pages WHERE loaded_at > created_at + INTERVAL 1 DAY GROUP BY 1",
         "normalized_text": f"WITH {QUERIES} SELECT query_id, {normalized('original')} AS text FROM q",
         "word_tokens": f"SELECT doc_id, len(regexp_extract_all(text, '[^\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+'))::INT AS tokens, len({_words('lower(text)')})::INT AS words FROM documents WHERE text IS NOT NULL",
@@ -165,11 +220,12 @@ SELECT query_id, chunk_id, round(x, 6) AS normalized_score, row_number() OVER (P
         "claim_split": f"""WITH {_sentences('documents', 'doc_id', 'text')},
 y AS (SELECT doc_id, piece, list_filter(list_transform(string_split_regex(piece, '(?i);|\\band\\b'), lambda x: {_strip('x')}), lambda x: x <> '') AS parts FROM s)
 SELECT doc_id, unnest(CASE WHEN len(parts) >= 2 AND len(list_filter(parts, lambda x: len({_words('x')}) < 3)) = 0 THEN parts ELSE [{_strip('piece')}] END) AS claim FROM y""",
-        "top_claims": f"""WITH {passages}, ids AS (SELECT *, query_id || '/' || chunk_id AS k0 FROM w), {_sentences('ids', 'k0', 'content', ', query_id, chunk_id, query, rank')},
-o AS (SELECT query_id, chunk_id, rank, k, sent_start, piece, list_distinct({_features(_match('query'))}) AS qf, list_distinct({_features(_match('piece'))}) AS sf FROM s),
-e AS (SELECT *, CASE WHEN len(qf) > 0 THEN round(len(list_intersect(qf, sf)) / len(qf), 9) ELSE 0 END AS ov FROM o),
-b AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY ov DESC, k) AS n FROM e WHERE ov >= 0.1 QUALIFY n = 1)
-SELECT query_id, chunk_id, sent_start AS start, piece AS sentence, round(ov, 6)::DOUBLE AS overlap, (row_number() OVER (PARTITION BY query_id ORDER BY ov DESC, rank, chunk_id) - 1)::INT AS claim_index FROM b QUALIFY claim_index < 3""",
+        "top_claims": f"WITH {claimed} SELECT query_id, chunk_id, sent_start AS start, piece AS sentence, round(ov, 6)::DOUBLE AS overlap, claim_index FROM cl",
+        "verified_claims": f"WITH {claimed}, {pairs} SELECT query_id, chunk_id, claim_index, verdict, coverage, reason, confidence FROM vf",
+        "answer_claims": f"WITH {claimed}, {pairs} SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY claim_index, chunk_id) - 1)::INT AS claim_index, chunk_id, sent_start AS start, length(piece)::INT AS n_chars, confidence FROM vf WHERE verdict = 'supported'",
+        "composed_answers": f"""WITH {claimed}, {pairs}, {composed}
+SELECT query_id, decision, CASE WHEN supported > 0 AND contradicted > 0 THEN 'supported and contradicted claims coexist in the evidence' WHEN contradicted > 0 THEN 'evidence contradicts the query and no claim could be supported' WHEN supported = 0 AND evidence = 0 THEN 'insufficient_evidence' WHEN supported = 0 THEN 'evidence was retrieved but no claim could be verified' WHEN warnings <> '' THEN warnings ELSE 'well-supported by cited evidence' END AS decision_reason,
+ CASE WHEN NOT ok THEN 'abstained' WHEN dropped > 0 THEN 'partial' ELSE 'answered' END AS status, CASE WHEN ok THEN body ELSE {_quoted(answers.ABSTENTION)} END AS answer, CASE WHEN ok THEN conf ELSE 0 END::DOUBLE AS confidence, warnings, CASE WHEN NOT ok THEN CASE WHEN evidence < 1 THEN 'insufficient_evidence' ELSE decision END END AS abstention_reason, evidence, supported, dropped FROM an""",
         "claim_polarity": f"""SELECT doc_id, {negated(answers.NEGATIONS)} AS negated, {negated(answers.CONDITIONS)} AS conditional,
  array_to_string(list_sort(list_distinct(list_transform(list_filter({_words('text')}[2:], lambda t: regexp_matches(t, '^\\p{{Lu}}') AND NOT list_contains({_list(list(answers.NUMBER_WORDS))}, lower(t))), lambda t: lower(t)))), ',') AS names FROM documents WHERE text IS NOT NULL""",
         "claim_confidence": f"""WITH {passages}, o AS (SELECT query_id, chunk_id, list_distinct({_words(_match('query'))}) AS qw, {_words(_match('content'))} AS cw FROM w)
