@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quern import model
 from quern.functions import text as tx
 from quern.operators import answers, chunking, citations, embedding, evaluation, query_processing, retrieval, safety
-from quern.plans import sql
+from quern.plans import pipeline, sql
 from quern.scope import TenantScope, deliveries
-from quern.session import cut_lineage, shared_folder
+from quern.session import shared_folder
 from quern.streaming import limiter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -301,11 +301,7 @@ _CITED = ("version_id", "page_number", "section", "language", "char_start", "cha
 
 def _drafts(spark, sf):
     """Evidence, claims drafted from it, and the claims verified."""
-    kept = cut_lineage(answers.sufficient_evidence(_passages(spark, sf, *_CITED)))  # read for drafts, checks and counts
-    drafts = cut_lineage(answers.best_claims(kept))
-    checked = answers.verify(drafts.drop("rank").join(kept, ["query_id", "chunk_id"]), "sentence", "content", start="start")
-    conf = answers.claim_confidence(F.col("fused_score"), F.col("rerank_score"), answers.query_overlap(F.col("query"), F.col("sentence")), F.col("ocr_engine"), F.col("ocr_confidence"))
-    return kept, drafts, answers.with_confidence(checked, conf)
+    return pipeline.ground(_passages(spark, sf, *_CITED))
 
 
 def verified_claims(spark, sf):
@@ -330,6 +326,12 @@ def full_answers(spark, sf):
     return answers.to_answers(answers.compose(_queries(spark, sf), checked, kept, drafts), answers.surfaced(checked))
 
 
+def grounded_answers(spark, sf):
+    """Answers from the search itself: every query searched, grounded and decided upon."""
+    out = pipeline.answer_queries(_queries(spark, sf), _everyone(spark, sf), _query_vectors(spark, sf))
+    return out.select("query_id", "decision", "status", "evidence", "supported", "dropped", "confidence", F.transform("claims", lambda c: c["citation"]["chunk_id"]).alias("cited"))
+
+
 def claim_confidence(spark, sf):
     """Confidence of the six leading passages of each query, each taken whole."""
     conf = answers.claim_confidence(F.col("fused_score"), F.col("rerank_score"), answers.query_overlap(F.col("query"), F.col("content")), F.col("ocr_engine"), F.col("ocr_confidence"))
@@ -409,7 +411,7 @@ def eval_language(spark, sf):
 _ALL: tuple[Query, ...] = (
     tenant_counts, unbound_scope, ready_gate, filtered_chunks, exact_duplicates, latest_versions, order_preserving_lookup, broken_references, duplicate_keys, bad_values, late_rows, normalized_text, word_tokens,
     trigram_features, language_decision, query_variants, document_slugs, language_limits, sentence_spans, chunk_documents, chunk_provenance, lexical_topk, kept_index_topk, dense_topk, cell_topk, embedding_counts, rrf_fusion, hydrated, rerank_minmax, rerank_overlap, hybrid_search, search_metadata, evidence, newest_documents,
-    hashing_embeddings, top_claims, claim_split, claim_polarity, verified_claims, composed_answers, answer_claims, full_answers, claim_confidence, citation_resolve, citation_sentences, injection_signals, injection_rules_hits, invisible_characters,
+    hashing_embeddings, top_claims, claim_split, claim_polarity, verified_claims, composed_answers, answer_claims, full_answers, grounded_answers, claim_confidence, citation_resolve, citation_sentences, injection_signals, injection_rules_hits, invisible_characters,
     document_safety, rate_limit, eval_ranking, eval_language,
 )
 
