@@ -13,10 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def first_delivery(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """One row per key. Re-delivered rows agree in ``columns``, so any of them serves;
+    """One row per key; rows without a key are left out. Re-delivered rows agree in ``columns``, so any of them serves;
     the least non-null value is taken to stay deterministic. Only ``columns`` are shuffled,
     after a map-side merge."""
-    return df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in columns if c not in keys])
+    return df.dropna(subset=keys).groupBy(*keys).agg(*[F.min(c).alias(c) for c in columns if c not in keys])
 
 
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:

@@ -12,7 +12,7 @@ sentences.
 
 The samples are the only labelled rows used: at most MAX_SAMPLES of them, their bound; all else
 is per text. Results: texts that are null, blank or without letters have no segments; texts of
-any length are labelled whole; re-delivered rows count once. Words of a script that no sample
+any length are labelled whole; re-delivered rows count once, rows without an id not at all. Words of a script that no sample
 has get language 'und'.
 """
 
@@ -402,7 +402,7 @@ def record_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "chunks").select(F.lit("chunk").alias("record_kind"), F.col("chunk_id").alias("record_id"), none.alias("version_id"), F.col("language").alias("label"), F.col("content").alias("text")).unionByName(
         table(spark, sf_dir, "pages").select(F.lit("page").alias("record_kind"), F.col("page_id").alias("record_id"), "version_id", F.col("language").alias("label"), "text")
     )
-    done = _summaries(texts.where("text is not null"), ["record_kind", "record_id", "version_id", "label"], "text", samples)
+    done = _summaries(texts.where("text is not null and record_id is not null"), ["record_kind", "record_id", "version_id", "label"], "text", samples)
     # Re-delivered rows were tagged alike; they are dropped here, where rows are small.
     rows = checkpointed(done.groupBy("record_kind", "record_id", "language").agg(*[F.max(c).alias(c) for c in ("version_id", "label", "whole", "letters", "sure")]))
     of_versions = rows.where("record_kind = 'page'").groupBy("version_id", "language").agg(*[F.sum(c).alias(c) for c in ("whole", "letters", "sure")])

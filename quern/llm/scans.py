@@ -10,7 +10,7 @@ known. What is left is reflowed into paragraphs.
 
 A page is taken for a scan if it has an engine or a confidence, or the look of wrapped lines,
 and no line longer than MAX_WIDTH. Results: pages without text have no lines; re-delivered pages
-count once; a page number that occurs twice in a version is compared with both neighbours.
+count once, pages without an id not at all; a page number that occurs twice in a version is compared with both neighbours.
 Nothing is grouped by version, so one long version does not burden one task.
 """
 

@@ -20,7 +20,7 @@ Headings, list items and table lines are units by layout.
 
 Results: null and blank texts give no units. Units are exact slices, in order, without overlap;
 only white space lies between them. Texts may be of any length (one linear scan). Re-delivered
-chunks count once, for the statistics too.
+chunks count once, for the statistics too; rows without an id are left out.
 """
 
 from __future__ import annotations

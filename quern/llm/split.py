@@ -11,7 +11,7 @@ Results: null and blank texts give no pieces; texts within the limit give one. P
 non-blank text, are at most ``limit`` long, and are exact slices content[start:end]. In code
 points the overlap is exact; in another measure it is the whole tokens that fit into it, and a
 token above the limit is cut within. Texts may be of any length (linear scan, logarithmic
-search). Repeated chunk rows are split once per key.
+search). Repeated chunk rows are split once per key, rows without an id not at all.
 """
 
 from __future__ import annotations
