@@ -46,6 +46,9 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.xxhash64("workspace_id", "term"), F.lit(shards)).cast("int")
 
 
+INDEX = "workspace_id string, term string, chunk_id string, tf long, shard int"
+
+
 def save_index(index: DataFrame, path: str, shards: int = INDEX_SHARDS) -> None:
     """Keep an inverted index for later batches, in shards by workspace and term. A shard is
     sorted by both, so the row groups that a term does not touch are skipped."""
@@ -56,7 +59,7 @@ def load_index(spark: SparkSession, path: str, terms: DataFrame, shards: int = I
     """The postings of the terms asked (workspace_id, term) from a kept index; shards without any
     are not read."""
     wanted = terms.select("workspace_id", "term").distinct().withColumn("shard", _shard(shards))
-    return spark.read.parquet(path).join(wanted, ["shard", "workspace_id", "term"], "left_semi").drop("shard")
+    return spark.read.schema(INDEX).parquet(path).join(wanted, ["shard", "workspace_id", "term"], "left_semi").drop("shard")
 
 
 def variants(queries: DataFrame) -> DataFrame:
@@ -147,6 +150,8 @@ def train_cells(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: in
     """Centres of an inverted-file index by spherical k-means over at most ``sample`` vectors, a
     stated bound; the vectors with the least hashed ids are taken."""
     rows = vectors.where(F.size("vec") > 0).orderBy(F.xxhash64("id"), "id").select("vec").limit(sample).collect()
+    if not rows:
+        return np.zeros((0, 0))
     m = np.array([r.vec for r in rows], dtype=np.float64)
     m = m[np.linalg.norm(m, axis=1) > 0]
     m /= np.linalg.norm(m, axis=1)[:, None]
@@ -170,6 +175,8 @@ def in_cells(df: DataFrame, vec: str, centres: np.ndarray, probes: int) -> DataF
                 near = np.argsort(-(np.stack(pdf[vec].to_numpy()).astype(np.float64) @ centres.T), axis=1)[:, :probes]
                 yield pdf.assign(cell=[[int(c) for c in row] for row in near])
 
+    if not len(centres):  # made of no vectors
+        return df.where(F.lit(False)).withColumn("cell", F.lit(0))
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
     usable = df.where(F.size(vec) == centres.shape[1])
     return usable.mapInPandas(run, schema + ", cell array<int>").withColumn("cell", F.explode("cell"))

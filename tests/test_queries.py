@@ -31,3 +31,24 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.fixture(scope="module")
+def empty(spark, sf, tmp_path_factory):
+    import glob
+    import os
+
+    to = str(tmp_path_factory.mktemp("empty"))
+    for p in glob.glob(f"{sf}/*.parquet"):
+        spark.read.parquet(p).limit(0).write.parquet(f"{to}/{os.path.basename(p)}")
+    return to
+
+
+#: Queries that count or measure have a row for that there is nothing.
+MEASURES = {"broken_references", "bad_values", "eval_ranking"}
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_empty_tables(spark, empty, name):
+    n = registry.queries()[name](spark, empty).count()
+    assert n == 0 or name in MEASURES
