@@ -57,6 +57,9 @@ TOKEN = re.compile(r"\S+")
 RUN = re.compile(r"[.!?।॥。！？…]+")
 WEB = re.compile(r"^(?:https?://|www\.)|@", re.I)
 THAI = re.compile("[฀-๿]")
+QUOTE = re.compile("[\"“”「」『』«»]")
+UNSEEN = frozenset(c for c in map(chr, range(0x10000)) if INVISIBLE.match(c))
+HARD_SET = frozenset(HARD)
 LONGEST_HEADING = 60
 _LIKE = {ord(a): b for a, b in LOOKALIKES.items()}
 
@@ -282,8 +285,8 @@ class Model:
 def _quotes(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Quoted passages (opening, closing offset) that close within the paragraph."""
     out, opened, plain_open = [], [], -1
-    for m in re.finditer("[\"“”「」『』«»]", text[start:end]):
-        at, ch = start + m.start(), m.group()
+    for m in QUOTE.finditer(text, start, end):
+        at, ch = m.start(), m.group()
         if ch == '"':
             before = text[at - 1] if at > start else " "
             after = text[at + 1] if at + 1 < end else " "
@@ -381,7 +384,7 @@ class Segmenter:
 
     def _cuts(self, text: str, start: int, end: int, quotes: list[tuple[int, int]], opens: list[int]) -> Iterator[int]:
         self._begin = start
-        closing = {b: a for a, b in quotes}
+        closing = {b: a for a, b in quotes} if quotes else {}
         marks = [(m.start(), m.end(), True) for m in RUN.finditer(text, start, end)]
         if THAI.search(text, start, end):
             marks += [(m.start(), m.end(), False) for m in re.finditer(r"\s+", text[start:end]) for m in [_Shift(m, start)]]
@@ -411,6 +414,8 @@ class Segmenter:
 
     @staticmethod
     def _inside(at: int, quotes: list[tuple[int, int]], opens: list[int]) -> bool:
+        if not opens:
+            return False
         k = bisect_right(opens, at) - 1
         return any(quotes[i][0] < at < quotes[i][1] for i in range(k, max(-1, k - 3), -1))
 
@@ -431,7 +436,7 @@ class Segmenter:
             return True
         spaced = text[stop].isspace()
         at = stop
-        while at < end and (text[at].isspace() or INVISIBLE.match(text[at])):
+        while at < end and (text[at].isspace() or text[at] in UNSEEN):
             at += 1
         if at >= end:
             return True
@@ -447,7 +452,7 @@ class Segmenter:
         token = _token_before(text, a, start) if plain_mark or "…" in run else ""
         if not spaced and plain_mark and WEB.search(token + run + following):
             return False
-        if any(c in HARD for c in run):
+        if not HARD_SET.isdisjoint(run):
             return spaced or not (after.isascii() and (after.islower() or not after.isalnum())) or after in OPENERS
         if "…" in run or len(run) > 2:
             attached = a > start and not text[a - 1].isspace()
