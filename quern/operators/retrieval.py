@@ -36,7 +36,8 @@ def postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(workspace_id, term, chunk_id, tf): the inverted index. With ``asked`` (workspace_id, term)
     only the postings of these terms are counted, and the others never shuffled where the terms
     are few enough to be broadcast."""
-    exploded = chunks.select("workspace_id", "chunk_id", F.explode(index_terms(F.col("content"))).alias("term"))
+    # An inner explode would be given a filter on its array, which works the terms out again.
+    exploded = chunks.select("workspace_id", "chunk_id", F.explode_outer(index_terms(F.col("content"))).alias("term")).where("term is not null")
     if asked is not None:
         exploded = exploded.join(asked.select("workspace_id", "term").distinct(), ["workspace_id", "term"], "left_semi")
     return exploded.groupBy("workspace_id", "term", "chunk_id").agg(F.count("*").alias("tf"))
@@ -107,41 +108,61 @@ def dense_search(queries: DataFrame, vectors: DataFrame, on: list[str], limit: i
     """(query_id, id, similarity, rank) by exact cosine. ``queries`` has query_id and query_vec,
     ``vectors`` id and vec; ``on`` are the columns (tenant, model, version) that must agree, if
     any. Both sides are dealt into blocks of bounded size; a tile of two blocks is a matrix
-    product that gives at most the best of each query, so no pair is ever a row and a tenant with
-    most of the vectors has more tiles, not larger ones. Vectors that are null, all zero or of
+    product that gives at most the best of each query, so no pair is ever a row. A tenant with
+    most of the vectors has more tiles, not larger ones, and small tenants share one. Vectors that are null, all zero or of
     another length than the query's are not compared."""
     group = F.struct(*on) if on else F.struct(F.lit(0).alias("all"))
-    q = queries.where(F.size("query_vec") > 0).select(F.struct(group.alias("on"), F.size("query_vec").alias("width")).alias("g"), F.col("query_id").alias("key"), F.col("query_vec").cast("array<double>").alias("v"))
-    v = vectors.where(F.size("vec") > 0).select(F.struct(group.alias("on"), F.size("vec").alias("width")).alias("g"), F.col("id").alias("key"), F.col("vec").cast("array<double>").alias("v"))
+    named = lambda df, key, vec: df.where(F.size(vec) > 0).select(F.to_json(F.struct(group.alias("on"), F.size(vec).alias("width"))).alias("g"), F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v"))
+    q, v = named(queries, "query_id", "query_vec"), named(vectors, "id", "vec")
     kinds = dict(q.dtypes)["key"], dict(v.dtypes)["key"]
 
-    def dealt(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        counts = df.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(f"{name}s"))
-        return counts, df.join(counts, "g").withColumn(name, F.pmod(F.xxhash64("key"), F.col(f"{name}s")).cast("int")).drop(f"{name}s")
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(f"{name}s"), F.count("*").alias(f"{name}_rows"))
 
-    (q_counts, q_rows), (v_counts, v_rows) = dealt(q, "part"), dealt(v, "block")
+    # Small groups are packed together, as many as make up a block; large ones are parted.
+    counts = sizes(q, "part").join(sizes(v, "block"), "g")
+    lone = F.when((F.col("parts") == 1) & (F.col("blocks") == 1), F.col("part_rows") + F.col("block_rows"))
+    total = counts.agg(F.ceil(F.coalesce(F.sum(lone), F.lit(0)) / F.lit(BLOCK_ROWS)).cast("int").alias("full"))
+    packs = F.greatest(F.col("full"), F.lit(2 * q.sparkSession.sparkContext.defaultParallelism))
+    name = F.when(lone.isNull(), F.col("g")).otherwise(F.pmod(F.xxhash64("g"), packs).cast("string"))
+    counts = counts.crossJoin(F.broadcast(total)).select("g", "parts", "blocks", name.alias("pack"))  # total is one row
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = q_rows.join(v_counts, "g").withColumn("block", every("blocks")).select("g", "part", "block", "key", "v")
-    right = v_rows.join(q_counts, "g").withColumn("part", every("parts")).select("g", "part", "block", "key", "v")
-
-    def unit(t: pa.Table) -> tuple[np.ndarray, pa.Array]:
-        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        m = flat.reshape(t.num_rows, -1)
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    left = q.join(counts, "g").withColumn("part", own("parts")).withColumn("block", every("blocks")).select(F.col("pack").alias("pack"), "part", "block", F.col("g").alias("g"), "key", "v")
+    right = v.join(counts, "g").withColumn("block", own("blocks")).withColumn("part", every("parts")).select(F.col("pack").alias("pack"), "part", "block", F.col("g").alias("g"), "key", "v")
+
+    def groups(t: pa.Table) -> dict[str, np.ndarray]:
+        """Row numbers by group."""
+        codes = t.column("g").combine_chunks().dictionary_encode()
+        order = np.argsort(indices := codes.indices.to_numpy(), kind="stable")
+        edges = np.searchsorted(indices[order], np.arange(len(codes.dictionary) + 1))
+        return {g: order[i:j] for g, i, j in zip(codes.dictionary.to_pylist(), edges, edges[1:])}
+
+    def units(t: pa.Table, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of one group scaled to length 1, and their numbers; those without a length left out."""
+        cells = t.column("v").combine_chunks()
+        offsets = cells.offsets.to_numpy()
+        m = cells.values.to_numpy(zero_copy_only=False)[offsets[at][:, None] + np.arange(offsets[at[0] + 1] - offsets[at[0]])]
         norms = np.sqrt(np.einsum("ij,ij->i", m, m))
         keep = np.isfinite(norms) & (norms > 0)
-        return m[keep] / norms[keep, None], t.column("key").combine_chunks().filter(pa.array(keep))
+        return m[keep] / norms[keep, None], at[keep]
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = [pa.table({"query_id": a.column("key").slice(0, 0), "id": b.column("key").slice(0, 0), "similarity": pa.array([], pa.float64())})]
+        left, right, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if a.num_rows and b.num_rows:
-            (x, x_keys), (y, y_keys) = unit(a), unit(b)
-            for s in range(0, len(x), 512) if len(y) else ():
-                product = x[s : s + 512] @ y.T
-                at, to = _top_cells(product, limit)
-                found.append(pa.table({"query_id": x_keys.take(pa.array(at + s)), "id": y_keys.take(pa.array(to)), "similarity": np.round(product[at, to], 9)}))
-        return pa.concat_tables(found)
-
-    keys = ("g", "part", "block")
+            others = groups(b)
+            for g, at in groups(a).items():
+                (x, x_at), (y, y_at) = units(a, at), units(b, others[g])
+                for s in range(0, len(x), 512) if len(y) else ():
+                    product = x[s : s + 512] @ y.T
+                    i, j = _top_cells(product, limit)
+                    left.append(x_at[i + s])
+                    right.append(y_at[j])
+                    found.append(np.round(product[i, j], 9))
+        take = lambda t, n: t.column("key").combine_chunks().take(pa.array(np.concatenate(n)))
+        return pa.table({"query_id": take(a, left), "id": take(b, right), "similarity": np.concatenate(found)})
+
+    keys = ("pack", "part", "block")
     best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
     return top_per(best, "query_id", [F.desc("similarity"), F.asc("id")], limit)
 
