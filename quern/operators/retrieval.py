@@ -123,9 +123,9 @@ def dense_search(queries: DataFrame, vectors: DataFrame, on: list[str], limit: i
     counts = sizes(q, "part").join(sizes(v, "block"), "g")
     lone = F.when((F.col("parts") == 1) & (F.col("blocks") == 1), F.col("part_rows") + F.col("block_rows"))
     total = counts.agg(F.ceil(F.coalesce(F.sum(lone), F.lit(0)) / F.lit(BLOCK_ROWS)).cast("int").alias("full"))
-    packs = F.greatest(F.col("full"), F.lit(2 * q.sparkSession.sparkContext.defaultParallelism))
+    packs = F.greatest(total.scalar(), F.lit(2 * q.sparkSession.sparkContext.defaultParallelism))
     name = F.when(lone.isNull(), F.col("g")).otherwise(F.pmod(F.xxhash64("g"), packs).cast("string"))
-    counts = counts.crossJoin(F.broadcast(total)).select("g", "parts", "blocks", name.alias("pack"))  # total is one row
+    counts = counts.select("g", "parts", "blocks", name.alias("pack"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     left = q.join(counts, "g").withColumn("part", own("parts")).withColumn("block", every("blocks")).select(F.col("pack").alias("pack"), "part", "block", F.col("g").alias("g"), "key", "v")
