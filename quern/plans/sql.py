@@ -236,6 +236,12 @@ k AS (SELECT query_id || '/' || chunk_id AS ref_id, workspace_id, version_id, ch
 j AS (SELECT k.*, x.content, x.page_number, x.char_start, x.document_id, x.ocr_engine, x.ocr_confidence FROM k LEFT JOIN (SELECT c.*, ready.document_id FROM c JOIN ready USING (version_id, workspace_id)) x USING (workspace_id, version_id, chunk_id)),
 m AS (SELECT *, CASE WHEN content IS NULL THEN 'NOT_FOUND' WHEN e > length(content) THEN 'OUT_OF_RANGE' WHEN substr(content, a + 1, e - a) <> quote THEN 'QUOTE_MISMATCH' END AS error FROM j)
 SELECT ref_id, error, CASE WHEN error IS NULL THEN document_id END AS document_id, CASE WHEN error IS NULL THEN page_number END AS page_number, CASE WHEN error IS NULL THEN char_start + a END AS page_quote_start, CASE WHEN error IS NULL THEN char_start + e END AS page_quote_end,
+ CASE WHEN error IS NULL THEN round(CASE WHEN ocr_engine IS NULL THEN 1 ELSE ocr_confidence END, 6)::DOUBLE END AS reliability FROM m""",
+        "citation_sentences": f"""WITH {claimed}, {READY},
+k AS (SELECT cl.k0 AS ref_id, r.workspace_id, r.version_id, chunk_id, sent_start AS a, (sent_start + length(piece))::INT AS z, piece AS quote FROM cl JOIN r USING (query_id, chunk_id)),
+j AS (SELECT k.*, x.content, x.page_number, x.char_start, x.document_id, x.ocr_engine, x.ocr_confidence FROM k LEFT JOIN (SELECT c.*, ready.document_id FROM c JOIN ready USING (version_id, workspace_id)) x USING (workspace_id, version_id, chunk_id)),
+m AS (SELECT *, CASE WHEN content IS NULL THEN 'NOT_FOUND' WHEN z > length(content) THEN 'OUT_OF_RANGE' WHEN substr(content, a + 1, z - a) <> quote THEN 'QUOTE_MISMATCH' END AS error FROM j)
+SELECT ref_id, error, CASE WHEN error IS NULL THEN document_id END AS document_id, CASE WHEN error IS NULL THEN page_number END AS page_number, CASE WHEN error IS NULL THEN char_start + a END AS page_quote_start, CASE WHEN error IS NULL THEN char_start + z END AS page_quote_end,
  CASE WHEN error IS NULL THEN round(CASE WHEN ocr_engine IS NULL THEN 1 ELSE ocr_confidence END, 6)::DOUBLE END AS reliability FROM m""",
         "injection_rules_hits": f"WITH planted AS (SELECT doc_id, text || chr(10) || ({_list(list(PLANTED))})[doc_id % {len(PLANTED)} + 1] AS text FROM documents WHERE text IS NOT NULL), h AS ({rules}) SELECT doc_id, rule, hits FROM h WHERE hits > 0",
         "rate_limit": """WITH RECURSIVE ev AS (SELECT user_id::VARCHAR AS user_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
