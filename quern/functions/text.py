@@ -190,13 +190,15 @@ def transliterate(s: pd.Series) -> pd.Series:
 
 _TOKEN = re.compile(r"[^\W_]+")
 _TRANSLATED = str.maketrans({**{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}})
-_PUNCTUATION = str.maketrans(PUNCTUATION)
+_WIDE, _FOLDED = re.compile("[\uff01-\uff5e]"), re.compile(f"[{''.join(map(re.escape, PUNCTUATION))}]")
 
 
 def match_form(text: str) -> str:
     """normalize_for_match of one string."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text.translate(_TRANSLATED)).translate(_PUNCTUATION)
+        # Few letters are folded, and a translation looks every one up.
+        text = unicodedata.normalize("NFC", text.translate(_TRANSLATED) if _WIDE.search(text) else text)
+        text = _FOLDED.sub(lambda m: PUNCTUATION[m.group()], text)
     return " ".join(text.split()).casefold()
 
 
@@ -214,7 +216,7 @@ def _grams(token: str) -> tuple[str, ...]:
 @functools.lru_cache(1 << 13)
 def features_of(text: str) -> frozenset[str]:
     """Words and letter triples of a text, as feature_set gives them."""
-    return frozenset().union(*map(_grams, tokens_of(text)))
+    return frozenset().union(*map(_grams, set(tokens_of(text))))
 
 
 def slug(c: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.functions.text import features_of, index_terms
@@ -18,6 +19,8 @@ CANDIDATES, RRF_K, RERANK_POOL, TOP_K, MAX_TOP_K, OCCURRENCE = 50, 60, 30, 10, 5
 ANSWER_TOP_K, MAX_ANSWER_TOP_K = 8, 20
 #: Vectors of one tile of a dense search; shards of a kept index.
 BLOCK_ROWS, INDEX_SHARDS = 8_192, 64
+#: Queries and words of one tile of a lexical search; letters that count as a word.
+PART_QUERIES, BLOCK_WORDS, WORD_LETTERS = 8_192, 2_000_000, 6
 
 
 def clamp_top_k(asked: int | None, default: int = TOP_K, most: int = MAX_TOP_K) -> int:
@@ -70,9 +73,13 @@ def variants(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "workspace_id", F.array_distinct(clean).alias("variants"))
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    """(query_id, workspace_id, terms): the distinct terms of all variants of each query."""
+    return variants(queries).select("query_id", "workspace_id", F.array_distinct(F.flatten(F.transform("variants", lambda v: index_terms(v)))).alias("terms"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
-    terms = F.array_distinct(F.flatten(F.transform("variants", lambda v: index_terms(v))))
-    return variants(queries).select("query_id", "workspace_id", F.explode(terms).alias("term"))
+    return _asked(queries).select("query_id", "workspace_id", F.explode("terms").alias("term"))
 
 
 def ready_chunks(scope: TenantScope, *columns: str, language: str | None = None, document_id: str | None = None) -> DataFrame:
@@ -88,11 +95,109 @@ def ready_chunks(scope: TenantScope, *columns: str, language: str | None = None,
     return deliveries(chunks.join(versions.select("version_id"), "version_id", "left_semi"), "chunk_id", columns=columns)
 
 
+def _tiles(q: DataFrame, v: DataFrame, q_most: int, v_most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (g, key, load and more) with pack, part and block: the tiles in which every row
+    of ``q`` meets every row of ``v`` of its group g once. A part or a block holds about the load
+    given at most. Small groups are packed together, as many as make up a block; large ones are
+    parted. Groups of one side only are left out."""
+
+    def sizes(df: DataFrame, name: str, most: int) -> DataFrame:
+        return df.groupBy("g").agg(F.greatest(F.lit(1), F.ceil(F.sum("load") / F.lit(most))).cast("int").alias(f"{name}s"), F.sum("load").alias(f"{name}_load"))
+
+    counts = sizes(q, "part", q_most).join(sizes(v, "block", v_most), "g")
+    lone = F.when((F.col("parts") == 1) & (F.col("blocks") == 1), F.col("part_load") + F.col("block_load"))
+    total = counts.agg(F.ceil(F.coalesce(F.sum(lone), F.lit(0)) / F.lit(v_most)).cast("int").alias("full"))
+    packs = F.greatest(total.scalar(), F.lit(2 * q.sparkSession.sparkContext.defaultParallelism))
+    name = F.when(lone.isNull(), F.col("g")).otherwise(F.pmod(F.xxhash64("g"), packs).cast("string"))
+    counts = counts.select("g", "parts", "blocks", name.alias("pack"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    rest = lambda df: [c for c in df.columns if c not in ("g", "load")]
+    left = q.join(counts, "g").withColumn("part", own("parts")).withColumn("block", every("blocks")).select(F.col("pack").alias("pack"), "part", "block", F.col("g").alias("g"), *rest(q))
+    right = v.join(counts, "g").withColumn("block", own("blocks")).withColumn("part", every("parts")).select(F.col("pack").alias("pack"), "part", "block", F.col("g").alias("g"), *rest(v))
+    return left, right
+
+
+def _flat(t: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """The terms of all rows, and the row of each."""
+    lists = t.column("terms").combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _most_matches(a: pa.Table, b: pa.Table, limit: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Of queries ``a`` (g, key, terms) and chunks ``b`` (g, key, terms, tf): rows of a, rows of b
+    and matching positions of the ``limit`` chunks that match each query most, ties by key. Term
+    by term, the postings of a query are added up over the chunks of its group."""
+    (terms, q_row), (words, v_row) = _flat(a), _flat(b)
+    vocabulary = terms.unique()
+    term, word = (pc.index_in(x, value_set=vocabulary) for x in (terms, words))
+    known = word.is_valid().to_numpy(zero_copy_only=False)
+    v_row, word = v_row[known], word.drop_null().to_numpy()
+    # Chunks are numbered in the order of their keys, each with one of its rows.
+    keys = b.column("key").combine_chunks().dictionary_encode(null_encoding="encode")
+    chunk, first = keys.indices.to_numpy(), np.zeros(len(keys.dictionary), np.int64)
+    first[chunk] = np.arange(len(chunk))
+    order = pc.sort_indices(keys.dictionary, null_placement="at_start").to_numpy()
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    groups = a.column("g").combine_chunks().unique()
+    q_group, v_group = (pc.fill_null(pc.index_in(t.column("g").combine_chunks(), value_set=groups), -1).to_numpy() for t in (a, b))
+    here = v_group[v_row] >= 0
+    v_row, word = v_row[here], word[here]
+    # One posting for each group, term and chunk, in this order.
+    at = (v_group[v_row].astype(np.int64) * len(vocabulary) + word) * len(order) + number[chunk[v_row]]
+    by = np.argsort(at, kind="stable")
+    edges = np.flatnonzero(np.diff(at[by], prepend=-1))
+    tf = np.add.reduceat(b.column("tf").to_numpy()[v_row[by]], edges).astype(np.float64) if len(edges) else np.zeros(0)
+    at = at[by][edges]
+    place = at % max(len(order), 1)
+    wanted = (q_group[q_row].astype(np.int64) * len(vocabulary) + term.to_numpy(zero_copy_only=False)) * len(order)
+    low, high = np.searchsorted(at, wanted), np.searchsorted(at, wanted + len(order))
+    bounds = np.searchsorted(q_row, np.arange(a.num_rows + 1))
+    # Within a group the chunks are numbered from 0, so that sums stay short.
+    ends = np.searchsorted(at, np.arange(len(groups) + 1, dtype=np.int64) * len(vocabulary) * len(order))
+    chunks = [np.unique(place[i:j]) for i, j in zip(ends, ends[1:])]
+    for c, i, j in zip(chunks, ends, ends[1:]):
+        place[i:j] = np.searchsorted(c, place[i:j])
+    left, right, found = [], [], []
+    for row in range(a.num_rows):
+        spans = [(i, j) for i, j in zip(low[bounds[row] : bounds[row + 1]].tolist(), high[bounds[row] : bounds[row + 1]].tolist()) if i < j]
+        if spans:
+            sums = np.bincount(np.concatenate([place[i:j] for i, j in spans]), np.concatenate([tf[i:j] for i, j in spans]))
+            hits = np.flatnonzero(sums)
+            if len(hits) > limit:
+                n = sums[hits]
+                last = np.partition(n, -limit)[-limit]
+                above = hits[n > last]
+                hits = np.concatenate([above, hits[n == last][: limit - len(above)]])
+            left.append(np.full(len(hits), row))
+            right.append(first[order[chunks[q_group[row]][hits]]])
+            found.append(sums[hits].astype(np.int64))
+    return left, right, found
+
+
 def lexical_search(queries: DataFrame, index: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """(query_id, chunk_id, score, rank): any term matches; the score is a tenth of the number
-    of matching positions."""
-    hits = query_terms(queries).join(index, ["workspace_id", "term"])
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("tf") * OCCURRENCE, 6).alias("score"))
+    of matching positions. ``index`` has postings (workspace_id, term, chunk_id, tf), or texts
+    (workspace_id, chunk_id, content) whose terms are counted where they are needed. Queries meet
+    the chunks of their workspace in tiles of bounded size, which give at most the best of each
+    query, so no match is ever a row."""
+    texts = "content" in index.columns
+    terms, tf, load = (index_terms(F.col("content")), F.lit(1), F.coalesce(F.length("content"), F.lit(0)) / WORD_LETTERS) if texts else (F.array("term"), F.col("tf"), F.lit(1))
+    q = _asked(queries).where(F.size("terms") > 0).select(F.col("workspace_id").alias("g"), F.col("query_id").alias("key"), F.lit(1).alias("load"), "terms")
+    v = index.where("workspace_id is not null").select(F.col("workspace_id").alias("g"), F.col("chunk_id").alias("key"), load.alias("load"), terms.alias("terms"), tf.cast("long").alias("tf"))
+    kinds = dict(q.dtypes)["key"], dict(v.dtypes)["key"]
+
+    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        left, right, found = _most_matches(a, b, limit) if a.num_rows and b.num_rows else ([], [], [])
+        take = lambda t, n: t.column("key").combine_chunks().take(pa.array(np.concatenate([np.zeros(0, np.int64), *n])))
+        return pa.table({"query_id": take(a, left), "chunk_id": take(b, right), "n": np.concatenate([np.zeros(0, np.int64), *found])})
+
+    keys = ("pack", "part", "block")
+    left, right = _tiles(q, v, PART_QUERIES, BLOCK_WORDS)
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, f"query_id {kinds[0]}, chunk_id {kinds[1]}, n long")
+    scored = best.select("query_id", "chunk_id", F.round(F.col("n") * OCCURRENCE, 6).alias("score"))
     return top_per(scored, "query_id", [F.desc("score"), F.asc("chunk_id")], limit)
 
 
@@ -112,24 +217,11 @@ def dense_search(queries: DataFrame, vectors: DataFrame, on: list[str], limit: i
     most of the vectors has more tiles, not larger ones, and small tenants share one. Vectors that are null, all zero or of
     another length than the query's are not compared."""
     group = F.struct(*on) if on else F.struct(F.lit(0).alias("all"))
-    named = lambda df, key, vec: df.where(F.size(vec) > 0).select(F.to_json(F.struct(group.alias("on"), F.size(vec).alias("width"))).alias("g"), F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v"))
+    named = lambda df, key, vec: df.where(F.size(vec) > 0).select(F.to_json(F.struct(group.alias("on"), F.size(vec).alias("width"))).alias("g"), F.col(key).alias("key"), F.lit(1).alias("load"), F.col(vec).cast("array<double>").alias("v"))
     q, v = named(queries, "query_id", "query_vec"), named(vectors, "id", "vec")
     kinds = dict(q.dtypes)["key"], dict(v.dtypes)["key"]
 
-    def sizes(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(f"{name}s"), F.count("*").alias(f"{name}_rows"))
-
-    # Small groups are packed together, as many as make up a block; large ones are parted.
-    counts = sizes(q, "part").join(sizes(v, "block"), "g")
-    lone = F.when((F.col("parts") == 1) & (F.col("blocks") == 1), F.col("part_rows") + F.col("block_rows"))
-    total = counts.agg(F.ceil(F.coalesce(F.sum(lone), F.lit(0)) / F.lit(BLOCK_ROWS)).cast("int").alias("full"))
-    packs = F.greatest(total.scalar(), F.lit(2 * q.sparkSession.sparkContext.defaultParallelism))
-    name = F.when(lone.isNull(), F.col("g")).otherwise(F.pmod(F.xxhash64("g"), packs).cast("string"))
-    counts = counts.select("g", "parts", "blocks", name.alias("pack"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    left = q.join(counts, "g").withColumn("part", own("parts")).withColumn("block", every("blocks")).select(F.col("pack").alias("pack"), "part", "block", F.col("g").alias("g"), "key", "v")
-    right = v.join(counts, "g").withColumn("block", own("blocks")).withColumn("part", every("parts")).select(F.col("pack").alias("pack"), "part", "block", F.col("g").alias("g"), "key", "v")
+    left, right = _tiles(q, v, BLOCK_ROWS, BLOCK_ROWS)
 
     def groups(t: pa.Table) -> dict[str, np.ndarray]:
         """Row numbers by group."""
@@ -224,13 +316,22 @@ def fuse(lists: DataFrame, k: int = RRF_K, limit: int | None = None) -> DataFram
 HYDRATED = ("workspace_id", "version_id", "content", "page_number", "section", "char_start", "char_end", "language", "ocr_engine", "ocr_confidence")
 
 
+def _delivered(scope: TenantScope) -> DataFrame:
+    """Every chunk with what a found one is given. One plan, so that its shuffle is made once
+    where it is read more than once."""
+    return deliveries(scope.table("chunks"), "chunk_id", columns=HYDRATED)
+
+
 def hydrate(found: DataFrame, scope: TenantScope) -> DataFrame:
     """Content and provenance joined after the limits; rows of documents that are not ready, or
-    of another workspace, vanish. Only the chunks found are deduplicated."""
-    wanted = found.select("chunk_id").distinct()
-    chunks = deliveries(scope.table("chunks").join(wanted, "chunk_id", "left_semi"), "chunk_id", columns=HYDRATED)
+    of another workspace, vanish. ``found`` is read once: it may be a whole search."""
     versions = scope.ready_versions().select("version_id", "document_id", F.col("workspace_id").alias("owner"))
-    return found.join(chunks, "chunk_id").join(versions, "version_id").where("workspace_id = owner").drop("owner")
+    return found.join(_delivered(scope).join(versions, "version_id").where("workspace_id = owner").drop("owner"), "chunk_id")
+
+
+def with_content(rows: DataFrame, scope: TenantScope) -> DataFrame:
+    """rows with the content of their chunks, joined anew: what is ranked need not carry it."""
+    return rows.join(_delivered(scope).select("chunk_id", "content"), "chunk_id")
 
 
 def overlap(query: frozenset[str], passage: frozenset[str]) -> float:
@@ -248,22 +349,28 @@ RERANKERS: dict[str, Callable[[list[str], list[str]], list[float]]] = {
 def rerank_scores(rows: DataFrame, query: str = "query", passage: str = "content", reranker: str = "lexical", tolerant: bool = False) -> DataFrame:
     """rows with raw_score, unrounded. A reranker that gives a wrong number of scores fails the
     job; one that raises fails it too, unless ``tolerant``: then its rows have null scores."""
+    scored = _scoring(reranker, tolerant)
+    return dealt_for_work(rows, "chunk_id", "query_id").withColumn("raw_score", scored(query, passage))
+
+
+def _scoring(reranker: str, tolerant: bool) -> Callable[..., Column]:
+    """The reranker as a function of the columns of the query and the passage. Only these two
+    go to Python."""
     score = RERANKERS[reranker]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            try:
-                raw = score([q if isinstance(q, str) else "" for q in pdf[query]], [p if isinstance(p, str) else "" for p in pdf[passage]])
-            except Exception:
-                if not tolerant:
-                    raise
-                raw = [None] * len(pdf)
-            if len(raw) != len(pdf):
-                raise ValueError(f"{reranker}: {len(raw)} scores for {len(pdf)} passages")
-            yield pdf.assign(raw_score=pd.array(raw, dtype="Float64"))
+    @F.pandas_udf("double")
+    def run(queries: pd.Series, passages: pd.Series) -> pd.Series:
+        try:
+            raw = score([q if isinstance(q, str) else "" for q in queries], [p if isinstance(p, str) else "" for p in passages])
+        except Exception:
+            if not tolerant:
+                raise
+            raw = [None] * len(queries)
+        if len(raw) != len(queries):
+            raise ValueError(f"{reranker}: {len(raw)} scores for {len(queries)} passages")
+        return pd.Series(pd.array(raw, dtype="Float64"))
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return dealt_for_work(rows, "chunk_id", "query_id").mapInPandas(run, schema + ", raw_score double")
+    return run
 
 
 def _scaled(raw: str, low: Column, high: Column) -> Column:
@@ -282,9 +389,14 @@ def rerank(rows: DataFrame, top_k: int | None = None, threshold: float = 0.0, re
     """Reranked rows per query with raw_score, normalized_score and rerank_rank. The rows are a
     search's pool, a bounded number per query, so its bounds are taken over a window. A query
     whose reranker failed (``tolerant``) keeps its order, with scores of 0."""
+    return _reranked(rerank_scores(rows, reranker=reranker, tolerant=tolerant), top_k, threshold)
+
+
+def _reranked(rows: DataFrame, top_k: int | None = None, threshold: float = 0.0) -> DataFrame:
+    """rerank of rows that have their raw_score."""
     top_k = clamp_top_k(top_k)
     pool = Window.partitionBy("query_id")
-    scored = rerank_scores(rows, reranker=reranker, tolerant=tolerant).withColumn("_raw", F.round("raw_score", 9))
+    scored = rows.withColumn("_raw", F.round("raw_score", 9))
     failed = F.max(F.col("_raw").isNull()).over(pool)
     scored = scored.withColumn("_failed", failed).withColumn("normalized_score", F.when(F.col("_failed"), 0.0).otherwise(_scaled("_raw", F.min("_raw").over(pool), F.max("_raw").over(pool))))
     scored = scored.withColumn("raw_score", F.when(F.col("_failed"), 0.0).otherwise(F.col("raw_score"))).where(F.col("_failed") | (F.col("normalized_score") >= threshold))
@@ -301,19 +413,23 @@ def search_vectors(scope: TenantScope, language: str | None = None) -> DataFrame
     return one.join(kept, ["chunk_id", "workspace_id"], "left_semi").select("workspace_id", "model", "model_version", F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-def hybrid_search(queries: DataFrame, scope: TenantScope, query_vectors: DataFrame, top_k: int | None = None, index: DataFrame | None = None, language: str | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, scope: TenantScope, query_vectors: DataFrame, top_k: int | None = None, index: DataFrame | None = None, language: str | None = None, content: bool = True) -> DataFrame:
     """The whole search as one lazy plan, for every query at once. ``query_vectors`` has query_id,
     workspace_id, model, model_version and query_vec; vectors of other models or versions are not
-    compared. ``index`` is a kept inverted index; without one, the terms asked are indexed."""
+    compared. ``index`` is a kept inverted index; without one, the terms asked are counted.
+    The pool meets each chunk's content once, for its score, and is ranked without it;
+    ``content`` joins it to the results."""
     top_k = clamp_top_k(top_k)
-    terms = query_terms(queries)
-    index = postings(ready_chunks(scope, "workspace_id", "content", language=language), terms) if index is None else index
+    index = ready_chunks(scope, "workspace_id", "content", language=language) if index is None else index
     lexical = lexical_search(queries, index).select("query_id", "chunk_id", "rank", F.lit("lexical").alias("source"))
     dense = dense_search(query_vectors, search_vectors(scope, language), ["workspace_id", "model", "model_version"]).select("query_id", F.col("id").alias("chunk_id"), "rank", F.lit("dense").alias("source"))
     pool = fuse(lexical.unionByName(dense), limit=max(top_k, RERANK_POOL))
     asked = queries.select("query_id", F.col("workspace_id").alias("asked_in"), F.col("original").alias("query"))
-    rows = hydrate(pool, scope).join(asked, "query_id").where("workspace_id = asked_in")
-    return rerank(rows.drop("asked_in"), top_k)
+    # Dealt by chunk while narrow: rows of one chunk are scored together, and no content is moved again.
+    partitions = max(int(scope.spark.conf.get("spark.sql.shuffle.partitions")), 2 * scope.spark.sparkContext.defaultParallelism)
+    rows = hydrate(pool.join(asked, "query_id").repartition(partitions, "chunk_id"), scope).where("workspace_id = asked_in").drop("asked_in")
+    found = _reranked(rows.withColumn("raw_score", _scoring("lexical", False)("query", "content")).drop("content"), top_k)
+    return with_content(found, scope) if content else found
 
 
 def as_metadata(found: DataFrame) -> DataFrame:

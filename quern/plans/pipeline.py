@@ -27,7 +27,8 @@ def answer_queries(
     reason why it was withheld. A query whose workspace shows it nothing is answered like one
     without evidence."""
     top_k = retrieval.clamp_top_k(top_k, retrieval.ANSWER_TOP_K, retrieval.MAX_ANSWER_TOP_K)
-    found = retrieval.hybrid_search(queries, scope, query_vectors, top_k, index, language)
+    found = retrieval.hybrid_search(queries, scope, query_vectors, top_k, index, language, content=False)
     passages = found.withColumn("rank", F.col("rerank_rank")).withColumn("rerank_score", F.col("raw_score"))
-    kept, drafts, checked = ground(passages, floor, most)
+    few = answers.sufficient_evidence(passages, floor, most)  # before content is joined
+    kept, drafts, checked = ground(retrieval.with_content(few, scope), floor, most)
     return answers.to_answers(answers.compose(queries, checked, kept, drafts), answers.surfaced(checked))

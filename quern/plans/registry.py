@@ -167,9 +167,7 @@ def chunk_provenance(spark, sf):
 
 
 def lexical_topk(spark, sf):
-    q = _queries(spark, sf)
-    index = retrieval.postings(retrieval.ready_chunks(_everyone(spark, sf), "workspace_id", "content"), retrieval.query_terms(q))
-    return retrieval.lexical_search(q, index, 10)
+    return retrieval.lexical_search(_queries(spark, sf), retrieval.ready_chunks(_everyone(spark, sf), "workspace_id", "content"), 10)
 
 
 def kept_index_topk(spark, sf):
@@ -256,7 +254,7 @@ def rerank_overlap(spark, sf):
 
 
 def _hybrid(spark, sf):
-    return retrieval.hybrid_search(_queries(spark, sf), _everyone(spark, sf), _query_vectors(spark, sf))
+    return retrieval.hybrid_search(_queries(spark, sf), _everyone(spark, sf), _query_vectors(spark, sf), content=False)
 
 
 def hybrid_search(spark, sf):

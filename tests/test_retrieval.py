@@ -103,3 +103,41 @@ def test_recall_of_cells(spark):
 
     rows = [{(r.query_id, r.id) for r in registry.queries()[n](spark, "/root/testdata/sf0.1").collect()} for n in ("dense_topk", "cell_topk")]
     assert len(rows[0] & rows[1]) >= 0.9 * len(rows[0]) > 0
+
+
+def test_lexical_search_by_brute_force(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    draw = lambda n: " ".join(rnd.choice(["rent", "due", "day", "வாடகை", "x1", "park", "free"]) for _ in range(n))
+    chunks = [("ab"[i % 2], f"c{i:03d}", draw(i % 9)) for i in range(150)] + [("a", "null", None), (None, "c900", "rent"), ("z", "c901", "rent")]
+    asked = [(f"q{i}", "ab"[i % 2], draw(i % 5), None, [draw(1)]) for i in range(30)] + [("q90", "nowhere", "rent", None, None), ("q91", "a", "absent", None, None), ("q92", None, "rent", None, None)]
+    c = spark.createDataFrame(chunks, "workspace_id string, chunk_id string, content string")
+    q = spark.createDataFrame(asked, "query_id string, workspace_id string, normalized string, transliterated string, expansions array<string>")
+    want = set()
+    for k, ws, text, _, more in asked:
+        terms = set(f"{text} {' '.join(more or [])}".split())
+        n = sorted((-sum(t in terms for t in (content or "").split()), i) for w, i, content in chunks if w == ws and ws)
+        want |= {(k, i, round(-m * 0.1, 6), r) for r, (m, i) in enumerate(n[:7], 1) if m}
+    for part, block in ((8192, 2_000_000), (4, 20)):
+        monkeypatch.setattr(R, "PART_QUERIES", part)
+        monkeypatch.setattr(R, "BLOCK_WORDS", block)
+        for index in (c, R.postings(c)):
+            assert {(r.query_id, r.chunk_id, r.score, r["rank"]) for r in R.lexical_search(q, index, 7).collect()} == want
+
+
+def test_no_match_is_a_row(spark, sf):
+    """Every chunk matching every query: 9 million matches, of which 3,000 leave their tile."""
+    c = spark.range(3000).selectExpr("'w' workspace_id", "cast(id as string) chunk_id", "'rent is due' content")
+    q = spark.range(3000).selectExpr("cast(id as string) query_id", "'w' workspace_id", "'rent' normalized", "cast(null as string) transliterated", "cast(null as array<string>) expansions")
+    found = R.lexical_search(q, c, 1)
+    assert found.count() == 3000 and found.select("chunk_id").distinct().collect()[0].chunk_id == "0"
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hybrid_search_is_planned_once(spark, sf):
+    from quern.plans import registry
+
+    for name in ("hybrid_search", "search_metadata"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sum((1.0 /") == 1 and plan.count("FlatMapCoGroupsInArrow") == 2, name  # one fusion of one lexical and one dense search
