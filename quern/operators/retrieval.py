@@ -36,14 +36,25 @@ def top_per(df: DataFrame, group: str, order: list[Column], limit: int | Column,
 
 
 def postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """(workspace_id, term, chunk_id, tf): the inverted index. With ``asked`` (workspace_id, term)
-    only the postings of these terms are counted, and the others never shuffled where the terms
-    are few enough to be broadcast."""
-    # An inner explode would be given a filter on its array, which works the terms out again.
-    exploded = chunks.select("workspace_id", "chunk_id", F.explode_outer(index_terms(F.col("content"))).alias("term")).where("term is not null")
-    if asked is not None:
-        exploded = exploded.join(asked.select("workspace_id", "term").distinct(), ["workspace_id", "term"], "left_semi")
-    return exploded.groupBy("workspace_id", "term", "chunk_id").agg(F.count("*").alias("tf"))
+    """(workspace_id, term, chunk_id, tf): the inverted index of chunks, one row each. Terms are
+    counted within their chunk, so nothing is shuffled. With ``asked`` (workspace_id, term) only
+    the postings of these terms are given."""
+    words = chunks.select("workspace_id", "chunk_id", index_terms(F.col("content")).alias("terms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if t.num_rows:
+                flat, row = _flat(t)
+                term = flat.dictionary_encode()
+                most = max(len(term.dictionary), 1)
+                at, tf = np.unique(row * most + term.indices.to_numpy(), return_counts=True)
+                take = lambda name: t.column(name).combine_chunks().take(pa.array(at // most))
+                yield pa.RecordBatch.from_arrays([take("workspace_id"), term.dictionary.take(pa.array(at % most)), take("chunk_id"), pa.array(tf)], ["workspace_id", "term", "chunk_id", "tf"])
+
+    kinds = dict(words.dtypes)
+    counted = words.mapInArrow(run, f"workspace_id {kinds['workspace_id']}, term string, chunk_id {kinds['chunk_id']}, tf long")
+    return counted if asked is None else counted.join(asked.select("workspace_id", "term").distinct(), ["workspace_id", "term"], "left_semi")
 
 
 def _shard(shards: int) -> Column:

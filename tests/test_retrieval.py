@@ -141,3 +141,10 @@ def test_hybrid_search_is_planned_once(spark, sf):
     for name in ("hybrid_search", "search_metadata"):
         plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("sum((1.0 /") == 1 and plan.count("FlatMapCoGroupsInArrow") == 2, name  # one fusion of one lexical and one dense search
+
+
+def test_postings_are_counted_within_their_chunk(spark):
+    chunks = spark.createDataFrame([("w", "c1", "Rent rent due"), ("w", "c2", None), ("w", "c3", "")], "workspace_id string, chunk_id string, content string")
+    index = R.postings(chunks)
+    assert sorted((r.term, r.chunk_id, r.tf) for r in index.collect()) == [("due", "c1", 1), ("rent", "c1", 2)]
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
