@@ -202,8 +202,10 @@ def match_form(text: str) -> str:
     return " ".join(text.split()).casefold()
 
 
-def tokens_of(text: str) -> list[str]:
-    return _TOKEN.findall(match_form(text))
+@functools.lru_cache(1 << 10)
+def tokens_of(text: str) -> tuple[str, ...]:
+    """A text is often asked for its tokens again at once, for its features and for its facts."""
+    return tuple(_TOKEN.findall(match_form(text)))
 
 
 @functools.lru_cache(1 << 17)

@@ -340,6 +340,12 @@ def hydrate(found: DataFrame, scope: TenantScope) -> DataFrame:
     return found.join(_delivered(scope).join(versions, "version_id").where("workspace_id = owner").drop("owner"), "chunk_id")
 
 
+def dealt_by_chunk(rows: DataFrame, spark: SparkSession) -> DataFrame:
+    """rows dealt by chunk while narrow: those of one chunk are worked on together, and content
+    joined to them is not moved again."""
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "chunk_id")
+
+
 def with_content(rows: DataFrame, scope: TenantScope) -> DataFrame:
     """rows with the content of their chunks, joined anew: what is ranked need not carry it."""
     return rows.join(_delivered(scope).select("chunk_id", "content"), "chunk_id")
@@ -436,9 +442,7 @@ def hybrid_search(queries: DataFrame, scope: TenantScope, query_vectors: DataFra
     dense = dense_search(query_vectors, search_vectors(scope, language), ["workspace_id", "model", "model_version"]).select("query_id", F.col("id").alias("chunk_id"), "rank", F.lit("dense").alias("source"))
     pool = fuse(lexical.unionByName(dense), limit=max(top_k, RERANK_POOL))
     asked = queries.select("query_id", F.col("workspace_id").alias("asked_in"), F.col("original").alias("query"))
-    # Dealt by chunk while narrow: rows of one chunk are scored together, and no content is moved again.
-    partitions = max(int(scope.spark.conf.get("spark.sql.shuffle.partitions")), 2 * scope.spark.sparkContext.defaultParallelism)
-    rows = hydrate(pool.join(asked, "query_id").repartition(partitions, "chunk_id"), scope).where("workspace_id = asked_in").drop("asked_in")
+    rows = hydrate(dealt_by_chunk(pool.join(asked, "query_id"), scope.spark), scope).where("workspace_id = asked_in").drop("asked_in")
     found = _reranked(rows.withColumn("raw_score", _scoring("lexical", False)("query", "content")).drop("content"), top_k)
     return with_content(found, scope) if content else found
 

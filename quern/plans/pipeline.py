@@ -9,15 +9,13 @@ from quern.scope import TenantScope
 from quern.session import cut_lineage
 
 
-def ground(passages: DataFrame, floor: float = answers.EVIDENCE_FLOOR, most: int = answers.MAX_EVIDENCE, analyser: str = "lexical") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(evidence kept, claims drafted from it, claims verified). ``passages`` have query_id, query,
-    chunk_id, content, rank, fused_score, rerank_score and the columns of a citation. The raw
-    score of the reranker counts, not its rank among the others."""
-    kept = cut_lineage(answers.sufficient_evidence(passages, floor, most))  # read for drafts, checks and counts
-    drafts = cut_lineage(answers.best_claims(kept))
-    checked = answers.verify(drafts.drop("rank").join(kept, ["query_id", "chunk_id"]), "sentence", "content", start="start", analyser=analyser)
+def ground(kept: DataFrame, analyser: str = "lexical") -> tuple[DataFrame, DataFrame]:
+    """(evidence judged, claims drafted from it and verified). ``kept`` are the passages kept as
+    evidence, with query_id, query, chunk_id, content, rank, fused_score, rerank_score and the
+    columns of a citation. The raw score of the reranker counts, not its rank among the others."""
+    judged = cut_lineage(answers.judged_passages(kept, analyser))  # read for counts and claims; without content
     sure = answers.claim_confidence(F.col("fused_score"), F.col("rerank_score"), answers.query_overlap(F.col("query"), F.col("sentence")), F.col("ocr_engine"), F.col("ocr_confidence"))
-    return kept, drafts, answers.with_confidence(checked, sure)
+    return judged, cut_lineage(answers.with_confidence(answers.leading_claims(judged), sure))
 
 
 def answer_queries(
@@ -30,5 +28,5 @@ def answer_queries(
     found = retrieval.hybrid_search(queries, scope, query_vectors, top_k, index, language, content=False)
     passages = found.withColumn("rank", F.col("rerank_rank")).withColumn("rerank_score", F.col("raw_score"))
     few = answers.sufficient_evidence(passages, floor, most)  # before content is joined
-    kept, drafts, checked = ground(retrieval.with_content(few, scope), floor, most)
-    return answers.to_answers(answers.compose(queries, checked, kept, drafts), answers.surfaced(checked))
+    judged, checked = ground(retrieval.with_content(retrieval.dealt_by_chunk(few, scope.spark), scope))
+    return answers.to_answers(answers.compose(queries, checked, judged), answers.surfaced(checked))

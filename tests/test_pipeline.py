@@ -51,3 +51,11 @@ def test_answers_search_once_and_limit_before_content(spark, tmp_path, monkeypat
     monkeypatch.setattr(pipeline, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
     pipeline.answer_queries(queries, TenantScope(spark, str(tmp_path), everyone=True), vectors)
     assert plans[0].count("sum((1.0 /") == 1
+
+
+def test_claims_are_judged_once_and_content_stays_behind(spark, tmp_path):
+    corpus(spark, str(tmp_path))
+    queries = spark.createDataFrame([("q", "w", "rent", "rent", None, None)], "query_id string, workspace_id string, original string, normalized string, transliterated string, expansions array<string>")
+    vectors = spark.createDataFrame([("q", "w", "m", "v1", [1.0, 0.1])], "query_id string, workspace_id string, model string, model_version string, query_vec array<float>")
+    plan = pipeline.answer_queries(queries, TenantScope(spark, str(tmp_path), everyone=True), vectors)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapIn" not in plan and "content" not in plan
