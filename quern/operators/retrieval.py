@@ -103,24 +103,40 @@ def ready_chunks(scope: TenantScope, *columns: str, language: str | None = None,
         chunks = chunks.where(F.col("language") == language)
     if document_id is not None:
         versions = versions.where(F.col("document_id") == document_id)
-    return deliveries(chunks.join(versions.select("version_id"), "version_id", "left_semi"), "chunk_id", columns=columns)
+    ready = _placed(scope, versions)
+    kept = chunks.join(ready, (chunks["chunk_id"] == ready["placed"]) & _same(chunks["version_id"], ready["placed_in"]), "left_semi")
+    return deliveries(kept, "chunk_id", columns=columns)
 
 
-def _tiles(q: DataFrame, v: DataFrame, q_most: int, v_most: int) -> tuple[DataFrame, DataFrame]:
+def _same(a: Column, b: Column) -> Column:
+    """a = b, of a form that is no key of a join: what is dealt by chunk stays where it is."""
+    return F.coalesce(a == b, F.lit(False))
+
+
+def _placed(scope: TenantScope, versions: DataFrame) -> DataFrame:
+    """(placed, placed_in, document_id, owner): the versions that each chunk was delivered in,
+    those of ``versions`` only. Narrow, so that content meets them by chunk and is moved once."""
+    at = scope.table("chunks").select(F.col("chunk_id").alias("placed"), "version_id").distinct()
+    return at.join(versions, "version_id").select("placed", F.col("version_id").alias("placed_in"), "document_id", F.col("workspace_id").alias("owner"))
+
+
+def _tiles(q: DataFrame, v: DataFrame, q_most: int, v_most: int, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides (g, key, load and more) with pack, part and block: the tiles in which every row
     of ``q`` meets every row of ``v`` of its group g once. A part or a block holds about the load
     given at most. Small groups are packed together, as many as make up a block; large ones are
-    parted. Groups of one side only are left out."""
+    parted. Groups of one side only are left out. ``sized`` (g, load) are rows that ``v`` is a part
+    of and that cost less to read; loads are taken from them. A row a group is broadcast, so that
+    neither side is moved but to its tiles."""
 
     def sizes(df: DataFrame, name: str, most: int) -> DataFrame:
         return df.groupBy("g").agg(F.greatest(F.lit(1), F.ceil(F.sum("load") / F.lit(most))).cast("int").alias(f"{name}s"), F.sum("load").alias(f"{name}_load"))
 
-    counts = sizes(q, "part", q_most).join(sizes(v, "block", v_most), "g")
+    counts = sizes(q, "part", q_most).join(sizes(v if sized is None else sized, "block", v_most), "g")
     lone = F.when((F.col("parts") == 1) & (F.col("blocks") == 1), F.col("part_load") + F.col("block_load"))
     total = counts.agg(F.ceil(F.coalesce(F.sum(lone), F.lit(0)) / F.lit(v_most)).cast("int").alias("full"))
     packs = F.greatest(total.scalar(), F.lit(2 * q.sparkSession.sparkContext.defaultParallelism))
     name = F.when(lone.isNull(), F.col("g")).otherwise(F.pmod(F.xxhash64("g"), packs).cast("string"))
-    counts = counts.select("g", "parts", "blocks", name.alias("pack"))
+    counts = F.broadcast(counts.select("g", "parts", "blocks", name.alias("pack")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     rest = lambda df: [c for c in df.columns if c not in ("g", "load")]
@@ -188,14 +204,16 @@ def _most_matches(a: pa.Table, b: pa.Table, limit: int) -> tuple[list[np.ndarray
     return left, right, found
 
 
-def lexical_search(queries: DataFrame, index: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+def lexical_search(queries: DataFrame, index: DataFrame, limit: int = CANDIDATES, sized: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): any term matches; the score is a tenth of the number
     of matching positions. ``index`` has postings (workspace_id, term, chunk_id, tf), or texts
     (workspace_id, chunk_id, content) whose terms are counted where they are needed. Queries meet
     the chunks of their workspace in tiles of bounded size, which give at most the best of each
-    query, so no match is ever a row."""
+    query, so no match is ever a row. ``sized``: texts among which those of the index are, for
+    the sizes of tiles."""
     texts = "content" in index.columns
-    terms, tf, load = (index_terms(F.col("content")), F.lit(1), F.coalesce(F.length("content"), F.lit(0)) / WORD_LETTERS) if texts else (F.array("term"), F.col("tf"), F.lit(1))
+    words = F.coalesce(F.length("content"), F.lit(0)) / WORD_LETTERS
+    terms, tf, load = (index_terms(F.col("content")), F.lit(1), words) if texts else (F.array("term"), F.col("tf"), F.lit(1))
     q = _asked(queries).where(F.size("terms") > 0).select(F.col("workspace_id").alias("g"), F.col("query_id").alias("key"), F.lit(1).alias("load"), "terms")
     v = index.where("workspace_id is not null").select(F.col("workspace_id").alias("g"), F.col("chunk_id").alias("key"), load.alias("load"), terms.alias("terms"), tf.cast("long").alias("tf"))
     kinds = dict(q.dtypes)["key"], dict(v.dtypes)["key"]
@@ -206,7 +224,7 @@ def lexical_search(queries: DataFrame, index: DataFrame, limit: int = CANDIDATES
         return pa.table({"query_id": take(a, left), "chunk_id": take(b, right), "n": np.concatenate([np.zeros(0, np.int64), *found])})
 
     keys = ("pack", "part", "block")
-    left, right = _tiles(q, v, PART_QUERIES, BLOCK_WORDS)
+    left, right = _tiles(q, v, PART_QUERIES, BLOCK_WORDS, None if sized is None else sized.select(F.col("workspace_id").alias("g"), words.alias("load")))
     best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, f"query_id {kinds[0]}, chunk_id {kinds[1]}, n long")
     scored = best.select("query_id", "chunk_id", F.round(F.col("n") * OCCURRENCE, 6).alias("score"))
     return top_per(scored, "query_id", [F.desc("score"), F.asc("chunk_id")], limit)
@@ -220,19 +238,21 @@ def _top_cells(product: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(product >= last[:, None] - 1e-9)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, on: list[str], limit: int = CANDIDATES) -> DataFrame:
+def dense_search(queries: DataFrame, vectors: DataFrame, on: list[str], limit: int = CANDIDATES, sized: DataFrame | None = None) -> DataFrame:
     """(query_id, id, similarity, rank) by exact cosine. ``queries`` has query_id and query_vec,
     ``vectors`` id and vec; ``on`` are the columns (tenant, model, version) that must agree, if
     any. Both sides are dealt into blocks of bounded size; a tile of two blocks is a matrix
     product that gives at most the best of each query, so no pair is ever a row. A tenant with
     most of the vectors has more tiles, not larger ones, and small tenants share one. Vectors that are null, all zero or of
-    another length than the query's are not compared."""
+    another length than the query's are not compared. ``sized``: rows (``on`` and vec) among which
+    the vectors are, for the sizes of tiles."""
     group = F.struct(*on) if on else F.struct(F.lit(0).alias("all"))
-    named = lambda df, key, vec: df.where(F.size(vec) > 0).select(F.to_json(F.struct(group.alias("on"), F.size(vec).alias("width"))).alias("g"), F.col(key).alias("key"), F.lit(1).alias("load"), F.col(vec).cast("array<double>").alias("v"))
+    within = lambda vec: F.to_json(F.struct(group.alias("on"), F.size(vec).alias("width"))).alias("g")
+    named = lambda df, key, vec: df.where(F.size(vec) > 0).select(within(vec), F.col(key).alias("key"), F.lit(1).alias("load"), F.col(vec).cast("array<double>").alias("v"))
     q, v = named(queries, "query_id", "query_vec"), named(vectors, "id", "vec")
     kinds = dict(q.dtypes)["key"], dict(v.dtypes)["key"]
 
-    left, right = _tiles(q, v, BLOCK_ROWS, BLOCK_ROWS)
+    left, right = _tiles(q, v, BLOCK_ROWS, BLOCK_ROWS, None if sized is None else sized.where(F.size("vec") > 0).select(within("vec"), F.lit(1).alias("load")))
 
     def groups(t: pa.Table) -> dict[str, np.ndarray]:
         """Row numbers by group."""
@@ -336,8 +356,9 @@ def _delivered(scope: TenantScope) -> DataFrame:
 def hydrate(found: DataFrame, scope: TenantScope) -> DataFrame:
     """Content and provenance joined after the limits; rows of documents that are not ready, or
     of another workspace, vanish. ``found`` is read once: it may be a whole search."""
-    versions = scope.ready_versions().select("version_id", "document_id", F.col("workspace_id").alias("owner"))
-    return found.join(_delivered(scope).join(versions, "version_id").where("workspace_id = owner").drop("owner"), "chunk_id")
+    ready, chunks = _placed(scope, scope.ready_versions()), _delivered(scope)
+    here = (chunks["chunk_id"] == ready["placed"]) & _same(chunks["version_id"], ready["placed_in"]) & _same(chunks["workspace_id"], ready["owner"])
+    return found.join(chunks.join(ready, here).drop("placed", "placed_in", "owner"), "chunk_id")
 
 
 def dealt_by_chunk(rows: DataFrame, spark: SparkSession) -> DataFrame:
@@ -426,8 +447,10 @@ def search_vectors(scope: TenantScope, language: str | None = None) -> DataFrame
     vectors not as long as they are said to be are left out."""
     kept = ready_chunks(scope, "workspace_id", language=language).select("chunk_id", "workspace_id")
     rows = scope.table("chunk_embeddings").where(F.size("embedding") == F.col("dimensions"))
-    one = deliveries(rows, "chunk_id", "model", "model_version", columns=("workspace_id", "embedding"))
-    return one.join(kept, ["chunk_id", "workspace_id"], "left_semi").select("workspace_id", "model", "model_version", F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))
+    # Joined before deliveries are told apart, so that vectors are moved by chunk once, for both.
+    rows = rows.join(kept.withColumnRenamed("workspace_id", "owner"), "chunk_id")
+    one = deliveries(rows, "chunk_id", "model", "model_version", columns=("workspace_id", "embedding", "owner"))
+    return one.where("workspace_id = owner").select("workspace_id", "model", "model_version", F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))
 
 
 def hybrid_search(queries: DataFrame, scope: TenantScope, query_vectors: DataFrame, top_k: int | None = None, index: DataFrame | None = None, language: str | None = None, content: bool = True) -> DataFrame:
@@ -437,12 +460,13 @@ def hybrid_search(queries: DataFrame, scope: TenantScope, query_vectors: DataFra
     The pool meets each chunk's content once, for its score, and is ranked without it;
     ``content`` joins it to the results."""
     top_k = clamp_top_k(top_k)
+    texts = scope.table("chunks") if index is None else None
     index = ready_chunks(scope, "workspace_id", "content", language=language) if index is None else index
-    lexical = lexical_search(queries, index).select("query_id", "chunk_id", "rank", F.lit("lexical").alias("source"))
-    dense = dense_search(query_vectors, search_vectors(scope, language), ["workspace_id", "model", "model_version"]).select("query_id", F.col("id").alias("chunk_id"), "rank", F.lit("dense").alias("source"))
+    lexical = lexical_search(queries, index, sized=texts).select("query_id", "chunk_id", "rank", F.lit("lexical").alias("source"))
+    dense = dense_search(query_vectors, search_vectors(scope, language), ["workspace_id", "model", "model_version"], sized=scope.table("chunk_embeddings").withColumnRenamed("embedding", "vec")).select("query_id", F.col("id").alias("chunk_id"), "rank", F.lit("dense").alias("source"))
     pool = fuse(lexical.unionByName(dense), limit=max(top_k, RERANK_POOL))
     asked = queries.select("query_id", F.col("workspace_id").alias("asked_in"), F.col("original").alias("query"))
-    rows = hydrate(dealt_by_chunk(pool.join(asked, "query_id"), scope.spark), scope).where("workspace_id = asked_in").drop("asked_in")
+    rows = hydrate(dealt_by_chunk(pool.join(asked, "query_id"), scope.spark), scope).where(_same(F.col("workspace_id"), F.col("asked_in"))).drop("asked_in")
     found = _reranked(rows.withColumn("raw_score", _scoring("lexical", False)("query", "content")).drop("content"), top_k)
     return with_content(found, scope) if content else found
 

@@ -148,3 +148,36 @@ def test_postings_are_counted_within_their_chunk(spark):
     index = R.postings(chunks)
     assert sorted((r.term, r.chunk_id, r.tf) for r in index.collect()) == [("due", "c1", 1), ("rent", "c1", 2)]
     assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+
+
+def test_content_is_moved_by_chunk_only(spark, sf):
+    """Every exchange that carries content or its deliveries is by chunk; none is by version or
+    workspace, and texts reach their tiles as terms."""
+    from quern.plans import registry
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = registry.queries()["search_metadata"](spark, sf)
+        text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [part for part in text.split("\n\n") if "\nInput" in part and " Exchange" in part.split("\n")[0] and "content#" in part]
+    assert moved and all("hashpartitioning(chunk_id#" in part for part in moved)
+
+
+def test_chunks_of_several_versions(spark, tmp_path):
+    from test_pipeline import corpus
+
+    corpus(spark, str(tmp_path))
+    old, late = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
+    chunks = spark.read.parquet(f"{tmp_path}/chunks.parquet")
+    again = [("c1", "v3", late), ("c4", "v1", old), ("c9", "v2", old), ("c8", None, old)]  # now not ready; once ready; foreign document; nowhere
+    more = spark.createDataFrame(again, "chunk_id string, version_id string, loaded_at string").join(chunks.where("chunk_id = 'c2'").drop("chunk_id", "version_id", "loaded_at"))
+    chunks.unionByName(more).write.parquet(f"{tmp_path}/more/chunks.parquet")
+    for t in ("documents", "document_versions"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").write.parquet(f"{tmp_path}/more/{t}.parquet")
+    scope = TenantScope(spark, f"{tmp_path}/more", everyone=True)
+    assert sorted((r.chunk_id, r.version_id) for r in R.ready_chunks(scope, "version_id").collect()) == [("c1", "v1"), ("c2", "v1"), ("c3", "v2"), ("c4", "v1"), ("c9", "v2")]
+    found = spark.createDataFrame([(c,) for c in ("c1", "c2", "c3", "c4", "c8", "c9", "none")], "chunk_id string")
+    assert sorted((r.chunk_id, r.version_id, r.document_id) for r in R.hydrate(found, scope).collect()) == [("c2", "v1", "d1"), ("c3", "v2", "d2")]
